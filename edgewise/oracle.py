@@ -86,3 +86,99 @@ SQL["pagerank_topk"] = (pagerank_sql(PART_NEXT, PAGERANK_ITER)
 SQL["pagerank_edge_weight"] = (f"WITH e AS ({PART_NEXT}), od AS (SELECT src, count(*) AS n "
                                "FROM e GROUP BY src) SELECT e.src, e.dst, "
                                f"round({_d(1.0)} / od.n, 6) AS weight FROM e JOIN od USING (src)")
+
+
+# ---- step 2 ---------------------------------------------------------------------
+
+def landmark_distances_sql(edges_sql: str, landmarks) -> str:
+    """BFS to landmarks as a keyed recursive CTE: a pair enters once, at its
+    first (smallest) level, so the recursion ends on cyclic graphs."""
+    lm = ", ".join(str(x) for x in landmarks)
+    return f"""
+WITH RECURSIVE e AS ({edges_sql}),
+v AS ({vertices_sql('e')}),
+sp(id, landmark, distance) USING KEY (id, landmark) AS (
+  SELECT id, id AS landmark, 0 AS distance FROM v WHERE id IN ({lm})
+  UNION
+  SELECT e.src AS id, sp.landmark, min(sp.distance) + 1 AS distance
+  FROM sp JOIN e ON e.dst = sp.id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.sp r WHERE r.id = e.src AND r.landmark = sp.landmark)
+  GROUP BY e.src, sp.landmark
+)
+"""
+
+
+SQL["shortest_paths"] = (landmark_distances_sql(PART_NEXT, LANDMARKS)
+                         + "SELECT id, landmark, distance FROM sp")
+
+
+def triangle_count_sql(edges_sql: str) -> str:
+    return f"""
+WITH e AS ({edges_sql}),
+v AS ({vertices_sql('e')}),
+u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst),
+t AS (SELECT e1.a AS x, e1.b AS y, e2.b AS z
+      FROM u e1 JOIN u e2 ON e1.b = e2.a JOIN u e3 ON e3.a = e1.a AND e3.b = e2.b),
+p AS (SELECT x AS id FROM t UNION ALL SELECT y FROM t UNION ALL SELECT z FROM t),
+c AS (SELECT id, count(*) AS n FROM p GROUP BY id)
+SELECT v.id, CAST(coalesce(c.n, 0) AS BIGINT) AS count FROM v LEFT JOIN c ON v.id = c.id
+"""
+
+
+SQL["triangle_count"] = triangle_count_sql(PART_NEXT)
+
+
+# ---- step 6 ----------------------------------------------------------------------
+
+DOC_COPIES = """
+SELECT r.rep AS src, d.doc_id AS dst
+FROM documents d
+JOIN (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM documents GROUP BY text) r
+  ON d.text = r.text
+WHERE r.copies > 1 AND d.doc_id <> r.rep
+"""
+
+
+def weak_components_sql(edges_sql: str) -> str:
+    """Undirected reachability closure; component = smallest reached id."""
+    return f"""
+WITH RECURSIVE e AS ({edges_sql}),
+v AS ({vertices_sql('e')}),
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(id, reach) AS (SELECT id, id FROM v UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach)
+SELECT id, min(reach) AS component FROM r GROUP BY id
+"""
+
+
+def strong_components_sql(edges_sql: str) -> str:
+    """Directed reachability closure; component = smallest mutually reachable id."""
+    return f"""
+WITH RECURSIVE e AS ({edges_sql}),
+v AS ({vertices_sql('e')}),
+r(id, reach) AS (SELECT id, id FROM v UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.reach)
+SELECT r1.id, min(r1.reach) AS component
+FROM r r1 JOIN r r2 ON r1.reach = r2.id AND r2.reach = r1.id
+GROUP BY r1.id
+"""
+
+
+SQL["connected_components"] = weak_components_sql(PART_NEXT_HEAVY)
+SQL["doc_copy_components"] = weak_components_sql(DOC_COPIES)
+SQL["strongly_connected_components"] = strong_components_sql(PART_NEXT_HEAVY)
+
+
+def label_propagation_sql(edges_sql: str, iters: int) -> str:
+    parts = [f"e AS ({edges_sql})", f"v AS ({vertices_sql('e')})",
+             "sym AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst AS a, src AS b FROM e)",
+             "l0 AS (SELECT id, id AS label FROM v)"]
+    for i in range(1, iters + 1):
+        parts.append(f"""c{i} AS (SELECT s.b AS id, l.label, count(*) AS n
+  FROM sym s JOIN l{i-1} l ON s.a = l.id GROUP BY s.b, l.label)""")
+        parts.append(f"""b{i} AS (SELECT id, label FROM (SELECT id, label, row_number() OVER
+  (PARTITION BY id ORDER BY n DESC, label ASC) AS rn FROM c{i}) WHERE rn = 1)""")
+        parts.append(f"""l{i} AS (SELECT p.id, coalesce(b.label, p.label) AS label
+  FROM l{i-1} p LEFT JOIN b{i} b ON p.id = b.id)""")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT id, label FROM l{iters}"
+
+
+SQL["label_propagation"] = label_propagation_sql(PART_NEXT_HEAVY, LPA_ITER)

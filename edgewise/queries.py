@@ -79,3 +79,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     prepare(spark)
     return QUERIES[name](spark, sf_dir)
+
+
+# ---- step 2: shortest paths, triangles --------------------------------------------
+
+def shortest_paths(spark, sf):
+    from .operators.paths import shortest_paths as sp
+    return sp(fx.part_next(spark, sf), list(LANDMARKS))
+
+
+def triangle_count(spark, sf):
+    return fx.part_next(spark, sf).triangle_count().select("id", "count")
+
+
+QUERIES.update({
+    "shortest_paths": shortest_paths,
+    "triangle_count": triangle_count,
+})
+
+
+# ---- step 6: components and communities ---------------------------------------------
+
+def connected_components(spark, sf):
+    return fx.part_next_heavy(spark, sf).connected_components().select("id", "component")
+
+
+def doc_copy_components(spark, sf):
+    return fx.doc_copies(spark, sf).connected_components().select("id", "component")
+
+
+def strongly_connected_components(spark, sf):
+    return fx.part_next_heavy(spark, sf).strongly_connected_components().select("id", "component")
+
+
+def label_propagation(spark, sf):
+    return fx.part_next_heavy(spark, sf).label_propagation(LPA_ITER).select("id", "label")
+
+
+def power_iteration_clustering(spark, sf):
+    return fx.part_next_heavy(spark, sf).power_iteration_clustering(k=4, max_iter=10)
+
+
+QUERIES.update({
+    "connected_components": connected_components,
+    "doc_copy_components": doc_copy_components,
+    "strongly_connected_components": strongly_connected_components,
+    "label_propagation": label_propagation,
+    "power_iteration_clustering": power_iteration_clustering,
+})
