@@ -182,3 +182,169 @@ def label_propagation_sql(edges_sql: str, iters: int) -> str:
 
 
 SQL["label_propagation"] = label_propagation_sql(PART_NEXT_HEAVY, LPA_ITER)
+
+
+# ---- step 4 ----------------------------------------------------------------------
+
+SQL["triplets"] = f"""
+WITH e AS ({PART_NEXT}), p AS ({PART_VERTICES})
+SELECT s.id AS src_id, s.p_brand AS src_brand, d.id AS dst_id, d.p_brand AS dst_brand,
+       s.p_size + d.p_size AS size_sum
+FROM e JOIN p s ON e.src = s.id JOIN p d ON e.dst = d.id
+"""
+SQL["filter_vertices"] = f"""
+WITH e AS ({PART_NEXT}), k AS (SELECT id FROM ({PART_VERTICES}) WHERE p_size <= 25)
+SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)
+"""
+SQL["filter_edges"] = (f"SELECT src, dst, l_quantity, next_quantity FROM ({PART_NEXT_RAW}) "
+                       "WHERE l_quantity > next_quantity")
+SQL["drop_isolated"] = f"""
+WITH e AS ({PART_NEXT_HEAVY})
+SELECT id, p_size FROM ({PART_VERTICES}) WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e)
+"""
+SQL["aggregate_messages_src"] = f"""
+WITH e AS ({PART_NEXT}), p AS ({PART_VERTICES})
+SELECT s.id, round(sum(d.p_retailprice), 6) AS total_price, count(d.p_retailprice) AS n_msgs
+FROM e JOIN p s ON e.src = s.id JOIN p d ON e.dst = d.id GROUP BY s.id
+"""
+SQL["aggregate_messages_dst"] = f"""
+WITH e AS ({PART_NEXT}), p AS ({PART_VERTICES}),
+t AS (SELECT s.id AS sid, s.p_size AS ssize, d.id AS did, d.p_size AS dsize
+      FROM e JOIN p s ON e.src = s.id JOIN p d ON e.dst = d.id),
+m AS (SELECT did AS id, ssize AS msg FROM t
+      UNION ALL SELECT sid AS id, CASE WHEN dsize > 40 THEN dsize END AS msg FROM t)
+SELECT id, max(msg) AS max_size, count(msg) AS n_msgs FROM m WHERE msg IS NOT NULL GROUP BY id
+"""
+
+
+# ---- step 5 ----------------------------------------------------------------------
+
+def pagerank_tol_sql(edges_sql: str, tol: float, max_steps: int = 100, reset: float = RESET) -> str:
+    """Power iteration that freezes once an update moved no rank by more than tol."""
+    a, b = _d(reset), f"({_d(1.0)} - {_d(reset)})"
+    parts = [f"e AS ({edges_sql})", f"v AS ({vertices_sql('e')})",
+             f"od AS (SELECT src AS id, {_d(1.0)} / count(*) AS inv FROM e GROUP BY src)",
+             f"r0 AS (SELECT id, {_d(1.0)} AS pr FROM v)",
+             "c0 AS (SELECT false AS conv)"]
+    for i in range(1, max_steps + 1):
+        parts.append(
+            f"n{i} AS (SELECT v.id, {a} + {b} * coalesce(s.s, {_d(0.0)}) AS pr FROM v LEFT JOIN "
+            f"(SELECT e.dst AS id, sum(r.pr * od.inv) AS s FROM e JOIN r{i-1} r ON e.src = r.id "
+            f"JOIN od ON od.id = e.src GROUP BY e.dst) s ON v.id = s.id)")
+        parts.append(
+            f"r{i} AS MATERIALIZED (SELECT n.id, CASE WHEN (SELECT conv FROM c{i-1}) THEN p.pr "
+            f"ELSE n.pr END AS pr FROM n{i} n JOIN r{i-1} p ON n.id = p.id)")
+        parts.append(
+            f"c{i} AS MATERIALIZED (SELECT (SELECT conv FROM c{i-1}) OR "
+            f"max(abs(n.pr - p.pr)) <= {_d(tol)} AS conv FROM n{i} n JOIN r{i-1} p ON n.id = p.id)")
+    k = max_steps
+    parts.append(f"ranks AS (SELECT id, pr * (CAST((SELECT count(*) FROM v) AS DOUBLE) / "
+                 f"(SELECT sum(pr) FROM r{k})) AS pagerank FROM r{k})")
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+SQL["pagerank_tol"] = (pagerank_tol_sql(PART_NEXT, PAGERANK_TOL)
+                       + "SELECT id, round(pagerank, 6) AS pagerank FROM ranks")
+
+
+def personalized_sql(edges_sql: str, sources, iters: int, reset: float = RESET) -> str:
+    """Sparse personalised PageRank for several sources: relation ``pp(id, source, pr)``
+    holding non-zero entries, each source normalised to sum 1."""
+    a, b = _d(reset), f"({_d(1.0)} - {_d(reset)})"
+    vals = ", ".join(f"({s})" for s in sources)
+    parts = [f"e AS ({edges_sql})", f"v AS ({vertices_sql('e')})",
+             f"od AS (SELECT src AS id, {_d(1.0)} / count(*) AS inv FROM e GROUP BY src)",
+             f"srcs AS (SELECT source FROM (VALUES {vals}) t(source) "
+             "WHERE source IN (SELECT id FROM v))",
+             f"p0 AS (SELECT source AS id, source, {_d(1.0)} AS pr FROM srcs)"]
+    for i in range(1, iters + 1):
+        parts.append(
+            f"s{i} AS (SELECT e.dst AS id, p.source, sum(p.pr * od.inv) AS s FROM p{i-1} p "
+            f"JOIN e ON e.src = p.id JOIN od ON od.id = p.id GROUP BY e.dst, p.source)")
+        parts.append(
+            f"p{i} AS (SELECT * FROM (SELECT coalesce(s.id, r.id) AS id, "
+            f"coalesce(s.source, r.source) AS source, coalesce(r.ra, {_d(0.0)}) + {b} * "
+            f"coalesce(s.s, {_d(0.0)}) AS pr FROM s{i} s FULL OUTER JOIN "
+            f"(SELECT source AS id, source, {a} AS ra FROM srcs) r "
+            f"ON s.id = r.id AND s.source = r.source) WHERE pr <> 0)")
+    parts.append(f"pp AS (SELECT id, source, pr / sum(pr) OVER (PARTITION BY source) AS pr "
+                 f"FROM p{iters})")
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+SQL["pagerank_parallel_personalized"] = (
+    personalized_sql(PART_NEXT, PERSONAL_SOURCES, PAGERANK_ITER)
+    + "SELECT id, source, round(pr, 6) AS pagerank FROM pp")
+SQL["pagerank_personalized"] = (
+    personalized_sql(PART_NEXT, PERSONAL_SOURCES[:1], PAGERANK_ITER)
+    + "SELECT v.id, round(coalesce(pp.pr, 0.0), 6) AS pagerank FROM v LEFT JOIN pp ON v.id = pp.id")
+
+
+def pregel_pagerank_sql(edges_sql: str, iters: int, reset: float = RESET) -> str:
+    parts = [f"e AS ({edges_sql})", f"v AS ({vertices_sql('e')})",
+             "n AS (SELECT count(*) AS n FROM v)",
+             "od AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src)",
+             f"r0 AS (SELECT id, {_d(1.0)} / (SELECT n FROM n) AS rank FROM v)"]
+    for i in range(1, iters + 1):
+        parts.append(
+            f"r{i} AS (SELECT v.id, coalesce(m.s, {_d(0.0)}) * ({_d(1.0)} - {_d(reset)}) + "
+            f"{_d(reset)} / (SELECT n FROM n) AS rank FROM v LEFT JOIN "
+            f"(SELECT e.dst AS id, sum(r.rank / od.deg) AS s FROM e JOIN r{i-1} r ON e.src = r.id "
+            f"JOIN od ON od.id = e.src GROUP BY e.dst) m ON v.id = m.id)")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT id, round(rank, 6) AS rank FROM r{iters}"
+
+
+SQL["pregel_pagerank"] = pregel_pagerank_sql(PART_NEXT, PREGEL_ITER)
+
+
+# ---- step 7 ----------------------------------------------------------------------
+
+SQL["motif_two_hop"] = f"""
+WITH e AS ({PART_NEXT_HEAVY})
+SELECT e1.src AS a_id, e1.dst AS b_id, e2.dst AS c_id FROM e e1 JOIN e e2 ON e1.dst = e2.src
+"""
+SQL["motif_mutual"] = f"""
+WITH e AS ({USER_HANDOFF})
+SELECT e1.src AS a_id, e1.dst AS b_id FROM e e1 JOIN e e2 ON e1.dst = e2.src AND e2.dst = e1.src
+"""
+SQL["motif_negated"] = f"""
+WITH e AS ({USER_HANDOFF})
+SELECT e1.src AS a_id, e1.dst AS b_id, e2.dst AS c_id FROM e e1 JOIN e e2 ON e1.dst = e2.src
+WHERE NOT EXISTS (SELECT 1 FROM e e3 WHERE e3.src = e2.dst AND e3.dst = e1.src)
+"""
+
+
+def bfs_sql(edges_sql: str, vertices_sql_: str, from_cond: str, to_cond: str,
+            max_len: int = 10) -> str:
+    """Multi-source BFS levels (keyed recursive CTE), then every path that climbs
+    one level per edge and ends on a target at the first level holding one."""
+    return f"""
+WITH RECURSIVE e AS ({edges_sql}), v AS ({vertices_sql_}),
+s AS (SELECT id FROM v WHERE {from_cond}),
+t AS (SELECT id FROM v WHERE {to_cond}),
+lvl(id, d) USING KEY (id) AS (
+  SELECT id, 0 FROM s
+  UNION
+  SELECT e.dst AS id, min(lvl.d) + 1 AS d FROM lvl JOIN e ON e.src = lvl.id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.lvl r WHERE r.id = e.dst)
+  GROUP BY e.dst
+),
+lim AS (SELECT min(lvl.d) AS l FROM lvl JOIN t ON lvl.id = t.id),
+paths(from_id, cur, path, len) AS (
+  SELECT id, id, CAST(id AS VARCHAR), 0 FROM s
+  UNION ALL
+  SELECT p.from_id, e.dst, p.path || ',' || CAST(e.dst AS VARCHAR), p.len + 1
+  FROM paths p JOIN e ON e.src = p.cur JOIN lvl ON lvl.id = e.dst AND lvl.d = p.len + 1
+  WHERE p.len < (SELECT l FROM lim)
+)
+SELECT from_id, cur AS to_id, len AS length, path FROM paths
+WHERE len = (SELECT l FROM lim) AND len <= {max_len} AND cur IN (SELECT id FROM t)
+"""
+
+
+def _bfs_entry():
+    from .queries import BFS_FROM, BFS_TO
+    return bfs_sql(PART_NEXT_HEAVY, PART_VERTICES, BFS_FROM, BFS_TO, 10)
+
+
+SQL["bfs"] = _bfs_entry()

@@ -127,3 +127,121 @@ QUERIES.update({
     "label_propagation": label_propagation,
     "power_iteration_clustering": power_iteration_clustering,
 })
+
+
+# ---- step 4: relational graph operators ------------------------------------------
+
+def triplets(spark, sf):
+    t = fx.part_graph(spark, sf).triplets
+    return t.select(F.col("src.id").alias("src_id"), F.col("src.p_brand").alias("src_brand"),
+                    F.col("dst.id").alias("dst_id"), F.col("dst.p_brand").alias("dst_brand"),
+                    (F.col("src.p_size") + F.col("dst.p_size")).alias("size_sum"))
+
+
+def filter_vertices(spark, sf):
+    g = fx.part_graph(spark, sf).filter_vertices("p_size <= 25")
+    return g.edges.select("src", "dst")
+
+
+def filter_edges(spark, sf):
+    g = fx.part_next_raw(spark, sf).filter_edges(F.col("l_quantity") > F.col("next_quantity"))
+    return g.edges.select("src", "dst", "l_quantity", "next_quantity")
+
+
+def drop_isolated(spark, sf):
+    return fx.part_graph(spark, sf, heavy=True).drop_isolated_vertices().vertices.select("id", "p_size")
+
+
+def aggregate_messages_src(spark, sf):
+    g = fx.part_graph(spark, sf)
+    return g.aggregate_messages(_r(F.sum("msg")).alias("total_price"),
+                                F.count("msg").alias("n_msgs"),
+                                send_to_src=F.col("dst.p_retailprice"))
+
+
+def aggregate_messages_dst(spark, sf):
+    g = fx.part_graph(spark, sf)
+    return g.aggregate_messages(F.max("msg").alias("max_size"),
+                                F.count("msg").alias("n_msgs"),
+                                send_to_dst=F.col("src.p_size"),
+                                send_to_src=F.when(F.col("dst.p_size") > 40, F.col("dst.p_size")))
+
+
+# ---- step 5: PageRank variants and Pregel ---------------------------------------------
+
+def pagerank_tol(spark, sf):
+    g = fx.part_next(spark, sf).page_rank(reset_probability=RESET, tol=PAGERANK_TOL)
+    return g.vertices.select("id", _r("pagerank").alias("pagerank"))
+
+
+def pagerank_personalized(spark, sf):
+    g = fx.part_next(spark, sf).page_rank(reset_probability=RESET, max_iter=PAGERANK_ITER,
+                                          source_id=PERSONAL_SOURCES[0])
+    return g.vertices.select("id", _r("pagerank").alias("pagerank"))
+
+
+def pagerank_parallel_personalized(spark, sf):
+    r = fx.part_next(spark, sf).parallel_personalized_page_rank(
+        source_ids=list(PERSONAL_SOURCES), reset_probability=RESET, max_iter=PAGERANK_ITER)
+    return r.select("id", "source", _r("pagerank").alias("pagerank"))
+
+
+def pregel_pagerank(spark, sf):
+    from .operators.messages import Pregel
+    g = fx.part_next(spark, sf)
+    n = g.vertices.count()
+    v = g.vertices.join(g.out_degrees, "id", "left").fillna(0, ["outDegree"])
+    ranks = (Graph(v, g.edges).pregel.set_max_iter(PREGEL_ITER)
+             .with_vertex_column("rank", F.lit(1.0 / n),
+                                 F.coalesce(Pregel.msg(), F.lit(0.0)) * F.lit(1.0 - RESET)
+                                 + F.lit(RESET / n))
+             .send_msg_to_dst(Pregel.src("rank") / Pregel.src("outDegree"))
+             .agg_msgs(F.sum(Pregel.msg()))
+             .run())
+    return ranks.select("id", _r("rank").alias("rank"))
+
+
+# ---- step 7: motifs and BFS ---------------------------------------------------------
+
+def motif_two_hop(spark, sf):
+    m = fx.part_next_heavy(spark, sf).find("(a)-[e1]->(b); (b)-[e2]->(c)")
+    return m.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
+                    F.col("c.id").alias("c_id"))
+
+
+def motif_mutual(spark, sf):
+    m = fx.user_handoff(spark, sf).find("(a)-[e1]->(b); (b)-[e2]->(a)")
+    return m.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+def motif_negated(spark, sf):
+    m = fx.user_handoff(spark, sf).find("(a)-[]->(b); (b)-[]->(c); !(c)-[]->(a)")
+    return m.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
+                    F.col("c.id").alias("c_id"))
+
+
+BFS_FROM = "p_size = 1"
+BFS_TO = "p_size = 50"
+
+
+def bfs(spark, sf):
+    from .operators.paths import bfs_paths
+    return bfs_paths(fx.part_graph(spark, sf, heavy=True), BFS_FROM, BFS_TO, max_path_length=10)
+
+
+QUERIES.update({
+    "triplets": triplets,
+    "filter_vertices": filter_vertices,
+    "filter_edges": filter_edges,
+    "drop_isolated": drop_isolated,
+    "aggregate_messages_src": aggregate_messages_src,
+    "aggregate_messages_dst": aggregate_messages_dst,
+    "pagerank_tol": pagerank_tol,
+    "pagerank_personalized": pagerank_personalized,
+    "pagerank_parallel_personalized": pagerank_parallel_personalized,
+    "pregel_pagerank": pregel_pagerank,
+    "motif_two_hop": motif_two_hop,
+    "motif_mutual": motif_mutual,
+    "motif_negated": motif_negated,
+    "bfs": bfs,
+})
