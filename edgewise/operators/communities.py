@@ -25,11 +25,14 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 1) ->
     """Vertices with a ``label`` column after ``max_iter`` synchronous rounds."""
     cutter = StepCutter(checkpoint_interval)
     try:
-        n = g.vertices.count()
-        sym = (g.edges.select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
-               .unionAll(g.edges.select(F.col(DST).alias("a"), F.col(SRC).alias("b"))))
-        layout = KeyedEdges(sym, "a", "b", vertex_count=n).persist(cutter)
-        labels, _ = cutter.cut(g.vertices.select(ID, F.col(ID).alias("label")))
+        vids, n = cutter.inputs(g.vertices.select(ID))
+        pairs, _ = cutter.inputs(g.edges.select(SRC, DST))
+        sym = (pairs.select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
+               .unionAll(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b"))))
+        sym, m = cutter.inputs(sym)
+        layout = KeyedEdges(sym, "a", "b", cutter=cutter, total_edges=m,
+                            vertex_count=n).persist(cutter)
+        labels, _ = cutter.cut(vids.select(ID, F.col(ID).alias("label")))
         for _ in range(max_iter):
             votes = (layout.attach(labels, ID)
                      .groupBy(F.col("b").alias(ID), "label").agg(F.count(F.lit(1)).alias("_n")))

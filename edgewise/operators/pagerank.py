@@ -52,11 +52,11 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids = g.vertices.select(ID)
-        n = vids.count()
-        inv = _out_weights(g.edges)
-        pairs = g.edges.select(SRC, DST)
-        layout = KeyedEdges(pairs, SRC, DST, vertex_count=n).persist(cutter)
+        vids, n = cutter.inputs(g.vertices.select(ID))
+        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
+        inv = _out_weights(pairs)
+        layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
+                            vertex_count=n).persist(cutter)
 
         if source_id is None:
             init, reset = F.lit(1.0), F.lit(a)
@@ -113,11 +113,12 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        n = g.vertices.count()
+        _, n = cutter.inputs(g.vertices.select(ID))
         srcs = spark.createDataFrame([(s,) for s in source_ids],
                                      f"source {g.vertices.schema[ID].dataType.simpleString()}")
-        inv = _out_weights(g.edges)
-        layout = KeyedEdges(g.edges.select(SRC, DST), SRC, DST,
+        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
+        inv = _out_weights(pairs)
+        layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
                             vertex_count=n * max(len(source_ids), 1)).persist(cutter)
         # sources must be vertices; the list comes from the caller, so it is
         # bounded by driver memory and safe to broadcast

@@ -34,13 +34,14 @@ def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 1) -> DataFra
     dtype = g.vertices.schema[ID].dataType
     cutter = StepCutter(checkpoint_interval)
     try:
-        n = g.vertices.count()
+        vids, n = cutter.inputs(g.vertices.select(ID))
+        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
         # the landmark list comes from the caller: a driver-bounded broadcast
         lms = F.broadcast(_typed_list(spark, list(landmarks), dtype, "landmark"))
-        frontier = (g.vertices.select(ID).join(lms, F.col(ID) == F.col("landmark"), "inner")
+        frontier = (vids.join(lms, F.col(ID) == F.col("landmark"), "inner")
                     .select(ID, "landmark", F.lit(0).alias("distance")))
         # messages travel against edge direction: the frontier holds dst ids
-        layout = KeyedEdges(g.edges.select(SRC, DST), DST, SRC,
+        layout = KeyedEdges(pairs, DST, SRC, cutter=cutter, total_edges=m,
                             vertex_count=n * max(len(landmarks), 1)).persist(cutter)
         frontier, m = cutter.cut(frontier, {"n": F.count(F.lit(1))})
         levels = [frontier]
@@ -88,13 +89,15 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
     """
     edges = g.edges if edge_filter is None else g.edges.where(_expr(edge_filter))
     cutter = StepCutter(checkpoint_interval)
-    v = g.vertices.withColumn("_is_target", _expr(to_expr))
-    sources = v.where(_expr(from_expr)).select(ID, "_is_target")
+    v, n = cutter.inputs(g.vertices.select(ID, _expr(to_expr).alias("_is_target"),
+                                           _expr(from_expr).alias("_is_source")))
+    sources = v.where(F.col("_is_source")).select(ID, "_is_target")
     level, m = cutter.cut(sources, {"n": F.count(F.lit(1)),
                                     "hit": F.sum(F.col("_is_target").cast("int"))})
     levels = [level]
-    n = g.vertices.count()
-    layout = KeyedEdges(edges.select(SRC, DST), SRC, DST, vertex_count=n).persist(cutter)
+    pairs, n_edges = cutter.inputs(edges.select(SRC, DST))
+    layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=n_edges,
+                        vertex_count=n).persist(cutter)
     length = 0 if (m["hit"] or 0) > 0 else None
     while length is None and m["n"] and len(levels) <= max_path_length:
         seen = reduce(DataFrame.unionByName, [lv.select(ID) for lv in levels])
@@ -114,7 +117,7 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
     kept = [None] * (length + 1)
     kept[length] = levels[length].where(F.col("_is_target")).select(ID)
     for i in range(length - 1, -1, -1):
-        back = (edges.select(SRC, DST)
+        back = (pairs
                 .join(kept[i + 1], F.col(DST) == F.col(ID), "left_semi")
                 .select(F.col(SRC).alias(ID)).distinct())
         kept[i], _ = cutter.cut(levels[i].select(ID).join(back, ID, "left_semi"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -48,6 +49,11 @@ class StepCutter:
         values = dict(obs.get) if obs is not None else {}
         return out, values
 
+    def inputs(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Checkpoint a loop input once and return it with its row count."""
+        out, m = self.cut(df, {"n": F.count(F.lit(1))})
+        return out, int(m["n"])
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Persist a loop-invariant input (edges) for the life of the loop."""
         out = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -54,28 +54,35 @@ class KeyedEdges:
     returns edges joined with the value rows whose ``id_col`` equals ``key``.
     """
 
-    def __init__(self, edges: DataFrame, key: str, spread: str, *,
+    def __init__(self, edges: DataFrame, key: str, spread: str, *, cutter=None,
                  total_edges: int | None = None, vertex_count: int | None = None,
                  max_hot: int = 1024, min_hot_degree: int = 100_000,
                  salt_buckets: int = 64, value_row_bytes: int = 48):
         spark = edges.sparkSession
         self.key = key
         self.salt_buckets = int(salt_buckets)
+        self.partitions = shuffle_partitions(spark)
+        self.broadcast_values = (vertex_count is not None and
+                                 fits_broadcast(spark, vertex_count, value_row_bytes))
+        if self.broadcast_values:
+            # the value side is small and counted: no salt, no re-layout
+            self.hot = None
+            self.edges = edges
+            return
         n_edges = total_edges if total_edges is not None else edges.count()
         threshold = max(n_edges // max(max_hot, 1), int(min_hot_degree))
         # at most max_hot keys can exceed total/max_hot: a proven bound
         hot = (edges.groupBy(key).count().where(F.col("count") > threshold)
                .select(F.col(key).alias("_hot_key")).withColumn(HOT, F.lit(True)))
+        if cutter is not None:  # computed once, not once per superstep
+            hot, _ = cutter.cut(hot)
         self.hot = F.broadcast(hot)
         salted = (edges.join(self.hot, edges[key] == F.col("_hot_key"), "left")
                   .withColumn(SALT, F.when(F.col(HOT), F.pmod(F.xxhash64(F.col(spread)),
                                                               F.lit(self.salt_buckets)))
                               .otherwise(F.lit(0)).cast("int"))
                   .drop("_hot_key", HOT))
-        self.partitions = shuffle_partitions(spark)
         self.edges = salted.repartition(self.partitions, F.col(key), F.col(SALT))
-        self.broadcast_values = (vertex_count is not None and
-                                 fits_broadcast(spark, vertex_count, value_row_bytes))
 
     def persist(self, cutter) -> "KeyedEdges":
         self.edges = cutter.keep(self.edges)
@@ -93,7 +100,7 @@ class KeyedEdges:
         if self.broadcast_values:
             joined = self.edges.join(F.broadcast(values),
                                      self.edges[self.key] == values[id_col], how)
-            return joined.drop(values[id_col]).drop(SALT)
+            return joined.drop(values[id_col])
         vals = self._salted_values(values, id_col)
         vals = vals.withColumnRenamed(SALT, "_vsalt")
         joined = self.edges.join(
