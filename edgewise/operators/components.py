@@ -73,12 +73,11 @@ def connected_components(g: Graph, checkpoint_interval: int = 1, max_rounds: int
 
 
 def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
-                                  max_iter: int = 10_000, trim_rounds: int = 3) -> DataFrame:
+                                  max_iter: int = 10_000, trim_rounds: int = 10) -> DataFrame:
     """Vertices with ``component`` = smallest id among mutually reachable vertices."""
     cutter = StepCutter(checkpoint_interval)
-    v_rem, _ = cutter.cut(g.vertices.select(ID))
-    e_rem, m = cutter.cut(g.edges.where(F.col(SRC) != F.col(DST)).select(SRC, DST).distinct(),
-                          {"n": F.count(F.lit(1))})
+    v_rem, n_rem = cutter.inputs(g.vertices.select(ID))
+    e_rem, _ = cutter.inputs(g.edges.where(F.col(SRC) != F.col(DST)).select(SRC, DST).distinct())
     done: list[DataFrame] = []
 
     def restrict(e, keep):
@@ -86,23 +85,20 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
                 .join(keep.select(F.col(ID).alias(DST)), DST, "left_semi"))
 
     for _ in range(max_iter):
-        # trim: no in-edge or no out-edge left => singleton component
+        # trim: a vertex with no in-edge or no out-edge left is its own component
         for _t in range(trim_rounds):
-            has_out = e_rem.select(F.col(SRC).alias(ID)).distinct()
-            has_in = e_rem.select(F.col(DST).alias(ID)).distinct()
-            alive = v_rem.join(has_out, ID, "left_semi").join(has_in, ID, "left_semi")
-            alive, am = cutter.cut(alive, {"n": F.count(F.lit(1))})
-            single = v_rem.join(alive, ID, "left_anti").withColumn("component", F.col(ID))
-            single, sm = cutter.cut(single, {"n": F.count(F.lit(1))})
-            if sm["n"]:
-                done.append(single)
-            v_rem = alive
-            e_rem, m = cutter.cut(restrict(e_rem, alive), {"n": F.count(F.lit(1))})
-            if not sm["n"]:
+            has_out = e_rem.select(F.col(SRC).alias(ID))
+            has_in = e_rem.select(F.col(DST).alias(ID))
+            alive, n_alive = cutter.inputs(v_rem.join(has_out, ID, "left_semi")
+                                           .join(has_in, ID, "left_semi"))
+            if n_alive == n_rem:
                 break
-        if not am["n"]:
+            # the trimmed vertices are singletons: they fall back to their own id below
+            v_rem, n_rem = alive, n_alive
+            e_rem, _ = cutter.inputs(restrict(e_rem, alive))
+        if not n_rem:
             break
-        # forward colouring: colour = min id reaching the vertex
+        # forward colouring: colour = smallest id that reaches the vertex
         color, _ = cutter.cut(v_rem.select(ID, F.col(ID).alias("color")))
         while True:
             msg = (e_rem.join(color.select(F.col(ID).alias(SRC), "color"), SRC)
@@ -114,29 +110,30 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
             color = color.drop("_old")
             if not cm["changed"]:
                 break
-        # backward: from each root, vertices of its colour that reach it
+        # backward: from each root, the vertices of its colour that reach it
         e_col = (e_rem.join(color.select(F.col(ID).alias(SRC), F.col("color").alias("_cs")), SRC)
                  .join(color.select(F.col(ID).alias(DST), F.col("color").alias("_cd")), DST)
                  .where(F.col("_cs") == F.col("_cd")).select(SRC, DST, F.col("_cs").alias("color")))
-        e_col, _ = cutter.cut(e_col)
-        reached, rm = cutter.cut(color.where(F.col(ID) == F.col("color"))
-                                 .select(ID, F.col("color").alias("component")),
-                                 {"n": F.count(F.lit(1))})
-        frontier = reached
+        e_col, _ = cutter.inputs(e_col)
+        frontier, _ = cutter.cut(color.where(F.col(ID) == F.col("color"))
+                                 .select(ID, F.col("color").alias("component")))
+        levels = [frontier]
         while True:
+            seen = reduce(DataFrame.unionByName, [lv.select(ID) for lv in levels])
             nxt = (e_col.join(frontier.select(F.col(ID).alias(DST), F.col("component").alias("color")),
                               [DST, "color"])
                    .select(F.col(SRC).alias(ID), F.col("color").alias("component")).distinct()
-                   .join(reached.select(ID), ID, "left_anti"))
+                   .join(seen, ID, "left_anti"))
             frontier, fm = cutter.cut(nxt, {"n": F.count(F.lit(1))})
             if not fm["n"]:
                 break
-            reached, _ = cutter.cut(reached.unionByName(frontier))
+            levels.append(frontier)
+        reached = reduce(DataFrame.unionByName, levels)
         done.append(reached)
-        v_rem, vm = cutter.cut(v_rem.join(reached, ID, "left_anti"), {"n": F.count(F.lit(1))})
-        if not vm["n"]:
+        v_rem, n_rem = cutter.inputs(v_rem.join(reached, ID, "left_anti"))
+        if not n_rem:
             break
-        e_rem, m = cutter.cut(restrict(e_rem, v_rem), {"n": F.count(F.lit(1))})
+        e_rem, _ = cutter.inputs(restrict(e_rem, v_rem))
     comp = reduce(DataFrame.unionByName, done) if done else None
     if comp is None:
         return g.vertices.withColumn("component", F.col(ID))
