@@ -348,3 +348,120 @@ def _bfs_entry():
 
 
 SQL["bfs"] = _bfs_entry()
+
+
+# ---- step 3 ----------------------------------------------------------------------
+
+SQL["ws_text_source"] = f"SELECT src, dst, l_quantity FROM ({PART_NEXT_RAW})"
+SQL["csv_sink_roundtrip"] = (landmark_distances_sql(PART_NEXT, LANDMARKS) + """
+, m AS (SELECT id, '{' || string_agg('"' || CAST(landmark AS VARCHAR) || '":' ||
+                                      CAST(distance AS VARCHAR), ',' ORDER BY landmark) || '}' AS d
+        FROM sp GROUP BY id)
+SELECT v.id, coalesce(m.d, '{}') AS distances FROM v LEFT JOIN m ON v.id = m.id
+""")
+
+
+# ---- step 8 ----------------------------------------------------------------------
+
+REQUESTS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS tenant,
+       CAST(o_custkey AS VARCHAR) AS "user",
+       'user' || CAST(o_custkey AS VARCHAR) || '@example.com' AS user_email,
+       'graphs/' || lower(o_orderstatus) || '/' || CAST(o_orderkey AS VARCHAR) AS graph_location,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST((o_custkey % 4) + 1 AS INTEGER) END
+         AS nr_workers,
+       o_orderdate AS ts
+FROM orders
+"""
+
+SQL["validate_requests"] = f"""
+WITH r AS ({REQUESTS}),
+c AS (SELECT name, concat_ws(',',
+   CASE WHEN tenant IS NULL THEN 'tenant_missing' END,
+   CASE WHEN tenant IS NOT NULL AND NOT regexp_full_match(tenant, '^[0-9a-z-./]+$')
+        THEN 'tenant_pattern' END,
+   CASE WHEN length(tenant) > 32 THEN 'tenant_length' END,
+   CASE WHEN "user" IS NULL THEN 'user_missing' END,
+   CASE WHEN "user" IS NOT NULL AND NOT regexp_full_match("user", '^[0-9a-z-./]+$')
+        THEN 'user_pattern' END,
+   CASE WHEN length("user") > 32 THEN 'user_length' END,
+   CASE WHEN length(user_email) > 128 THEN 'email_length' END,
+   CASE WHEN graph_location IS NULL THEN 'location_missing' END,
+   CASE WHEN length(graph_location) > 128 THEN 'location_length' END) AS violations FROM r)
+SELECT name, violations, violations = '' AS is_valid FROM c
+"""
+SQL["normalize_requests"] = f"""
+WITH r AS ({REQUESTS})
+SELECT name, lower(tenant) AS tenant, lower("user") AS "user",
+       coalesce(nr_workers, 2) AS nr_workers, 'mount.' || graph_location AS module,
+       concat_ws('-', lower(tenant), lower("user"), name) AS run_name
+FROM r
+"""
+SQL["first_arrivals"] = """
+SELECT name, first_ts, event_id FROM (
+  SELECT user_id AS name, ts AS first_ts, event_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events) WHERE rn = 1
+"""
+REQUEST_OUTCOMES = """
+WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, min(ts) AS request_ts
+           FROM events WHERE event_type = 'signup' GROUP BY ALL),
+o AS (SELECT user_id, CAST(ts AS DATE) AS day,
+             CASE WHEN max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1
+                  THEN 200 ELSE 400 END AS result_code
+      FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL)
+SELECT r.user_id, r.day, r.request_ts, o.result_code
+FROM r LEFT JOIN o ON r.user_id = o.user_id AND r.day = o.day
+"""
+SQL["request_outcomes"] = REQUEST_OUTCOMES
+
+STAGE_STAMPS = """
+SELECT run, action, min(ts) AS ts FROM (
+  SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS run, a.action, ts
+  FROM events JOIN (VALUES ('view', 'start creation'), ('click', 'finish creation'),
+                           ('click', 'start execution'), ('purchase', 'finish execution'),
+                           ('purchase', 'start deletion'), ('error', 'finish deletion'))
+                   a(event_type, action) USING (event_type))
+GROUP BY run, action
+"""
+SQL["stage_log_source"] = f"SELECT run, action, ts FROM ({STAGE_STAMPS})"
+STAGE_DURATIONS = f"""
+WITH s AS ({STAGE_STAMPS}),
+p AS (SELECT run,
+  min(CASE WHEN action = 'start creation' THEN ts END) AS sc,
+  min(CASE WHEN action = 'finish creation' THEN ts END) AS fc,
+  min(CASE WHEN action = 'start execution' THEN ts END) AS se,
+  min(CASE WHEN action = 'finish execution' THEN ts END) AS fe,
+  min(CASE WHEN action = 'start deletion' THEN ts END) AS sd,
+  min(CASE WHEN action = 'finish deletion' THEN ts END) AS fd
+  FROM s GROUP BY run)
+SELECT run, (epoch_us(fc) - epoch_us(sc)) / 1e6 AS creation_sec,
+       (epoch_us(fe) - epoch_us(se)) / 1e6 AS execution_sec,
+       (epoch_us(fd) - epoch_us(sd)) / 1e6 AS deletion_sec
+FROM p
+"""
+SQL["stage_durations"] = f"""
+SELECT run, round(creation_sec, 6) AS creation_sec, round(execution_sec, 6) AS execution_sec,
+       round(deletion_sec, 6) AS deletion_sec FROM ({STAGE_DURATIONS})
+"""
+SQL["stage_summary"] = f"""
+WITH d AS (SELECT *, regexp_extract(run, '(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS day
+           FROM ({STAGE_DURATIONS})),
+l AS (SELECT day, 'creation' AS stage, creation_sec AS sec FROM d
+      UNION ALL SELECT day, 'execution', execution_sec FROM d
+      UNION ALL SELECT day, 'deletion', deletion_sec FROM d)
+SELECT stage, day, count(*) AS n,
+       round(CAST(sum(CAST(round(sec * 1e6) AS DECIMAL(38,0))) AS DOUBLE) / count(*) / 1e6, 6)
+         AS avg_sec,
+       round(stddev_samp(sec), 3) AS stddev_sec, round(min(sec), 6) AS min_sec,
+       round(max(sec), 6) AS max_sec
+FROM l WHERE sec IS NOT NULL GROUP BY ROLLUP (stage, day)
+"""
+SQL["outcome_classes"] = f"""
+SELECT CASE WHEN result_code IS NULL THEN 'no_outcome' WHEN result_code = 200 THEN 'ok'
+            WHEN result_code = 400 THEN 'user_error' WHEN result_code = 500 THEN 'platform_error'
+            ELSE 'other' END AS outcome_class, count(*) AS n
+FROM ({REQUEST_OUTCOMES}) GROUP BY 1
+"""
+SQL["first_arrivals_stream"] = SQL["first_arrivals"]
+SQL["request_outcomes_stream"] = REQUEST_OUTCOMES

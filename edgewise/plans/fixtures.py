@@ -128,3 +128,58 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
 __all__ = ["table", "line_successors", "part_next_raw", "part_next", "part_next_heavy",
            "part_vertices", "part_graph", "user_handoff", "doc_copies", "ratings", "geo",
            "vertices_of"]
+
+
+# ---- job-log fixtures --------------------------------------------------------------
+
+# Which event type stands in for which stage stamp (a click
+# ends creation and starts execution at the same moment, as a run does).
+STAMP_OF_EVENT = {"view": ["start creation"],
+                  "click": ["finish creation", "start execution"],
+                  "purchase": ["finish execution", "start deletion"],
+                  "error": ["finish deletion"]}
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job requests from orders (priority as tenant, customer as user)."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    return o.select(
+        key.alias("name"),
+        F.col("o_orderpriority").alias("tenant"),
+        F.col("o_custkey").cast("string").alias("user"),
+        F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@example.com"))
+        .alias("user_email"),
+        F.concat(F.lit("graphs/"), F.lower("o_orderstatus"), F.lit("/"), key).alias("graph_location"),
+        F.when(F.col("o_orderstatus") == "P", F.lit(None))
+        .otherwise(F.pmod(F.col("o_custkey"), F.lit(4)) + 1).cast("int").alias("nr_workers"),
+        F.col("o_orderdate").alias("ts"))
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("name"), "ts", "event_id")
+
+
+def signup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request per (user, day): the first signup of that day."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("request_ts"))
+
+
+def day_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome per (user, day): 200 if a purchase happened, else 400 for an error."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+    bought = F.max((F.col("event_type") == "purchase").cast("int"))
+    return ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.when(bought == 1, F.lit(200)).otherwise(F.lit(400)).alias("result_code"))
+
+
+def stage_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage stamps ``(run, action, ts)``: run = user and day, first stamp per action."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(STAMP_OF_EVENT)))
+    mapping = F.create_map(*[x for k, v in STAMP_OF_EVENT.items()
+                             for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    return (ev.select(run.alias("run"), F.explode(mapping[F.col("event_type")]).alias("action"), "ts")
+            .groupBy("run", "action").agg(F.min("ts").alias("ts")))

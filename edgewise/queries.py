@@ -245,3 +245,122 @@ QUERIES.update({
     "motif_negated": motif_negated,
     "bfs": bfs,
 })
+
+
+# ---- step 3: sources and sinks --------------------------------------------------------
+
+def ws_text_source(spark, sf):
+    """part_next_raw edges written as tab-separated text, read back by the
+    whitespace reader with type inference."""
+    from .session import scratch_path
+    from .sources.text import read_whitespace_table, write_whitespace_table
+    path = scratch_path(spark, "ws-text")
+    edges = fx.part_next_raw(spark, sf).edges.select("src", "dst", "l_quantity")
+    write_whitespace_table(edges, path)
+    return read_whitespace_table(spark, path)
+
+
+def csv_sink_roundtrip(spark, sf):
+    """Shortest-path distance maps written by the CSV sink (maps as JSON) and read back."""
+    from .operators.paths import distances_map
+    from .operators.paths import shortest_paths as sp
+    from .session import scratch_path
+    from .sources.csv_sink import read_csv, write_csv
+    g = fx.part_next(spark, sf)
+    res = distances_map(g, sp(g, list(LANDMARKS)))
+    path = scratch_path(spark, "csv-sink")
+    write_csv(res, path)
+    return read_csv(spark, path, "id bigint, distances string")
+
+
+# ---- step 8: job-log tables ---------------------------------------------------------------
+
+def validate_requests(spark, sf):
+    from .operators.joblog import validate_requests as vr
+    v = vr(fx.requests(spark, sf))
+    return v.select("name", F.concat_ws(",", "violations").alias("violations"), "is_valid")
+
+
+def normalize_requests(spark, sf):
+    from .operators.joblog import normalize_requests as nr
+    return nr(fx.requests(spark, sf))
+
+
+def first_arrivals(spark, sf):
+    from .operators.joblog import first_arrivals as fa
+    return fa(fx.arrivals(spark, sf), "name", "ts", "event_id")
+
+
+def request_outcomes(spark, sf):
+    from .operators.joblog import request_outcomes as ro
+    return ro(fx.signup_requests(spark, sf), fx.day_outcomes(spark, sf), ["user_id", "day"])
+
+
+def stage_log_source(spark, sf):
+    from .session import scratch_path
+    from .sources.stage_log import read_stage_log, write_stage_log
+    path = scratch_path(spark, "stage-log")
+    write_stage_log(fx.stage_stamps(spark, sf), path)
+    return read_stage_log(spark, path)
+
+
+def _durations(spark, sf):
+    from .operators.joblog import stage_durations as sd
+    return sd(fx.stage_stamps(spark, sf))
+
+
+def stage_durations(spark, sf):
+    d = _durations(spark, sf)
+    return d.select("run", *[_r(c).alias(c) for c in d.columns if c.endswith("_sec")])
+
+
+def stage_summary(spark, sf):
+    from .operators.joblog import stage_summary as ss
+    d = _durations(spark, sf).withColumn(
+        "day", F.regexp_extract("run", r"(\d{4}-\d{2}-\d{2})$", 1))
+    return ss(d, "day")
+
+
+def outcome_classes(spark, sf):
+    from .operators.joblog import outcome_classes as oc
+    return oc(request_outcomes(spark, sf))
+
+
+# ---- step 9: streaming twins --------------------------------------------------------------
+
+def _event_files(spark, sf):
+    """The events table re-written as one file per day: the stream's input."""
+    from .session import scratch_path
+    ev = fx.table(spark, sf, "events")
+    path = scratch_path(spark, "events-by-day")
+    (ev.withColumn("_day", F.to_date("ts")).repartition("_day").drop("_day")
+     .write.parquet(path))
+    return path, ev.schema
+
+
+def first_arrivals_stream(spark, sf):
+    from .streaming.joblog_stream import first_arrivals_stream as fas
+    path, schema = _event_files(spark, sf)
+    return fas(spark, path, schema, key="user_id")
+
+
+def request_outcomes_stream(spark, sf):
+    from .streaming.joblog_stream import request_outcomes_stream as ros
+    path, schema = _event_files(spark, sf)
+    return ros(spark, path, schema, watermark="40 days")
+
+
+QUERIES.update({
+    "ws_text_source": ws_text_source,
+    "csv_sink_roundtrip": csv_sink_roundtrip,
+    "validate_requests": validate_requests,
+    "normalize_requests": normalize_requests,
+    "first_arrivals": first_arrivals,
+    "request_outcomes": request_outcomes,
+    "stage_log_source": stage_log_source,
+    "stage_durations": stage_durations,
+    "stage_summary": stage_summary,
+    "outcome_classes": outcome_classes,
+    "first_arrivals_stream": first_arrivals_stream,
+    "request_outcomes_stream": request_outcomes_stream,
+})
