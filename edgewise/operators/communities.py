@@ -48,8 +48,8 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 1) ->
             d.unpersist(blocking=False)
 
 
-def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col: str | None = None
-                               ) -> DataFrame:
+def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col: str | None = None,
+                               init_mode: str = "random") -> DataFrame:
     """``id, cluster`` by Spark ML's power iteration clustering (Lin & Cohen).
 
     Edges are read as undirected similarities (non-negative weights; 1.0
@@ -58,6 +58,6 @@ def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col:
     from pyspark.ml.clustering import PowerIterationClustering
     e = g.edges.select(F.col(SRC).cast("long").alias("src"), F.col(DST).cast("long").alias("dst"),
                        (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double").alias("weight"))
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode="degree",
+    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode=init_mode,
                                    srcCol="src", dstCol="dst")
     return pic.assignClusters(e).select(F.col("id"), F.col("cluster"))

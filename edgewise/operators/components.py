@@ -21,13 +21,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import edge_set_fingerprint
 from ..graph import DST, ID, SRC, Graph
 from ..plans.iterate import StepCutter
 
 
-def _fingerprint(x: str, y: str) -> dict:
-    return {"n": F.count(F.lit(1)),
-            "h": F.sum(F.xxhash64(F.col(x), F.col(y)).cast("decimal(38,0)"))}
+_fingerprint = edge_set_fingerprint
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import undirected
 from ..graph import DST, ID, SRC, Graph
 
 
 def oriented_edges(g: Graph) -> DataFrame:
     """Distinct undirected edges oriented by (degree, id): columns ``u, w``."""
     und = (g.edges.where(F.col(SRC) != F.col(DST))
-           .select(F.least(SRC, DST).alias("a"), F.greatest(SRC, DST).alias("b"))
+           .select(*[c.alias(n) for c, n in zip(undirected(SRC, DST), ("a", "b"))])
            .distinct())
     deg = (und.select(F.explode(F.array("a", "b")).alias("x"))
            .groupBy("x").agg(F.count(F.lit(1)).alias("d")))

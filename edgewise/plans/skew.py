@@ -27,6 +27,11 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 HOT = "_hot"
 
+# session settings (all optional)
+CONF_MAX_HOT = "edgewise.skew.maxHotKeys"          # bound on the hot-key list
+CONF_MIN_HOT_DEGREE = "edgewise.skew.minHotDegree"  # never salt keys below this degree
+CONF_SALT_BUCKETS = "edgewise.skew.saltBuckets"     # sub-keys per hot key
+
 
 def broadcast_limit(spark: SparkSession) -> int:
     """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1: disabled)."""
@@ -56,9 +61,15 @@ class KeyedEdges:
 
     def __init__(self, edges: DataFrame, key: str, spread: str, *, cutter=None,
                  total_edges: int | None = None, vertex_count: int | None = None,
-                 max_hot: int = 1024, min_hot_degree: int = 100_000,
-                 salt_buckets: int = 64, value_row_bytes: int = 48):
+                 max_hot: int | None = None, min_hot_degree: int | None = None,
+                 salt_buckets: int | None = None, value_row_bytes: int = 48):
         spark = edges.sparkSession
+        conf = spark.conf
+        max_hot = int(max_hot if max_hot is not None else conf.get(CONF_MAX_HOT, "1024"))
+        min_hot_degree = int(min_hot_degree if min_hot_degree is not None
+                             else conf.get(CONF_MIN_HOT_DEGREE, "100000"))
+        salt_buckets = int(salt_buckets if salt_buckets is not None
+                           else conf.get(CONF_SALT_BUCKETS, "64"))
         self.key = key
         self.salt_buckets = int(salt_buckets)
         self.partitions = shuffle_partitions(spark)

@@ -364,3 +364,17 @@ QUERIES.update({
     "first_arrivals_stream": first_arrivals_stream,
     "request_outcomes_stream": request_outcomes_stream,
 })
+
+
+# ---- step 10: factorisation ------------------------------------------------------------
+
+def svd_plus_plus(spark, sf):
+    """SVD++ on customer -> part ratings (average quantity, scaled to 0..5)."""
+    g = fx.ratings(spark, sf)
+    g = Graph(g.vertices, g.edges.withColumn("weight", F.col("weight") / 10.0))
+    res, _mu = g.svd_plus_plus(rank=10, max_iter=2)
+    return res.select("id", _r("column3").alias("bias"), _r("column4").alias("norm"),
+                      _r(F.aggregate("column1", F.lit(0.0), lambda a, x: a + x)).alias("f1_sum"))
+
+
+QUERIES["svd_plus_plus"] = svd_plus_plus
