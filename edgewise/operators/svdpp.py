@@ -33,8 +33,9 @@ _axpy = array_axpy
 
 
 def _init(rank: int, tag: int):
-    return F.transform(F.sequence(F.lit(0), F.lit(rank - 1)),
-                       lambda k: hash_uniform(F.col(ID), k, F.lit(tag)))
+    # an explicit array, not transform(sequence, lambda): a lambda over an outer
+    # column confuses constraint inference on the checkpointed state
+    return F.array(*[hash_uniform(F.col(ID), F.lit(k), F.lit(tag)) for k in range(rank)])
 
 
 def _field(name: str):
@@ -63,7 +64,7 @@ def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float
     cutter = StepCutter(checkpoint_interval)
     e, _ = cutter.inputs(g.edges.select(SRC, DST, F.col(rating_col).cast("double").alias("r")))
     mu = e.agg(F.avg("r")).first()[0]
-    ends = e.select(F.col(SRC).alias(ID), "r").unionAll(e.select(F.col(DST).alias(ID), "r"))
+    ends = e.select(F.explode(F.array(F.col(SRC), F.col(DST))).alias(ID), "r")
     stats = ends.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.avg("r").alias("_avg"))
     state = stats.select(ID, _init(rank, 1).alias("f1"), _init(rank, 2).alias("f2"),
                          (F.col("_avg") - F.lit(mu)).alias("bias"),
