@@ -25,8 +25,7 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 1) ->
     """Vertices with a ``label`` column after ``max_iter`` synchronous rounds."""
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n = cutter.inputs(g.vertices.select(ID))
-        pairs, _ = cutter.inputs(g.edges.select(SRC, DST))
+        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         sym = (pairs.select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
                .unionAll(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b"))))
         sym, m = cutter.inputs(sym)

@@ -75,8 +75,8 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
                                   max_iter: int = 10_000, trim_rounds: int = 10) -> DataFrame:
     """Vertices with ``component`` = smallest id among mutually reachable vertices."""
     cutter = StepCutter(checkpoint_interval)
-    v_rem, n_rem = cutter.inputs(g.vertices.select(ID))
-    e_rem, _ = cutter.inputs(g.edges.where(F.col(SRC) != F.col(DST)).select(SRC, DST).distinct())
+    v_rem, n_rem, e_all, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+    e_rem, _ = cutter.inputs(e_all.where(F.col(SRC) != F.col(DST)).distinct())
     done: list[DataFrame] = []
 
     def restrict(e, keep):

@@ -52,8 +52,7 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n = cutter.inputs(g.vertices.select(ID))
-        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
+        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         inv = _out_weights(pairs)
         layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
                             vertex_count=n).persist(cutter)
@@ -113,16 +112,15 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        _, n = cutter.inputs(g.vertices.select(ID))
+        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         srcs = spark.createDataFrame([(s,) for s in source_ids],
                                      f"source {g.vertices.schema[ID].dataType.simpleString()}")
-        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
         inv = _out_weights(pairs)
         layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
                             vertex_count=n * max(len(source_ids), 1)).persist(cutter)
         # sources must be vertices; the list comes from the caller, so it is
         # bounded by driver memory and safe to broadcast
-        seeds = (srcs.join(g.vertices.select(ID), F.col("source") == F.col(ID), "left_semi")
+        seeds = (srcs.join(vids, F.col("source") == F.col(ID), "left_semi")
                  .select(F.col("source").alias(ID), "source"))
         seeds, _ = cutter.cut(seeds)
         resets = F.broadcast(seeds.withColumn("_r", F.lit(a)))

@@ -34,8 +34,7 @@ def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 1) -> DataFra
     dtype = g.vertices.schema[ID].dataType
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n = cutter.inputs(g.vertices.select(ID))
-        pairs, m = cutter.inputs(g.edges.select(SRC, DST))
+        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         # the landmark list comes from the caller: a driver-bounded broadcast
         lms = F.broadcast(_typed_list(spark, list(landmarks), dtype, "landmark"))
         frontier = (vids.join(lms, F.col(ID) == F.col("landmark"), "inner")
@@ -89,13 +88,13 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
     """
     edges = g.edges if edge_filter is None else g.edges.where(_expr(edge_filter))
     cutter = StepCutter(checkpoint_interval)
-    v, n = cutter.inputs(g.vertices.select(ID, _expr(to_expr).alias("_is_target"),
-                                           _expr(from_expr).alias("_is_source")))
+    v, n, pairs, n_edges = cutter.graph_inputs(
+        g.vertices, edges, [ID, _expr(to_expr).alias("_is_target"),
+                            _expr(from_expr).alias("_is_source")], [SRC, DST])
     sources = v.where(F.col("_is_source")).select(ID, "_is_target")
     level, m = cutter.cut(sources, {"n": F.count(F.lit(1)),
                                     "hit": F.sum(F.col("_is_target").cast("int"))})
     levels = [level]
-    pairs, n_edges = cutter.inputs(edges.select(SRC, DST))
     layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=n_edges,
                         vertex_count=n).persist(cutter)
     length = 0 if (m["hit"] or 0) > 0 else None

@@ -54,6 +54,24 @@ class StepCutter:
         out, m = self.cut(df, {"n": F.count(F.lit(1))})
         return out, int(m["n"])
 
+    def graph_inputs(self, vertices: DataFrame, edges: DataFrame, vertex_cols, edge_cols):
+        """Checkpoint a graph's vertex and edge projections with their counts.
+
+        The edge table stays cached while both are materialised: a vertex
+        table derived from the edges (``Graph.from_edges``) then reuses the
+        cached edges instead of recomputing the edge plan.
+        """
+        cached = edges.is_cached
+        if not cached:
+            edges.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            v, n = self.inputs(vertices.select(*vertex_cols))
+            e, m = self.inputs(edges.select(*edge_cols))
+        finally:
+            if not cached:
+                edges.unpersist(blocking=False)
+        return v, n, e, m
+
     def keep(self, df: DataFrame) -> DataFrame:
         """Persist a loop-invariant input (edges) for the life of the loop."""
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
