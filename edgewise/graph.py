@@ -142,6 +142,16 @@ class Graph:
         return Graph(self.vertices.checkpoint(eager), self.edges.checkpoint(eager))
 
 
+def result_base(g: Graph, materialized_ids: DataFrame) -> DataFrame:
+    """The vertex table to attach a result column to.
+
+    When the vertices carry nothing but ``id``, the ids an operator already
+    materialised are used, so the (possibly expensive) vertex plan is not run
+    again; otherwise the user's vertices keep all their attributes.
+    """
+    return materialized_ids if g.vertices.columns == [ID] else g.vertices
+
+
 def id_type_of(g: Graph):
     return g.vertices.schema[ID].dataType
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import DST, ID, SRC, Graph
+from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
 from ..plans.skew import KeyedEdges
 
@@ -41,7 +41,7 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 1) ->
             new = (labels.join(best, ID, "left")
                    .select(ID, F.coalesce("_best", "label").alias("label")))
             labels, _ = cutter.cut(new)
-        return g.vertices.join(labels, ID, "left")
+        return result_base(g, vids).join(labels, ID, "left")
     finally:
         for d in cutter._inputs:
             d.unpersist(blocking=False)

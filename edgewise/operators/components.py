@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import edge_set_fingerprint
-from ..graph import DST, ID, SRC, Graph
+from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
 
 
@@ -54,7 +54,8 @@ def connected_components(g: Graph, checkpoint_interval: int = 1, max_rounds: int
                          ) -> DataFrame:
     """Vertices with ``component`` = smallest id in their weak component."""
     cutter = StepCutter(checkpoint_interval)
-    e = (g.edges.where(F.col(SRC) != F.col(DST))
+    vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+    e = (pairs.where(F.col(SRC) != F.col(DST))
          .select(F.greatest(SRC, DST).alias("x"), F.least(SRC, DST).alias("y")).distinct())
     e, fp = cutter.cut(e, _fingerprint("x", "y"))
     for _ in range(max_rounds):
@@ -67,7 +68,7 @@ def connected_components(g: Graph, checkpoint_interval: int = 1, max_rounds: int
         raise RuntimeError("connected components did not converge")
     # converged: stars (x -> component minimum y)
     comp = e.groupBy(F.col("x").alias(ID)).agg(F.min("y").alias("component"))
-    return (g.vertices.join(comp, ID, "left")
+    return (result_base(g, vids).join(comp, ID, "left")
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
 
@@ -76,6 +77,7 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
     """Vertices with ``component`` = smallest id among mutually reachable vertices."""
     cutter = StepCutter(checkpoint_interval)
     v_rem, n_rem, e_all, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+    v_all = v_rem
     e_rem, _ = cutter.inputs(e_all.where(F.col(SRC) != F.col(DST)).distinct())
     done: list[DataFrame] = []
 
@@ -134,7 +136,8 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
             break
         e_rem, _ = cutter.inputs(restrict(e_rem, v_rem))
     comp = reduce(DataFrame.unionByName, done) if done else None
+    base = result_base(g, v_all)
     if comp is None:
-        return g.vertices.withColumn("component", F.col(ID))
-    return (g.vertices.join(comp, ID, "left")
+        return base.withColumn("component", F.col(ID))
+    return (base.join(comp, ID, "left")
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import DST, ID, SRC, Graph
+from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
 from ..plans.skew import KeyedEdges
 
@@ -89,7 +89,7 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
         scale = (1.0 / total if source_id is not None else n / total) if total else 0.0
         ranks = state.select(ID, (F.col("pagerank") * F.lit(scale)).alias("pagerank"))
         ranks, _ = cutter.cut(ranks)
-        verts = g.vertices.join(ranks, ID, "left").withColumn(
+        verts = result_base(g, vids).join(ranks, ID, "left").withColumn(
             "pagerank", F.coalesce("pagerank", F.lit(0.0)))
         edges = (g.edges.join(inv.withColumnRenamed(ID, SRC), SRC, "left")
                  .withColumnRenamed("_inv", "weight"))
