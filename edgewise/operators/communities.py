@@ -21,7 +21,7 @@ from ..plans.iterate import StepCutter
 from ..plans.skew import KeyedEdges
 
 
-def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 1) -> DataFrame:
+def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 2) -> DataFrame:
     """Vertices with a ``label`` column after ``max_iter`` synchronous rounds."""
     cutter = StepCutter(checkpoint_interval)
     try:

@@ -50,7 +50,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.distinct()
 
 
-def connected_components(g: Graph, checkpoint_interval: int = 1, max_rounds: int = 200
+def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int = 200
                          ) -> DataFrame:
     """Vertices with ``component`` = smallest id in their weak component."""
     cutter = StepCutter(checkpoint_interval)
@@ -72,7 +72,7 @@ def connected_components(g: Graph, checkpoint_interval: int = 1, max_rounds: int
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
 
-def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
+def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
                                   max_iter: int = 10_000, trim_rounds: int = 10) -> DataFrame:
     """Vertices with ``component`` = smallest id among mutually reachable vertices."""
     cutter = StepCutter(checkpoint_interval)
@@ -117,7 +117,7 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
                  .where(F.col("_cs") == F.col("_cd")).select(SRC, DST, F.col("_cs").alias("color")))
         e_col, _ = cutter.inputs(e_col)
         frontier, _ = cutter.cut(color.where(F.col(ID) == F.col("color"))
-                                 .select(ID, F.col("color").alias("component")))
+                                 .select(ID, F.col("color").alias("component")), reliable=True)
         levels = [frontier]
         while True:
             seen = reduce(DataFrame.unionByName, [lv.select(ID) for lv in levels])
@@ -125,7 +125,7 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 1,
                               [DST, "color"])
                    .select(F.col(SRC).alias(ID), F.col("color").alias("component")).distinct()
                    .join(seen, ID, "left_anti"))
-            frontier, fm = cutter.cut(nxt, {"n": F.count(F.lit(1))})
+            frontier, fm = cutter.cut(nxt, {"n": F.count(F.lit(1))}, reliable=True)
             if not fm["n"]:
                 break
             levels.append(frontier)

@@ -44,7 +44,7 @@ def _out_weights(edges: DataFrame) -> DataFrame:
 
 
 def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None = None,
-              tol: float | None = None, source_id=None, checkpoint_interval: int = 1,
+              tol: float | None = None, source_id=None, checkpoint_interval: int = 2,
               max_tol_iter: int = 1000) -> Graph:
     """PageRank; returns a graph with ``pagerank`` on vertices and ``weight`` on edges."""
     _check_args(max_iter, tol)
@@ -88,7 +88,7 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
         total = state.agg(F.sum("pagerank")).first()[0] or 0.0
         scale = (1.0 / total if source_id is not None else n / total) if total else 0.0
         ranks = state.select(ID, (F.col("pagerank") * F.lit(scale)).alias("pagerank"))
-        ranks, _ = cutter.cut(ranks)
+        ranks, _ = cutter.cut(ranks, reliable=True)
         verts = result_base(g, vids).join(ranks, ID, "left").withColumn(
             "pagerank", F.coalesce("pagerank", F.lit(0.0)))
         edges = (g.edges.join(inv.withColumnRenamed(ID, SRC), SRC, "left")
@@ -101,7 +101,7 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
 
 
 def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: float = 0.15,
-                                    max_iter: int = 10, checkpoint_interval: int = 1
+                                    max_iter: int = 10, checkpoint_interval: int = 2
                                     ) -> DataFrame:
     """Personalised PageRank for many sources in one loop.
 
@@ -122,7 +122,7 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
         # bounded by driver memory and safe to broadcast
         seeds = (srcs.join(vids, F.col("source") == F.col(ID), "left_semi")
                  .select(F.col("source").alias(ID), "source"))
-        seeds, _ = cutter.cut(seeds)
+        seeds, _ = cutter.inputs(seeds)
         resets = F.broadcast(seeds.withColumn("_r", F.lit(a)))
         state, _ = cutter.cut(seeds.withColumn("pagerank", F.lit(1.0)))
         for _ in range(max_iter):
@@ -139,7 +139,7 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
         totals = state.groupBy("source").agg(F.sum("pagerank").alias("_t"))
         out = (state.join(F.broadcast(totals), "source")
                .select(ID, "source", (F.col("pagerank") / F.col("_t")).alias("pagerank")))
-        out, _ = cutter.cut(out)
+        out, _ = cutter.cut(out, reliable=True)
         return out
     finally:
         for d in cutter._inputs:

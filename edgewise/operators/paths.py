@@ -24,7 +24,7 @@ def _typed_list(spark, values, dtype, name):
     return spark.createDataFrame([(v,) for v in values], f"{name} {dtype.simpleString()}")
 
 
-def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 1) -> DataFrame:
+def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 2) -> DataFrame:
     """Hop distance from every vertex **to** each landmark, along edge direction.
 
     Long form ``(id, landmark, distance)``; a landmark is at distance 0 from
@@ -42,7 +42,8 @@ def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 1) -> DataFra
         # messages travel against edge direction: the frontier holds dst ids
         layout = KeyedEdges(pairs, DST, SRC, cutter=cutter, total_edges=m,
                             vertex_count=n * max(len(landmarks), 1)).persist(cutter)
-        frontier, m = cutter.cut(frontier, {"n": F.count(F.lit(1))})
+        # levels are kept for the result: always written, never just persisted
+        frontier, m = cutter.cut(frontier, {"n": F.count(F.lit(1))}, reliable=True)
         levels = [frontier]
         d = 0
         while m["n"]:
@@ -52,7 +53,7 @@ def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 1) -> DataFra
                    .select(F.col(SRC).alias(ID), "landmark").distinct()
                    .join(seen, [ID, "landmark"], "left_anti")
                    .withColumn("distance", F.lit(d)))
-            frontier, m = cutter.cut(nxt, {"n": F.count(F.lit(1))})
+            frontier, m = cutter.cut(nxt, {"n": F.count(F.lit(1))}, reliable=True)
             if m["n"]:
                 levels.append(frontier)
         return reduce(DataFrame.unionByName, levels)
@@ -78,7 +79,7 @@ def _expr(c: Column | str) -> Column:
 
 
 def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length: int = 10,
-               checkpoint_interval: int = 1):
+               checkpoint_interval: int = 2):
     """Multi-source BFS up to the first level holding a target.
 
     Returns ``(length, kept_levels, edges)`` where ``kept_levels[i]`` holds the
@@ -93,7 +94,7 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
                             _expr(from_expr).alias("_is_source")], [SRC, DST])
     sources = v.where(F.col("_is_source")).select(ID, "_is_target")
     level, m = cutter.cut(sources, {"n": F.count(F.lit(1)),
-                                    "hit": F.sum(F.col("_is_target").cast("int"))})
+                                    "hit": F.sum(F.col("_is_target").cast("int"))}, reliable=True)
     levels = [level]
     layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=n_edges,
                         vertex_count=n).persist(cutter)
@@ -104,7 +105,7 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
                .join(seen, ID, "left_anti")
                .join(v.select(ID, "_is_target"), ID))
         level, m = cutter.cut(nxt, {"n": F.count(F.lit(1)),
-                                    "hit": F.sum(F.col("_is_target").cast("int"))})
+                                    "hit": F.sum(F.col("_is_target").cast("int"))}, reliable=True)
         levels.append(level)
         if (m["hit"] or 0) > 0:
             length = len(levels) - 1
@@ -119,7 +120,7 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
         back = (pairs
                 .join(kept[i + 1], F.col(DST) == F.col(ID), "left_semi")
                 .select(F.col(SRC).alias(ID)).distinct())
-        kept[i], _ = cutter.cut(levels[i].select(ID).join(back, ID, "left_semi"))
+        kept[i], _ = cutter.cut(levels[i].select(ID).join(back, ID, "left_semi"), reliable=True)
     return length, kept, edges
 
 

@@ -59,7 +59,7 @@ def _sum_arrays(msgs: DataFrame, arrays: list[str], scalars: list[str]) -> DataF
 
 def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float = 0.0,
                   max_value: float = 5.0, gamma1: float = 0.007, gamma2: float = 0.007,
-                  gamma6: float = 0.005, gamma7: float = 0.015, checkpoint_interval: int = 1,
+                  gamma6: float = 0.005, gamma7: float = 0.015, checkpoint_interval: int = 2,
                   rating_col: str = "weight") -> tuple[DataFrame, float]:
     cutter = StepCutter(checkpoint_interval)
     e, _ = cutter.inputs(g.edges.select(SRC, DST, F.col(rating_col).cast("double").alias("r")))

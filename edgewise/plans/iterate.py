@@ -22,21 +22,25 @@ from ..session import checkpoint_dir
 class StepCutter:
     """Materialises successive supersteps and releases superseded ones."""
 
-    def __init__(self, interval: int = 1):
+    def __init__(self, interval: int = 2):
         self.interval = max(int(interval), 1)
         self._steps: list[DataFrame] = []   # persisted, not yet superseded
         self._inputs: list[DataFrame] = []  # loop invariants
         self._count = 0
 
-    def cut(self, df: DataFrame, metrics: dict[str, Column] | None = None
-            ) -> tuple[DataFrame, dict]:
-        """Materialise ``df``; returns it with the observed ``metrics``."""
+    def cut(self, df: DataFrame, metrics: dict[str, Column] | None = None,
+            reliable: bool = False) -> tuple[DataFrame, dict]:
+        """Materialise ``df``; returns it with the observed ``metrics``.
+
+        Every ``interval``-th step (and every ``reliable`` one) is written to
+        the checkpoint folder; the steps in between are persisted.
+        """
         self._count += 1
         obs = None
         if metrics:
             obs = Observation(f"step{self._count}")
             df = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
-        if self._count % self.interval == 0:
+        if reliable or self._count % self.interval == 0:
             checkpoint_dir(df.sparkSession)
             out = df.checkpoint(eager=True)
             for old in self._steps:
@@ -51,7 +55,7 @@ class StepCutter:
 
     def inputs(self, df: DataFrame) -> tuple[DataFrame, int]:
         """Checkpoint a loop input once and return it with its row count."""
-        out, m = self.cut(df, {"n": F.count(F.lit(1))})
+        out, m = self.cut(df, {"n": F.count(F.lit(1))}, reliable=True)
         return out, int(m["n"])
 
     def graph_inputs(self, vertices: DataFrame, edges: DataFrame, vertex_cols, edge_cols):
