@@ -46,49 +46,72 @@ def _out_weights(edges: DataFrame) -> DataFrame:
 def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None = None,
               tol: float | None = None, source_id=None, checkpoint_interval: int = 2,
               max_tol_iter: int = 1000) -> Graph:
-    """PageRank; returns a graph with ``pagerank`` on vertices and ``weight`` on edges."""
+    """PageRank; returns a graph with ``pagerank`` on vertices and ``weight`` on edges.
+
+    The loop state holds ranks only for vertices with in-edges: any other
+    vertex keeps the constant rank ``reset`` after the first step, which the
+    message expression supplies with a ``coalesce``.  A step is therefore one
+    join of the (weighted, laid-out) edges with the state and one partial sum
+    by ``dst``; the vertex table is joined once, at the end.
+    """
     _check_args(max_iter, tol)
     a = float(reset_probability)
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         inv = _out_weights(pairs)
-        layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
+        weighted, m = cutter.inputs(pairs.join(inv.withColumnRenamed(ID, SRC), SRC)
+                                    .withColumnRenamed("_inv", "_w"))
+        layout = KeyedEdges(weighted, SRC, DST, cutter=cutter, total_edges=m,
                             vertex_count=n).persist(cutter)
 
         if source_id is None:
-            init, reset = F.lit(1.0), F.lit(a)
+            def reset_of(c):
+                return F.lit(a)
+
+            def init_of(c):
+                return F.lit(1.0)
         else:
-            is_src = F.col(ID) == F.lit(source_id)
-            init = F.when(is_src, 1.0).otherwise(0.0)
-            reset = F.when(is_src, a).otherwise(0.0)
-        state = (vids.join(inv, ID, "left")
-                 .select(ID, F.coalesce("_inv", F.lit(0.0)).alias("_inv"),
-                         reset.alias("_reset"), init.alias("pagerank")))
-        state, _ = cutter.cut(state.repartition(layout.partitions, ID))
+            def reset_of(c):
+                return F.when(c == F.lit(source_id), F.lit(a)).otherwise(F.lit(0.0))
+
+            def init_of(c):
+                return F.when(c == F.lit(source_id), F.lit(1.0)).otherwise(F.lit(0.0))
 
+        id_type = g.vertices.schema[ID].dataType.simpleString()
+        state = spark.createDataFrame([], f"{ID} {id_type}, pagerank double")
+        default = init_of           # rank of a vertex missing from the state
         steps = max_iter if max_iter is not None else max_tol_iter
-        for _ in range(steps):
-            contrib = state.where(F.col("_inv") > 0).select(
-                ID, (F.col("pagerank") * F.col("_inv")).alias("_c"))
-            sums = (layout.attach(contrib, ID)
-                    .groupBy(F.col(DST).alias(ID)).agg(F.sum("_c").alias("_s")))
-            new = (state.join(sums, ID, "left")
-                   .select(ID, "_inv", "_reset",
-                           (F.col("_reset") + F.lit(1.0 - a) * F.coalesce("_s", F.lit(0.0)))
-                           .alias("pagerank"), F.col("pagerank").alias("_old")))
-            metrics = {"delta": F.max(F.abs(F.col("pagerank") - F.col("_old")))} if tol is not None else None
-            state, m = cutter.cut(new.drop("_old") if tol is None else new, metrics)
-            if tol is not None:
-                state = state.drop("_old")
-                if (m.get("delta") or 0.0) <= tol:
+        for i in range(steps):
+            msgs = layout.attach(state, ID, how="left")
+            contrib = F.coalesce(F.col("pagerank"), default(F.col(SRC))) * F.col("_w")
+            sums = msgs.groupBy(F.col(DST).alias(ID)).agg(F.sum(contrib).alias("_s"))
+            new = sums.select(ID, (reset_of(F.col(ID)) + F.lit(1.0 - a) * F.col("_s"))
+                              .alias("pagerank"))
+            if tol is None:
+                state, _ = cutter.cut(new)
+            else:
+                if i == 0:
+                    # first step: every vertex moves from its start value
+                    cmp = (vids.join(new, ID, "left")
+                           .select(ID, F.coalesce("pagerank", reset_of(F.col(ID))).alias("pagerank"),
+                                   init_of(F.col(ID)).alias("_old")))
+                else:
+                    cmp = new.join(state.withColumnRenamed("pagerank", "_old"), ID, "left")
+                cmp, mt = cutter.cut(cmp, {"delta": F.max(F.abs(F.col("pagerank") - F.col("_old")))})
+                state = cmp.drop("_old")
+                if (mt.get("delta") or 0.0) <= tol:
+                    default = reset_of
                     break
+            default = reset_of
 
-        total = state.agg(F.sum("pagerank")).first()[0] or 0.0
+        full = vids.join(state, ID, "left").select(
+            ID, F.coalesce(F.col("pagerank"), default(F.col(ID))).alias("pagerank"))
+        full, fm = cutter.cut(full, {"total": F.sum("pagerank")}, reliable=True)
+        total = fm.get("total") or 0.0
         scale = (1.0 / total if source_id is not None else n / total) if total else 0.0
-        ranks = state.select(ID, (F.col("pagerank") * F.lit(scale)).alias("pagerank"))
-        ranks, _ = cutter.cut(ranks, reliable=True)
+        ranks = full.select(ID, (F.col("pagerank") * F.lit(scale)).alias("pagerank"))
         verts = result_base(g, vids).join(ranks, ID, "left").withColumn(
             "pagerank", F.coalesce("pagerank", F.lit(0.0)))
         edges = (g.edges.join(inv.withColumnRenamed(ID, SRC), SRC, "left")
@@ -112,11 +135,13 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         srcs = spark.createDataFrame([(s,) for s in source_ids],
                                      f"source {g.vertices.schema[ID].dataType.simpleString()}")
         inv = _out_weights(pairs)
-        layout = KeyedEdges(pairs, SRC, DST, cutter=cutter, total_edges=m,
+        weighted, m = cutter.inputs(pairs.join(inv.withColumnRenamed(ID, SRC), SRC)
+                                    .withColumnRenamed("_inv", "_w"))
+        layout = KeyedEdges(weighted, SRC, DST, cutter=cutter, total_edges=m,
                             vertex_count=n * max(len(source_ids), 1)).persist(cutter)
         # sources must be vertices; the list comes from the caller, so it is
         # bounded by driver memory and safe to broadcast
@@ -126,10 +151,9 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
         resets = F.broadcast(seeds.withColumn("_r", F.lit(a)))
         state, _ = cutter.cut(seeds.withColumn("pagerank", F.lit(1.0)))
         for _ in range(max_iter):
-            contrib = (state.join(inv, ID)
-                       .select(ID, "source", (F.col("pagerank") * F.col("_inv")).alias("_c")))
-            sums = (layout.attach(contrib, ID)
-                    .groupBy(F.col(DST).alias(ID), "source").agg(F.sum("_c").alias("_s")))
+            sums = (layout.attach(state, ID)
+                    .groupBy(F.col(DST).alias(ID), "source")
+                    .agg(F.sum(F.col("pagerank") * F.col("_w")).alias("_s")))
             new = (sums.join(resets, [ID, "source"], "full")
                    .select(ID, "source",
                            (F.coalesce("_r", F.lit(0.0))

@@ -219,3 +219,13 @@ def test_power_iteration_clustering_two_blocks(spark):
     got = as_dict(g.power_iteration_clustering(2, 20).select("id", "cluster"))
     assert len({got[i] for i in range(4)}) == 1 and len({got[i] for i in range(11, 15)}) == 1
     assert got[0] != got[12]
+
+
+def test_graph_persist_checkpoint_roundtrip(spark):
+    g = make_graph(spark, [(1, 2), (2, 3)])
+    p = g.persist()
+    assert p.vertices.is_cached and p.edges.is_cached
+    p.unpersist()
+    c = g.checkpoint()
+    assert c.vertices.count() == 3 and c.edges.count() == 2
+    assert "ExistingRDD" in c.edges._jdf.queryExecution().executedPlan().toString()
