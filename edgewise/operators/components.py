@@ -99,18 +99,21 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
             e_rem, _ = cutter.inputs(restrict(e_rem, alive))
         if not n_rem:
             break
-        # forward colouring: colour = smallest id that reaches the vertex
-        color, _ = cutter.cut(v_rem.select(ID, F.col(ID).alias("color")))
+        # forward colouring: colour = smallest id that reaches the vertex.
+        # Only vertices whose colour dropped in the last round send messages.
+        color, _ = cutter.cut(v_rem.select(ID, F.col(ID).alias("color"),
+                                           F.lit(True).alias("_changed")))
         while True:
-            msg = (e_rem.join(color.select(F.col(ID).alias(SRC), "color"), SRC)
+            senders = color.where(F.col("_changed")).select(F.col(ID).alias(SRC), "color")
+            msg = (e_rem.join(senders, SRC)
                    .groupBy(F.col(DST).alias(ID)).agg(F.min("color").alias("_m")))
             new = (color.join(msg, ID, "left")
                    .select(ID, F.least("color", F.coalesce("_m", F.col("color"))).alias("color"),
-                           F.col("color").alias("_old")))
-            color, cm = cutter.cut(new, {"changed": F.sum((F.col("color") != F.col("_old")).cast("int"))})
-            color = color.drop("_old")
+                           F.coalesce(F.col("_m") < F.col("color"), F.lit(False)).alias("_changed")))
+            color, cm = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))})
             if not cm["changed"]:
                 break
+        color = color.drop("_changed")
         # backward: from each root, the vertices of its colour that reach it
         e_col = (e_rem.join(color.select(F.col(ID).alias(SRC), F.col("color").alias("_cs")), SRC)
                  .join(color.select(F.col(ID).alias(DST), F.col("color").alias("_cd")), DST)
