@@ -6,7 +6,9 @@ directions, parallel edges count separately) and takes the most frequent
 one.  Ties go to the smallest label (pinned; the classic library breaks
 them arbitrarily).  A vertex without neighbours keeps its label.
 
-Votes are counted with two aggregations, ``(id, label) -> count`` then
+The state holds only vertices with neighbours, so a round is one join of
+the laid-out edges with it and two aggregations, without a join against the
+whole vertex table.  Votes are counted with two aggregations, ``(id, label) -> count`` then
 ``id -> min_by(label, (-count, label))``, both with map-side partial
 aggregation, so a hub never gathers its neighbour list in one place.
 """
@@ -31,17 +33,21 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 2) ->
         sym, m = cutter.inputs(sym)
         layout = KeyedEdges(sym, "a", "b", cutter=cutter, total_edges=m,
                             vertex_count=n).persist(cutter)
-        labels, _ = cutter.cut(vids.select(ID, F.col(ID).alias("label")))
+        # Every vertex with a neighbour receives votes in every round, so the
+        # new labels are exactly the vote winners; a vertex missing from the
+        # state (before the first round, or isolated) carries its own id.
+        id_type = g.vertices.schema[ID].dataType.simpleString()
+        labels = vids.sparkSession.createDataFrame([], f"{ID} {id_type}, label {id_type}")
         for _ in range(max_iter):
-            votes = (layout.attach(labels, ID)
+            votes = (layout.attach(labels, ID, how="left")
+                     .select("b", F.coalesce(F.col("label"), F.col("a")).alias("label"))
                      .groupBy(F.col("b").alias(ID), "label").agg(F.count(F.lit(1)).alias("_n")))
             best = votes.groupBy(ID).agg(
                 F.min_by("label", F.struct((-F.col("_n")).alias("k"), F.col("label").alias("l")))
-                .alias("_best"))
-            new = (labels.join(best, ID, "left")
-                   .select(ID, F.coalesce("_best", "label").alias("label")))
-            labels, _ = cutter.cut(new)
-        return result_base(g, vids).join(labels, ID, "left")
+                .alias("label"))
+            labels, _ = cutter.cut(best)
+        return (result_base(g, vids).join(labels, ID, "left")
+                .withColumn("label", F.coalesce(F.col("label"), F.col(ID))))
     finally:
         for d in cutter._inputs:
             d.unpersist(blocking=False)
