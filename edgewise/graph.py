@@ -123,6 +123,66 @@ class Graph:
         from .operators.svdpp import svd_plus_plus
         return svd_plus_plus(self, **kw)
 
+    # ---- camelCase spellings (the usual graph-library call style) ----------
+    @property
+    def inDegrees(self) -> DataFrame:  # noqa: N802
+        return self.in_degrees
+
+    @property
+    def outDegrees(self) -> DataFrame:  # noqa: N802
+        return self.out_degrees
+
+    def filterVertices(self, condition) -> "Graph":  # noqa: N802
+        return self.filter_vertices(condition)
+
+    def filterEdges(self, condition) -> "Graph":  # noqa: N802
+        return self.filter_edges(condition)
+
+    def dropIsolatedVertices(self) -> "Graph":  # noqa: N802
+        return self.drop_isolated_vertices()
+
+    def pageRank(self, resetProbability: float = 0.15, sourceId=None, maxIter=None,  # noqa: N802
+                 tol=None) -> "Graph":
+        return self.page_rank(reset_probability=resetProbability, source_id=sourceId,
+                              max_iter=maxIter, tol=tol)
+
+    def parallelPersonalizedPageRank(self, resetProbability: float = 0.15,  # noqa: N802
+                                     sourceIds=None, maxIter: int = 10) -> DataFrame:
+        return self.parallel_personalized_page_rank(
+            source_ids=list(sourceIds or []), reset_probability=resetProbability, max_iter=maxIter)
+
+    def shortestPaths(self, landmarks) -> DataFrame:  # noqa: N802
+        """Vertices with a ``distances`` map, as the map-valued call returns."""
+        from .operators.paths import distances_map
+        return distances_map(self, self.shortest_paths(list(landmarks)))
+
+    def triangleCount(self) -> DataFrame:  # noqa: N802
+        return self.triangle_count()
+
+    def connectedComponents(self, algorithm: str = "large_star",  # noqa: N802
+                            checkpointInterval: int = 2) -> DataFrame:
+        return self.connected_components(algorithm=algorithm,
+                                         checkpoint_interval=checkpointInterval)
+
+    def stronglyConnectedComponents(self, maxIter: int = 10_000) -> DataFrame:  # noqa: N802
+        return self.strongly_connected_components(max_iter=maxIter)
+
+    def labelPropagation(self, maxIter: int) -> DataFrame:  # noqa: N802
+        return self.label_propagation(maxIter)
+
+    def aggregateMessages(self, *aggs, sendToSrc=None, sendToDst=None) -> DataFrame:  # noqa: N802
+        return self.aggregate_messages(*aggs, send_to_src=sendToSrc, send_to_dst=sendToDst)
+
+    def powerIterationClustering(self, k: int, maxIter: int, weightCol=None) -> DataFrame:  # noqa: N802
+        return self.power_iteration_clustering(k, maxIter, weightCol)
+
+    def svdPlusPlus(self, rank: int = 10, maxIter: int = 2, minValue: float = 0.0,  # noqa: N802
+                    maxValue: float = 5.0, gamma1: float = 0.007, gamma2: float = 0.007,
+                    gamma6: float = 0.005, gamma7: float = 0.015):
+        return self.svd_plus_plus(rank=rank, max_iter=maxIter, min_value=minValue,
+                                  max_value=maxValue, gamma1=gamma1, gamma2=gamma2,
+                                  gamma6=gamma6, gamma7=gamma7)
+
     # ---- storage -----------------------------------------------------------
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "Graph":
         return Graph(self.vertices.persist(level), self.edges.persist(level))

@@ -50,9 +50,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.distinct()
 
 
-def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int = 200
-                         ) -> DataFrame:
-    """Vertices with ``component`` = smallest id in their weak component."""
+def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int = 200,
+                         algorithm: str = "large_star") -> DataFrame:
+    """Vertices with ``component`` = smallest id in their weak component.
+
+    ``algorithm="large_star"`` (default) alternates large-star / small-star
+    rounds, O(log n) of them; ``"min_label"`` propagates the smallest id along
+    edges, one round per hop of the graph's diameter, sending messages only
+    from vertices whose label dropped.
+    """
+    if algorithm == "min_label":
+        return _min_label_components(g, checkpoint_interval)
+    if algorithm != "large_star":
+        raise ValueError(f"unknown algorithm {algorithm!r}: use 'large_star' or 'min_label'")
     cutter = StepCutter(checkpoint_interval)
     vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
     e = (pairs.where(F.col(SRC) != F.col(DST))
@@ -72,6 +82,28 @@ def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
 
+def _min_label_components(g: Graph, checkpoint_interval: int) -> DataFrame:
+    cutter = StepCutter(checkpoint_interval)
+    vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+    sym, _ = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST))
+                           .select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
+                           .union(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b")))
+                           .distinct())
+    label, _ = cutter.cut(vids.select(ID, F.col(ID).alias("component"), F.lit(True).alias("_changed")))
+    while True:
+        senders = label.where(F.col("_changed")).select(F.col(ID).alias("a"), "component")
+        msg = sym.join(senders, "a").groupBy(F.col("b").alias(ID)).agg(F.min("component").alias("_m"))
+        new = (label.join(msg, ID, "left")
+               .select(ID, F.least("component", F.coalesce("_m", F.col("component"))).alias("component"),
+                       F.coalesce(F.col("_m") < F.col("component"), F.lit(False)).alias("_changed")))
+        label, m = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))})
+        if not m["changed"]:
+            break
+    label = label.drop("_changed")
+    return result_base(g, vids).join(label, ID, "left").withColumn(
+        "component", F.coalesce(F.col("component"), F.col(ID)))
+
+
 def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
                                   max_iter: int = 10_000, trim_rounds: int = 10) -> DataFrame:
     """Vertices with ``component`` = smallest id among mutually reachable vertices."""

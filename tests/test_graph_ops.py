@@ -229,3 +229,18 @@ def test_graph_persist_checkpoint_roundtrip(spark):
     c = g.checkpoint()
     assert c.vertices.count() == 3 and c.edges.count() == 2
     assert "ExistingRDD" in c.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_camel_case_calls(spark):
+    from brute import components as cc_brute
+    vs, es = rand_graph(12, n=30, m=30)
+    g = make_graph(spark, es, vertices=vs)
+    want = cc_brute(vs, es)
+    assert as_dict(g.connectedComponents(algorithm="min_label").select("id", "component")) == want
+    assert as_dict(g.connectedComponents().select("id", "component")) == want
+    pr = as_dict(g.pageRank(resetProbability=0.15, maxIter=3).vertices.select("id", "pagerank"))
+    assert sum(pr.values()) == pytest.approx(len(vs))
+    sp = {r.id: r.distances for r in g.shortestPaths(landmarks=[0]).collect()}
+    assert sp[0] == {0: 0} and len(sp) == len(vs)
+    assert g.triangleCount().count() == len(vs)
+    assert g.inDegrees.count() > 0 and g.dropIsolatedVertices().vertices.count() <= len(vs)
