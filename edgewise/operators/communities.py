@@ -46,11 +46,12 @@ def label_propagation(g: Graph, max_iter: int, checkpoint_interval: int = 2) ->
                 F.min_by("label", F.struct((-F.col("_n")).alias("k"), F.col("label").alias("l")))
                 .alias("label"))
             labels, _ = cutter.cut(best)
-        return (result_base(g, vids).join(labels, ID, "left")
-                .withColumn("label", F.coalesce(F.col("label"), F.col(ID))))
+        out = (result_base(g, vids).join(labels, ID, "left")
+               .withColumn("label", F.coalesce(F.col("label"), F.col(ID))))
+        cutter.close(keep=[labels])
+        return out
     finally:
-        for d in cutter._inputs:
-            d.unpersist(blocking=False)
+        cutter.close(keep=[labels] if "labels" in locals() else [])
 
 
 def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col: str | None = None,

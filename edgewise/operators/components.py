@@ -78,6 +78,7 @@ def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int
         raise RuntimeError("connected components did not converge")
     # converged: stars (x -> component minimum y)
     comp = e.groupBy(F.col("x").alias(ID)).agg(F.min("y").alias("component"))
+    cutter.close(keep=[e])
     return (result_base(g, vids).join(comp, ID, "left")
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
@@ -99,6 +100,7 @@ def _min_label_components(g: Graph, checkpoint_interval: int) -> DataFrame:
         label, m = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))})
         if not m["changed"]:
             break
+    cutter.close(keep=[label])
     label = label.drop("_changed")
     return result_base(g, vids).join(label, ID, "left").withColumn(
         "component", F.coalesce(F.col("component"), F.col(ID)))
@@ -170,6 +172,7 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
         if not n_rem:
             break
         e_rem, _ = cutter.inputs(restrict(e_rem, v_rem))
+    cutter.close()
     comp = reduce(DataFrame.unionByName, done) if done else None
     base = result_base(g, v_all)
     if comp is None:

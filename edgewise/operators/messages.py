@@ -134,4 +134,5 @@ class Pregel:
             new = new.select(*[F.col(c) for c in state.columns if c not in names],
                              *[update.alias(name) for name, _, update in self._cols])
             state, _ = cutter.cut(new)
+        cutter.close(keep=[state])
         return state

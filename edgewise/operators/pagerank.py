@@ -118,9 +118,8 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
                  .withColumnRenamed("_inv", "weight"))
         return Graph(verts, edges)
     finally:
-        # ranks live in the checkpoint folder; only persisted inputs are freed
-        for d in cutter._inputs:
-            d.unpersist(blocking=False)
+        # the result reads only checkpointed tables
+        cutter.close()
 
 
 def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: float = 0.15,
@@ -166,5 +165,4 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
         out, _ = cutter.cut(out, reliable=True)
         return out
     finally:
-        for d in cutter._inputs:
-            d.unpersist(blocking=False)
+        cutter.close()

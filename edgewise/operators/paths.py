@@ -58,8 +58,7 @@ def shortest_paths(g: Graph, landmarks, checkpoint_interval: int = 2) -> DataFra
                 levels.append(frontier)
         return reduce(DataFrame.unionByName, levels)
     finally:
-        for df in cutter._inputs:
-            df.unpersist(blocking=False)
+        cutter.close()
 
 
 def distances_map(g: Graph, long_form: DataFrame) -> DataFrame:
@@ -121,6 +120,7 @@ def bfs_levels(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length:
                 .join(kept[i + 1], F.col(DST) == F.col(ID), "left_semi")
                 .select(F.col(SRC).alias(ID)).distinct())
         kept[i], _ = cutter.cut(levels[i].select(ID).join(back, ID, "left_semi"), reliable=True)
+    cutter.close()
     return length, kept, edges
 
 

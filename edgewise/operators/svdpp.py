@@ -108,6 +108,7 @@ def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float
                        .otherwise(array_add("f2", "a2")).alias("f2"),
                        (F.col("bias") + F.coalesce("db", F.lit(0.0))).alias("bias"), "norm"))
         state, _ = cutter.cut(new)
+    cutter.close(keep=[state])
     out = g.vertices.join(state, ID, "left").select(
         *[F.col(c) for c in g.vertices.columns],
         F.col("f1").alias("column1"), F.col("f2").alias("column2"),

@@ -51,6 +51,7 @@ def triangle_count(g: Graph) -> DataFrame:
     cutter = StepCutter()
     vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
     o, _ = cutter.inputs(oriented_edges(pairs))
+    cutter.close()
     per = (triangles_of(o).select(F.explode(F.array("x", "y", "z")).alias(ID))
            .groupBy(ID).agg(F.count(F.lit(1)).alias("count")))
     return (result_base(g, vids).join(per, ID, "left")

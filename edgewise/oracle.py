@@ -465,3 +465,5 @@ FROM ({REQUEST_OUTCOMES}) GROUP BY 1
 """
 SQL["first_arrivals_stream"] = SQL["first_arrivals"]
 SQL["request_outcomes_stream"] = REQUEST_OUTCOMES
+
+SQL["connected_components_min_label"] = weak_components_sql(PART_NEXT_HEAVY)

@@ -82,10 +82,14 @@ class StepCutter:
         self._inputs.append(out)
         return out
 
-    def close(self) -> None:
+    def close(self, keep=()) -> None:
+        """Release every persisted step and input except those in ``keep``
+        (the ones a returned, still lazy, result reads)."""
+        kept = [d for d in self._steps + self._inputs if any(d is k for k in keep)]
         for d in self._steps + self._inputs:
-            d.unpersist(blocking=False)
-        self._steps, self._inputs = [], []
+            if not any(d is k for k in keep):
+                d.unpersist(blocking=False)
+        self._steps, self._inputs = kept, []
 
 
 def materialize(df: DataFrame, metrics: dict[str, Column] | None = None

@@ -381,3 +381,12 @@ def svd_plus_plus(spark, sf):
 
 
 QUERIES["svd_plus_plus"] = svd_plus_plus
+
+
+def connected_components_min_label(spark, sf):
+    """Connected components by min-label propagation (the O(diameter) option)."""
+    g = fx.part_next_heavy(spark, sf)
+    return g.connected_components(algorithm="min_label").select("id", "component")
+
+
+QUERIES["connected_components_min_label"] = connected_components_min_label
