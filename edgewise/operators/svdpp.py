@@ -11,9 +11,9 @@ Edges are ratings ``src`` (user) -> ``dst`` (item) with the value in
    gamma6 / gamma7 regularisation);
 3. every vertex adds the sum of the steps it received.
 
-Array sums are taken per position (``posexplode`` -> group by (id, pos)),
-so a popular item is reduced with partial aggregation and never gathers its
-raters into one row.  Factors start from a seeded hash of (id, position), so
+Array sums are one hash aggregate with a partial sum per position (the
+rank is a small parameter), so a popular item is reduced inside every task
+and never gathers its raters into one row.  Factors start from a seeded hash of (id, position), so
 runs are reproducible.  Returns the vertices with ``column1`` .. ``column4``
 (f1, f2, bias, norm) and the mean rating.
 """
@@ -38,23 +38,15 @@ def _init(rank: int, tag: int):
     return F.array(*[hash_uniform(F.col(ID), F.lit(k), F.lit(tag)) for k in range(rank)])
 
 
-def _field(name: str):
-    """One-argument lambda for ``transform`` (a second argument would be the index)."""
-    return lambda s: s.getField(name)
-
-
-def _sum_arrays(msgs: DataFrame, arrays: list[str], scalars: list[str]) -> DataFrame:
-    """Per-id element-wise sums of array columns plus sums of scalar columns."""
-    zipped = F.arrays_zip(*[F.col(a).alias(a) for a in arrays])
-    per_pos = (msgs.select(ID, F.posexplode(zipped).alias("_pos", "_z"))
-               .groupBy(ID, "_pos").agg(*[F.sum(f"_z.{a}").alias(a) for a in arrays]))
-    rebuilt = per_pos.groupBy(ID).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", *arrays))).alias("_s"))
-    rebuilt = rebuilt.select(ID, *[F.transform("_s", _field(a)).alias(a) for a in arrays])
-    if not scalars:
-        return rebuilt
-    sc = msgs.groupBy(ID).agg(*[F.sum(c).alias(c) for c in scalars])
-    return rebuilt.join(sc, ID)
+def _sum_arrays(msgs: DataFrame, arrays: list[str], scalars: list[str], rank: int) -> DataFrame:
+    """Per-id element-wise sums of array columns of length ``rank`` plus sums
+    of scalar columns: one hash aggregate with a partial sum per position,
+    so a popular vertex is reduced inside every task before the shuffle."""
+    aggs = [F.sum(F.col(a)[k]).alias(f"_{a}_{k}") for a in arrays for k in range(rank)]
+    aggs += [F.sum(c).alias(c) for c in scalars]
+    summed = msgs.groupBy(ID).agg(*aggs)
+    return summed.select(ID, *[F.array(*[F.col(f"_{a}_{k}") for k in range(rank)]).alias(a)
+                               for a in arrays], *scalars)
 
 
 def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float = 0.0,
@@ -77,7 +69,7 @@ def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float
     for _ in range(max_iter):
         # 1. implicit term per user
         ysum = _sum_arrays(e.join(state.select(F.col(ID).alias(DST), F.col("f2").alias("y")), DST)
-                           .select(F.col(SRC).alias(ID), "y"), ["y"], [])
+                           .select(F.col(SRC).alias(ID), "y"), ["y"], [], rank)
         users = (state.join(ysum, ID, "left")
                  .select(ID, F.when(F.col("y").isNull(), F.col("f1"))
                          .otherwise(_axpy(F.col("norm"), F.col("y"), F.col("f1"))).alias("imp")))
@@ -99,7 +91,7 @@ def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float
                            ((err - F.lit(gamma6) * F.col("u_bias")) * F.lit(gamma1)).alias("db"))
         to_item = t.select(F.col(DST).alias(ID), d_q.alias("a1"), d_y.alias("a2"),
                            ((err - F.lit(gamma6) * F.col("i_bias")) * F.lit(gamma1)).alias("db"))
-        steps = _sum_arrays(to_user.unionByName(to_item), ["a1", "a2"], ["db"])
+        steps = _sum_arrays(to_user.unionByName(to_item), ["a1", "a2"], ["db"], rank)
         new = (state.join(steps, ID, "left")
                .select(ID,
                        F.when(F.col("a1").isNull(), F.col("f1"))
@@ -124,8 +116,9 @@ def training_rmse(g: Graph, factors: DataFrame, mu: float, min_value: float = 0.
     i = factors.select(F.col(ID).alias("_i"), F.col("column1").alias("q"),
                        F.col("column2").alias("y"), F.col("column3").alias("bi"))
     e = g.edges.select(SRC, DST, F.col(rating_col).cast("double").alias("r"))
+    rank = factors.select(F.size("column1")).first()[0]
     ysum = _sum_arrays(e.join(i, F.col(DST) == F.col("_i")).select(F.col(SRC).alias(ID), "y"),
-                       ["y"], []).select(F.col(ID).alias("_s"), F.col("y").alias("ysum"))
+                       ["y"], [], rank).select(F.col(ID).alias("_s"), F.col("y").alias("ysum"))
     t = (e.join(u, F.col(SRC) == F.col("_u")).join(i, F.col(DST) == F.col("_i"))
          .join(ysum, F.col(SRC) == F.col("_s")))
     imp = _axpy(F.col("nu"), F.col("ysum"), F.col("p"))
