@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing
+from . import bpe, exact_dedup, langid, mixing, ngram_join
 from .common import held_out, load
 
 
+def tokenizer_path() -> str:
+    """Place of the public word-level BPE file."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    vocabulary = bpe.read_vocabulary(tokenizer_path())
+    return bpe.encoded(docs, vocabulary, bpe.compile_lexicon(docs, vocabulary), ["doc_id"], digests=True)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     targets, blocks = mixing.plan(docs)
@@ -17,6 +29,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(load(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(load(spark, sf_dir, "documents"))
 
@@ -26,7 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op6_mix_sources, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op4_bpe_encode, op6_mix_sources, op8_ngram_jaccard, op9_exact_dedup, op10_language_id)}
 
 SQL = {
     "op9_exact_dedup": """
