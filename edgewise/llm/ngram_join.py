@@ -43,9 +43,12 @@ from .shingles import mix, shingle_hashes, word_hashes
 #: percent of the union that the intersection reaches, words a shingle
 SIMILARITY, WORDS = 85, 4
 #: documents in the cost sample, share of them that makes a signature hot, parts of a hot centre
-SAMPLE_DOCS, HOT_SHARE, CENTRE_ROWS = 4096, 0.002, 1024
+SAMPLE_DOCS, HOT_SHARE, CENTRE_ROWS = 2048, 0.002, 1024
 #: rounds of one centre a bucket before the exhaustive one
 CENTRE_ROUNDS = 2
+#: bits of the parity sketch: they differ in no more places than the sets do
+SKETCH_BITS = 512
+SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _BAND_GROWTH = 1.5
 
 
@@ -162,6 +165,12 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return (a ^ (1 << 63)) - (1 << 63), (b << 32) | len(tokens)
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH_BITS`` hash classes whether it holds an odd number of shingles."""
+    at = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=SKETCH_BITS) & 1).view(np.int64)
+
+
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     for hashes in word_hashes([normalise(t) for t in texts]):
         yield shingle_hashes(hashes, words)
@@ -169,16 +178,18 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 # ---- on Spark -----------------------------------------------------------------------------------
 
-def keyed(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns with the set key (k1, k2)."""
-    schema = T.StructType([*(field(docs, c) for c in keep), T.StructField("k1", T.LongType()),
-                           T.StructField("k2", T.LongType())])
+def keyed(docs: DataFrame, words: int, keep: list[str], sketch: bool = False) -> DataFrame:
+    """``keep`` columns with the set key (k1, k2), and the sketch if asked for."""
+    more = ["k1", "k2", *(SKETCH if sketch else [])]
+    schema = T.StructType([*(field(docs, c) for c in keep), *(T.StructField(n, T.LongType()) for n in more)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [set_key(s) for s in shingle_sets(column(batch, "text").to_pylist(), words)]
-        return pa.RecordBatch.from_arrays(
-            [*(column(batch, c) for c in keep), pa.array([k[0] for k in keys], pa.int64()),
-             pa.array([k[1] for k in keys], pa.int64())], names=schema.names)
+        sets = list(shingle_sets(column(batch, "text").to_pylist(), words))
+        keys = np.array([set_key(s) for s in sets], np.int64)
+        if sketch:
+            keys = np.hstack([keys, np.array([parity_sketch(s) for s in sets])])
+        return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep),
+                                           *(pa.array(np.ascontiguousarray(k)) for k in keys.T)], names=schema.names)
 
     return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
@@ -324,14 +335,14 @@ def components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS
                text_col: str = "text", sample_docs: int = SAMPLE_DOCS, centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(keyed(docs, words, ["doc_id"]), "join-rows")
-    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
+    rows = staged(keyed(docs, words, ["doc_id"], sketch=True), "join-rows")
+    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in SKETCH))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     plans, hot = _costs(docs, rows.count(), similarity, words, sample_docs)
     buckets = bucket_rows(docs, plans, hot, similarity, words)
     size = F.col("k2").bitwiseAND(0xFFFFFFFF)
-    buckets = staged(staged(buckets, "join-signatures").join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
-                     .select("sig", "node", size.alias("n")).distinct(), "join-buckets")
+    buckets = staged(staged(buckets, "join-signatures").join(nodes.drop("first_id"), ["k1", "k2"])
+                     .select("sig", "node", size.alias("n"), *SKETCH).dropDuplicates(["sig", "node"]), "join-buckets")
     labels = _label_rounds(docs, rows, nodes, buckets, similarity, words, centre_rounds)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -356,19 +367,11 @@ def _label_rounds(docs: DataFrame, rows: DataFrame, nodes: DataFrame, buckets: D
         wanted, F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
     texts = staged(texts.groupBy("node").agg(F.first("text").alias("text")), "join-texts")
     labels = nodes.where(F.lit(False)).select("node", F.col("node").alias("label"))
-    checked, numbered, turn = None, None, 0
-    while True:
-        if turn < centre_rounds:
-            pairs = _centre_pairs(_several(buckets, labels), turn)
-        else:
-            if numbered is None:
-                numbered = _numbered(_several(buckets, labels))
-            if not numbered.where(F.col("all") > (1 << (turn - centre_rounds))).take(1):
-                return labels
-            pairs = _turn_pairs(numbered, labels, turn - centre_rounds)
-        turn += 1
-        pairs = pairs.where(F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * similarity) \
-            .select("centre", "node").distinct()
+    checked = None
+    for turn in range(centre_rounds + 1):
+        held = _several(buckets, labels)
+        pairs = _centre_pairs(held, turn, similarity) if turn < centre_rounds else _all_pairs(held, similarity)
+        pairs = pairs.select("centre", "node").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["centre", "node"], "left_anti")
         pairs = staged(pairs, "join-candidates")
@@ -379,46 +382,92 @@ def _label_rounds(docs: DataFrame, rows: DataFrame, nodes: DataFrame, buckets: D
         checked = turned if checked is None else checked.unionByName(turned)
         new = found.select(F.col("centre").alias("u"), F.col("node").alias("v"))
         labels = component_labels(new.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+    return labels
 
 
-def _several(buckets: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+def _several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with their label."""
     names = labels.withColumnRenamed("label", "l")
-    now = buckets.join(names, "node", "left").select("sig", "node", "n", *more, F.coalesce("l", "node").alias("label"))
+    now = buckets.join(names, "node", "left").select(*buckets.columns, F.coalesce("l", "node").alias("label"))
     per = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     per = staged(per.where("lo <> hi").select("sig"), "join-several")
     return now.join(per, "sig")
 
 
-def _centre_pairs(held: DataFrame, turn: int) -> DataFrame:
+def _near(similarity: int, other: str = "c_"):
+    """Sizes and sketches allow the two sets to link (whoever links passes)."""
+    n, m = F.col("n"), F.col(other + "n")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in SKETCH), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * similarity) & \
+        (apart * (100 + similarity) <= (n + m) * (100 - similarity))
+
+
+def _centre_pairs(held: DataFrame, turn: int, similarity: int) -> DataFrame:
     """Each member of a bucket with its centre: the node of the smallest hash this turn."""
     order = F.xxhash64("node", F.lit(turn))
-    centre = staged(held.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "node", "n", "label")).alias("c"))
-                    .select("sig", F.col("c.node").alias("centre"), F.col("c.n").alias("c_n"),
-                            F.col("c.label").alias("c_label")), "join-centre")
-    return held.join(centre, "sig").where("label <> c_label")
+    columns = ["node", "n", "label", *SKETCH]
+    centre = held.groupBy("sig").agg(F.min(F.struct(order.alias("o"), *columns)).alias("c"))
+    centre = staged(centre.select("sig", F.col("c.node").alias("centre"),
+                                  *(F.col("c." + c).alias("c_" + c) for c in columns[1:])), "join-centre")
+    return held.join(centre, "sig").where((F.col("label") != F.col("c_label")) & _near(similarity))
 
 
-def _numbered(held: DataFrame) -> DataFrame:
-    """Members of mixed buckets with their place, and whether they look for partners.
+def _all_pairs(held: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of a bucket's members in different components that :func:`_near` lets pass.
 
-    Those outside the component that is the bucket's largest now do; the others
-    are linked with each other already. Both stay as they are over all turns.
+    Buckets are cut in blocks of about ``CENTRE_ROWS`` members; a task looks at
+    two blocks at a time and sends what passes, not the pairs it looks at.
     """
-    sizes = held.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("members", "label")).alias("m"), F.sum("members").alias("all"))
-    main = staged(main.select("sig", F.col("m.label").alias("main"), "all"), "join-main")
-    at = F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1
-    return staged(held.withColumn("at", at).join(main, "sig").select(
-        "sig", "node", "n", "at", "all", (F.col("label") != F.col("main")).alias("looks")), "join-numbered")
-
-
-def _turn_pairs(numbered: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members of different components, ``2**turn`` to ``2**(turn + 1) - 1`` places on."""
-    held = staged(_several(numbered, labels, "at", "all", "looks"), "join-held")
-    far = F.explode(F.sequence(F.lit(1 << turn), F.least(F.lit((2 << turn) - 1), F.col("all") - 1)))
-    look = held.where(F.col("looks") & (F.col("all") > (1 << turn))).withColumn("far", far).select(
-        "sig", F.pmod(F.col("at") + F.col("far"), F.col("all")).cast("int").alias("at"), "node", "n", "label")
-    other = held.select("sig", "at", F.col("node").alias("centre"), F.col("n").alias("c_n"),
-                        F.col("label").alias("c_label"))
-    return look.join(other, ["sig", "at"]).where("label <> c_label")
+    columns = ["node", "n", "label", *SKETCH]
+    sizes = held.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("blocks"))
+    rows = held.join(staged(sizes, "join-blocks"), "sig") \
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.select("sig", "mine", *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+                       .alias("other"))
+    rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine",
+                       *columns)
+    keys = ["sig", "lo", "hi"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "mine")
+
+    def near(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+        """(node, node) rows; columns: node, n, label, sketch."""
+        for at in range(0, len(a), 64):
+            x, y = a[at:at + 64, None, :], b[None, :, :]
+            total = x[..., 1] + y[..., 1]
+            ok = (x[..., 2] != y[..., 2]) & (np.minimum(x[..., 1], y[..., 1]) * 100
+                                             >= np.maximum(x[..., 1], y[..., 1]) * similarity)
+            differ = (x[..., 3:] ^ y[..., 3:]).view(np.uint64)  # signed numbers would be counted by their size
+            apart = np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
+            i, j = np.nonzero(ok & (apart * (100 + similarity) <= total * (100 - similarity)))
+            if len(i):
+                yield np.stack([a[at + i, 0], b[j, 0]], axis=1)
+
+    def looked(group: np.ndarray) -> Iterator[np.ndarray]:
+        mine, rows = group[:, 3], group[:, 4:]
+        if mine[0] == mine[-1] and group[0, 1] == group[0, 2]:
+            for at in range(0, len(rows), CENTRE_ROWS):
+                part = rows[at:at + CENTRE_ROWS]
+                for found in near(part, rows[at:]):
+                    yield found[found[:, 0] != found[:, 1]]
+        else:
+            cut = int(np.searchsorted(mine, mine[0], side="right"))
+            yield from near(rows[:cut], rows[cut:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((0, 4 + len(columns)), np.int64)
+        for batch in batches:
+            rest = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64)])
+            edges = np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(axis=1)) + 1
+            if len(edges):
+                yield from send(np.split(rest[:edges[-1]], edges[:-1]))
+                rest = rest[edges[-1]:]
+        if len(rest):
+            yield from send([rest])
+
+    def send(groups: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for found in (f for g in groups if len(g) > 1 for f in looked(g)):
+            if len(found):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["centre", "node"])
+
+    return rows.mapInArrow(run, "centre long, node long")
