@@ -78,42 +78,60 @@ def _log_choose(n: Column, k: Column) -> Column:
     return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def hypergeometric(good: Column, all_: Column, draws: Column, u: Column) -> Column:
     """A draw of the good among ``draws`` out of ``all_``, by inverse distribution at ``u``.
 
     The support is cut at 12 standard deviations (and 12 more) from the mean.
     """
-    lo = F.greatest(F.lit(0).cast("long"), draws + good - all_)
-    hi = F.least(draws, good)
-    n = F.greatest(all_, F.lit(1)).cast("double")
-    mean = draws * good / n
-    sd = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - good / n) * (n - draws) / F.greatest(n - 1, F.lit(1.0))))
-    first = F.greatest(lo, F.floor(mean - 12 * sd - 12).cast("long"))
-    last = F.least(hi, F.ceil(mean + 12 * sd + 12).cast("long"))
-    at = F.least(last, F.greatest(first, F.floor(mean).cast("long")))
-    log_p = lambda k: _log_choose(good, k) + _log_choose(all_ - good, draws - k)
-    peak = log_p(at)
-    ps = F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("k"), F.exp(log_p(k) - peak).alias("p")))
-    whole = F.aggregate(ps, F.lit(0.0), lambda a, x: a + x["p"])
-    start = F.struct(F.lit(0.0).alias("sum"), last.alias("k"), F.lit(False).alias("done"))
-    picked = F.aggregate(ps, start, lambda a, x: F.struct(
-        (a["sum"] + x["p"]).alias("sum"),
-        F.when(a["done"], a["k"]).when(a["sum"] + x["p"] >= u * whole, x["k"]).otherwise(a["k"]).alias("k"),
-        (a["done"] | (a["sum"] + x["p"] >= u * whole)).alias("done")))
-    return picked["k"]
+    def moments(x: Column) -> Column:
+        n = F.greatest(x["all"], F.lit(1)).cast("double")
+        mean = x["draws"] * x["good"] / n
+        var = mean * (1 - x["good"] / n) * (n - x["draws"]) / F.greatest(n - 1, F.lit(1.0))
+        return F.struct(x.alias("x"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), var)).alias("sd"))
+
+    def support(m: Column) -> Column:
+        x, far = m["x"], 12 * m["sd"] + 12
+        lo = F.greatest(F.lit(0).cast("long"), x["draws"] + x["good"] - x["all"])
+        return F.struct(x.alias("x"), F.floor(m["mean"]).cast("long").alias("mid"),
+                        F.greatest(lo, F.floor(m["mean"] - far).cast("long")).alias("first"),
+                        F.least(x["draws"], x["good"], F.ceil(m["mean"] + far).cast("long")).alias("last"))
+
+    def log_p(x: Column, k: Column) -> Column:
+        return _log_choose(x["good"], k) + _log_choose(x["all"] - x["good"], x["draws"] - k)
+
+    def weights(s: Column) -> Column:
+        return _let(log_p(s["x"], F.least(s["last"], F.greatest(s["first"], s["mid"]))), lambda peak: F.struct(
+            s["x"]["u"].alias("u"), s["first"].alias("first"),
+            F.transform(F.sequence(s["first"], s["last"]), lambda k: F.exp(log_p(s["x"], k) - peak)).alias("p")))
+
+    def pick(w: Column) -> Column:
+        goal = w["u"] * F.aggregate(w["p"], F.lit(0.0), lambda a, p: a + p)
+        # as many steps up as partial sums stay below the goal
+        steps = _let(goal, lambda g: F.aggregate(
+            w["p"], F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
+            lambda a, p: F.struct((a["sum"] + p).alias("sum"),
+                                  (a["n"] + (a["sum"] + p < g).cast("long")).alias("n")))["n"])
+        return w["first"] + F.least(steps, F.size(w["p"]) - 1)
+
+    given = F.struct(good.alias("good"), all_.alias("all"), draws.alias("draws"), u.alias("u"))
+    return _let(_let(_let(_let(given, moments), support), weights), pick)
 
 
 def _split(counts: Column, draws: Column, node: Column, seed: int) -> Column:
     """Left share of each source's count: ``draws`` blocks in all."""
     start = F.struct(draws.alias("draws"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x).alias("all"),
                      F.array().cast("array<bigint>").alias("out"))
-    def step(a, c):
+
+    def step(a: Column, c: Column) -> Column:
         u = (F.pmod(_hash(node, F.size(a["out"]), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        k = hypergeometric(c, a["all"], a["draws"], u)
-        # evaluate the draw once: bind it as the element of a one-element array
-        return F.transform(F.array(k), lambda d: F.struct(
-            (a["draws"] - d).alias("draws"), (a["all"] - c).alias("all"),
-            F.concat(a["out"], F.array(d)).alias("out")))[0]
+        return _let(hypergeometric(c, a["all"], a["draws"], u), lambda k: F.struct(
+            (a["draws"] - k).alias("draws"), (a["all"] - c).alias("all"), F.concat(a["out"], F.array(k)).alias("out")))
+
     return F.aggregate(counts, start, step, lambda a: a["out"])
 
 
@@ -210,14 +228,10 @@ def assigned(docs: DataFrame, targets: DataFrame, blocks: DataFrame, id_col: str
             .withColumn("copies", F.col("passes") + last))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shards: int = SHARDS,
-        seed: int = SEED) -> DataFrame:
-    """The mix: a row per taken copy with all input columns, ``mix_shard`` and ``mix_key``.
-
-    Written with ``partitionBy("mix_shard")`` after ``sortWithinPartitions("mix_key")``
-    each shard is shuffled locally.
-    """
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple[float, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shards: int = SHARDS,
+          seed: int = SEED) -> DataFrame:
+    """The rows of :func:`assigned` with ``shards``: the output shard of each copy that the mix takes."""
     targets, blocks = plan(docs, id_col, text_col, source_col, weights, block_words, seed)
     n = blocks.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("part") > 0).cast("long")).alias("last"))
     n = n.join(targets.select("rank", "passes"), "rank")
@@ -225,9 +239,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranges = shard_quotas(quotas, shards, seed).groupBy("rank").agg(
         F.array_sort(F.collect_list(F.struct("first", "last", "shard"))).alias("ranges"))
     per = staged(ranges.join(n.select("rank", "n"), "rank"), "mix-shards")
-    rows = assigned(docs, targets, blocks, id_col, text_col, source_col, seed).where("copies > 0")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
-    rows = rows.join(per, "rank").select("*", copy).withColumn("place", F.col("copy") * F.col("n") + F.col("at"))
-    mine = F.filter("ranges", lambda r: (r["first"] <= F.col("place")) & (F.col("place") < r["last"]))[0]["shard"]
-    return rows.select(F.col("doc.*"), mine.alias("mix_shard"),
-                       _hash("key", "copy", F.lit(seed + 3)).alias("mix_key"))
+    rows = assigned(docs, targets, blocks, id_col, text_col, source_col, seed).join(per, "rank")
+    copies = F.when(F.col("copies") > 0, F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)) \
+        .otherwise(F.array().cast("array<bigint>"))
+    # a pass over the source continues its permuted order, which the shards' quotas cut
+    place = lambda c: c * F.col("n") + F.col("at")
+    return rows.withColumn("shards", F.transform(copies, lambda c: F.filter(
+        "ranges", lambda r: (r["first"] <= place(c)) & (place(c) < r["last"]))[0]["shard"]))
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """The mix: a row per taken copy with all input columns, ``mix_shard`` and ``mix_key``.
+
+    Arguments as for :func:`dealt`. Written with ``partitionBy("mix_shard")`` after
+    ``sortWithinPartitions("mix_key")`` each shard is shuffled locally.
+    """
+    rows = dealt(docs, *args, **options)
+    seed = options.get("seed", SEED)
+    return rows.select("doc", "key", F.posexplode("shards").alias("copy", "mix_shard")).select(
+        "doc.*", "mix_shard", _hash("key", "copy", F.lit(seed + 3)).alias("mix_key"))

@@ -178,6 +178,11 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
 # ---- on Spark -----------------------------------------------------------------------------------
 
+def _size():
+    """Size of a set, from its key."""
+    return F.expr("k2 & 4294967295")
+
+
 def keyed(docs: DataFrame, words: int, keep: list[str], sketch: bool = False) -> DataFrame:
     """``keep`` columns with the set key (k1, k2), and the sketch if asked for."""
     more = ["k1", "k2", *(SKETCH if sketch else [])]
@@ -331,31 +336,57 @@ def component_labels(links: DataFrame) -> DataFrame:
     return staged(labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()), "join-labels")
 
 
-def components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id",
-               text_col: str = "text", sample_docs: int = SAMPLE_DOCS, centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, similarity: int, words: int, sample_docs: int,
+             centre_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their set key, one row per set: component_id, first_id and whether it stands for its component)."""
     rows = staged(keyed(docs, words, ["doc_id"], sketch=True), "join-rows")
     nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in SKETCH))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     plans, hot = _costs(docs, rows.count(), similarity, words, sample_docs)
-    buckets = bucket_rows(docs, plans, hot, similarity, words)
-    size = F.col("k2").bitwiseAND(0xFFFFFFFF)
-    buckets = staged(staged(buckets, "join-signatures").join(nodes.drop("first_id"), ["k1", "k2"])
-                     .select("sig", "node", size.alias("n"), *SKETCH).dropDuplicates(["sig", "node"]), "join-buckets")
-    labels = _label_rounds(docs, rows, nodes, buckets, similarity, words, centre_rounds)
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = staged(named.join(staged(names, "join-names"), "label").select("k1", "k2", "component_id"), "join-named")
-    shingles = F.col("k2").bitwiseAND(0xFFFFFFFF)
+    buckets = staged(bucket_rows(docs, plans, hot, similarity, words), "join-signatures")
+    buckets = staged(buckets.join(nodes.drop("first_id"), ["k1", "k2"])
+                     .select("sig", "node", _size().alias("n"), *SKETCH).dropDuplicates(["sig", "node"]), "join-buckets")
+    labels = _label_rounds(docs, nodes, buckets, similarity, words, centre_rounds)
+    sets = nodes.select("node", "k1", "k2", "first_id").join(labels, "node", "left") \
+        .withColumn("label", F.coalesce("label", "node"))
+    first = F.struct(F.col("first_id").isNull().alias("no_id"), "first_id", "node")
+    names = staged(sets.groupBy("label").agg(F.min(first).alias("first")), "join-names")
+    sets = staged(sets.join(names, "label").select(
+        "k1", "k2", "first_id", F.col("first.first_id").alias("component_id"),
+        (F.col("node") == F.col("first.node")).alias("stands")), "join-named")
+    return rows.select("doc_id", "k1", "k2"), sets
+
+
+def components(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id",
+               text_col: str = "text", sample_docs: int = SAMPLE_DOCS, centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
+    """One row per input row: id, ``n_shingles``, ``component_id``."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, sets = _classes(docs, similarity, words, sample_docs, centre_rounds)
     # sets without shingles are linked with nothing, not even with each other
-    return rows.join(named, ["k1", "k2"]).select(
-        F.col("doc_id").alias(id_col), shingles.alias("n_shingles"),
-        F.when(shingles == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(sets, ["k1", "k2"]).select(
+        F.col("doc_id").alias(id_col), _size().alias("n_shingles"),
+        F.when(_size() == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
 
+def drop_near_copies(docs: DataFrame, similarity: int = SIMILARITY, words: int = WORDS, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component (its smallest id) and all without words; all columns stay.
 
-def _label_rounds(docs: DataFrame, rows: DataFrame, nodes: DataFrame, buckets: DataFrame, similarity: int,
-                  words: int, centre_rounds: int) -> DataFrame:
+    Rows that repeat both id and words all stay or all go.
+    """
+    boxed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, sets = _classes(boxed.select("doc_id", "text"), similarity, words, SAMPLE_DOCS, CENTRE_ROUNDS)
+    gone = rows.join(sets, ["k1", "k2"]).where((_size() > 0) & ~(
+        F.col("stands") & F.col("doc_id").eqNullSafe(F.col("first_id"))))
+    gone = staged(gone.select(F.col("doc_id").alias("g_id"), F.col("k1").alias("g1"), F.col("k2").alias("g2"))
+                  .distinct(), "join-gone")
+    here = keyed(boxed, words, ["doc", "doc_id"])
+    return here.join(gone.hint("merge"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
+                     & F.col("doc_id").eqNullSafe(F.col("g_id")), "left_anti").select("doc.*")
+
+
+def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similarity: int, words: int,
+                  centre_rounds: int) -> DataFrame:
     """Labels of linked nodes: rounds of candidate pairs, verification and merging."""
     involved = staged(buckets.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "first_id"),
                       "join-involved")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, ngram_join
+from . import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, secret_scan, toxicity
 from .common import held_out, load
 
 
@@ -15,18 +15,37 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbours(load(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
+                        secret_scan.spans_text().alias("spans"), "n_copied", "n_live")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, load(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, lexicon, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     vocabulary = bpe.read_vocabulary(tokenizer_path())
     return bpe.encoded(docs, vocabulary, bpe.compile_lexicon(docs, vocabulary), ["doc_id"], digests=True)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(load(spark, sf_dir, "conversations"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    targets, blocks = mixing.plan(docs)
-    return mixing.assigned(docs, targets, blocks).select(
+    return mixing.dealt(docs).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("size") * F.col("copies")).alias("taken"))
+        (F.col("size") * F.size("shards")).alias("taken"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +61,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_encode, op6_mix_sources, op8_ngram_jaccard, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_toxicity, op4_bpe_encode,
+                                op5_chat_format, op6_mix_sources, op8_ngram_jaccard,
+                                op9_exact_dedup, op10_language_id)}
 
 SQL = {
+    "op5_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+        step AS (
+            SELECT conv_id, turn, string_agg(coalesce(role, chr(1)) || chr(2) || coalesce(text, chr(1)), chr(3)
+                                             ORDER BY role, text) AS s
+            FROM t GROUP BY conv_id, turn),
+        prefix AS (
+            SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS whole,
+                   md5(string_agg(coalesce(turn::VARCHAR, '') || chr(4) || s, chr(5)) OVER (
+                       PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS h
+            FROM step),
+        kept AS (
+            SELECT min(conv_id) AS conv_id FROM prefix
+            WHERE whole AND h NOT IN (SELECT h FROM prefix WHERE NOT whole) GROUP BY h)
+        SELECT conv_id, turn, role, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
+               || '<|im_end|>' || chr(10) AS rendered
+        FROM t WHERE conv_id IN (SELECT conv_id FROM kept)""",
     "op9_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
