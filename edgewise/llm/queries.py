@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, secret_scan, toxicity
+from . import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, repeats, secret_scan, toxicity
 from .common import held_out, load
 
 
@@ -48,6 +48,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(load(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_toxicity, op4_bpe_encode,
-                                op5_chat_format, op6_mix_sources, op8_ngram_jaccard,
+                                op5_chat_format, op6_mix_sources, op7_repeated_passages, op8_ngram_jaccard,
                                 op9_exact_dedup, op10_language_id)}
 
 SQL = {
