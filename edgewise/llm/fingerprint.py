@@ -100,12 +100,12 @@ def merged(sketched: DataFrame, by: list[str], k: int = K) -> DataFrame:
     The smallest distinct hashes are ranked in parts first, so that a group's last
     step reads at most ``k`` hashes a part.
     """
-    hashes = sketched.select(*by, F.explode("sketch").alias("h")).distinct()
-    part = hashes.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(256)))
-    for keys in ([*by, "part"], by):
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
-        part = part.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-    return part.groupBy(*by).agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+    rows = sketched.select(*by, F.explode("sketch").alias("__h")).distinct()
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__h"), F.lit(256)))
+    for keys in ([*by, "__part"], by):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__h"))
+        rows = rows.withColumn("__rank", rank).where(F.col("__rank") <= k)
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("__h")).alias("sketch"))
 
 
 def _ranged(docs: DataFrame) -> DataFrame:
@@ -118,6 +118,7 @@ def _ranged(docs: DataFrame) -> DataFrame:
     found = docs.select(F.percentile_approx(F.col("id").cast("double"), [i / ranges for i in range(1, ranges)],
                                             10 * RANGES)).first()[0] if ranges > 1 else []
     splits = [-float("inf"), *sorted({float(x) for x in found or []}), float("inf")]
+    splits = splits if len(splits) > 2 else [splits[0], 0.0, splits[-1]]
     cut = Bucketizer(splits=splits, inputCol="id_double", outputCol="bucket", handleInvalid="keep")
     rows = docs.withColumn("id_double", F.coalesce(F.col("id").cast("double"), F.lit(float("nan"))))
     # a missing id falls into the extra bucket: last in the order

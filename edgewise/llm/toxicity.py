@@ -117,11 +117,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     words = counts.where(~F.col("term").contains(" ")).where(F.col("odds") >= LEAST_ODDS)
     top = words.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(TERMS).select("term", "odds").collect()
     weights = {r.term: float(r.odds) for r in top}
+    pairs = counts.where(F.col("term").contains(" ")).where("neg >= 3 * pos and odds < 0")
+    # a word whose mild documents are mostly those of one phrase counts without that phrase
+    inside = pairs.select(F.explode(F.split("term", " ")).alias("word"), F.col("term").alias("phrase"),
+                          F.col("pos").alias("p"), F.col("neg").alias("n"))
+    mostly = counts.join(inside, F.col("term") == F.col("word")).where(
+        (F.col("n") * 2 >= F.col("neg")) & (F.col("pos") - F.col("p") >= LEAST_DOCS))
+    rest = F.log((F.col("pos") - F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") - F.col("n") + 0.5) / (neg + 1.0))
+    for r in mostly.withColumn("rest", rest).where(F.col("rest") >= LEAST_ODDS).orderBy(F.desc("rest"), "phrase") \
+            .limit(TERMS).select("word", "phrase", "rest").collect():
+        weights[r.word] = max(float(r.rest), weights.get(r.word, 0.0))
     exceptions: list[str] = []
     if weights:
-        mild = counts.where(F.col("term").contains(" ")).where(
-            "neg >= 3 * pos and odds < 0").where(F.split("term", " ")[0].isin(list(weights))
-                                                 | F.split("term", " ")[1].isin(list(weights)))
+        known = F.split("term", " ")
+        mild = pairs.where(known[0].isin(list(weights)) | known[1].isin(list(weights)))
         exceptions = [r.term for r in mild.orderBy(F.desc("neg"), "term").limit(EXCEPTIONS).select("term").collect()]
     lexicon = Lexicon(weights, exceptions, [0.0] * 4)
     share = min(1.0, FIT_DOCS / (pos + neg))
@@ -152,7 +161,7 @@ class Matcher:
         for term, weight in lexicon.weights.items():
             self.automaton.add_word(f" {term} ", (len(term), weight, False))
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(f" {phrase} ", (len(phrase), 0.0, True))
+            self.automaton.add_word(" " + phrase.replace(" ", "  ") + " ", (len(phrase) + 1, 0.0, True))
         self.any = bool(len(self.automaton))
         if self.any:
             self.automaton.make_automaton()
