@@ -27,6 +27,9 @@ class Graph:
         missing = [c for c in (SRC, DST) if c not in self.edges.columns]
         if missing:
             raise ValueError(f"edges need columns {missing}, got {self.edges.columns}")
+        kinds = {c: t for c, t in (*self.vertices.dtypes, *self.edges.dtypes) if c in (ID, SRC, DST)}
+        if (kinds[ID] == "string") != (kinds[SRC] == "string") or (kinds[SRC] == "string") != (kinds[DST] == "string"):
+            raise ValueError(f"ids are of different types: {kinds}")
 
     # ---- construction -------------------------------------------------
     @staticmethod
@@ -35,6 +38,10 @@ class Graph:
         from .operators.structure import vertices_of
         return Graph(vertices_of(edges), edges)
 
+    @staticmethod
+    def fromEdges(edges: DataFrame) -> "Graph":  # noqa: N802
+        return Graph.from_edges(edges)
+
     # ---- views ---------------------------------------------------------
     @property
     def triplets(self) -> DataFrame:
@@ -82,9 +89,15 @@ class Graph:
         from .operators.paths import shortest_paths
         return shortest_paths(self, landmarks, **kw)
 
-    def bfs(self, from_expr, to_expr, **kw) -> DataFrame:
+    def bfs(self, from_expr=None, to_expr=None, fromExpr=None, toExpr=None,  # noqa: N803
+            edgeFilter=None, maxPathLength=None, **kw) -> DataFrame:  # noqa: N803
         from .operators.paths import bfs
-        return bfs(self, from_expr, to_expr, **kw)
+        if edgeFilter is not None:
+            kw["edge_filter"] = edgeFilter
+        if maxPathLength is not None:
+            kw["max_path_length"] = maxPathLength
+        return bfs(self, from_expr if from_expr is not None else fromExpr,
+                   to_expr if to_expr is not None else toExpr, **kw)
 
     def triangle_count(self) -> DataFrame:
         from .operators.triangles import triangle_count
@@ -159,12 +172,18 @@ class Graph:
     def triangleCount(self) -> DataFrame:  # noqa: N802
         return self.triangle_count()
 
-    def connectedComponents(self, algorithm: str = "large_star",  # noqa: N802
-                            checkpointInterval: int = 2) -> DataFrame:
-        return self.connected_components(algorithm=algorithm,
-                                         checkpoint_interval=checkpointInterval)
+    def connectedComponents(self, algorithm: str = "graphframes",  # noqa: N802
+                            checkpointInterval: int = 2, broadcastThreshold: int = 1_000_000) -> DataFrame:
+        """``algorithm``: "graphframes" (large-star rounds) or "graphx" (falling labels).
+
+        ``broadcastThreshold`` is accepted for compatibility: joins are planned
+        from measured sizes.
+        """
+        names = {"graphframes": "large_star", "graphx": "min_label"}
+        return self.connected_components(algorithm=names.get(algorithm, algorithm),
+                                         checkpoint_interval=max(1, checkpointInterval))
 
-    def stronglyConnectedComponents(self, maxIter: int = 10_000) -> DataFrame:  # noqa: N802
+    def stronglyConnectedComponents(self, maxIter: int | None = None) -> DataFrame:  # noqa: N802
         return self.strongly_connected_components(max_iter=maxIter)
 
     def labelPropagation(self, maxIter: int) -> DataFrame:  # noqa: N802

@@ -17,6 +17,7 @@ as singletons first.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.distinct()
 
 
-def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int = 200,
+def connected_components(g: Graph, checkpoint_interval: int = 2,
                          algorithm: str = "large_star") -> DataFrame:
     """Vertices with ``component`` = smallest id in their weak component.
 
@@ -68,14 +69,12 @@ def connected_components(g: Graph, checkpoint_interval: int = 2, max_rounds: int
     e = (pairs.where(F.col(SRC) != F.col(DST))
          .select(F.greatest(SRC, DST).alias("x"), F.least(SRC, DST).alias("y")).distinct())
     e, fp = cutter.cut(e, _fingerprint("x", "y"))
-    for _ in range(max_rounds):
+    while True:
         e, _ = cutter.cut(_large_star(e))
         e, new_fp = cutter.cut(_small_star(e), _fingerprint("x", "y"))
         if new_fp == fp:
             break
         fp = new_fp
-    else:
-        raise RuntimeError("connected components did not converge")
     # converged: stars (x -> component minimum y)
     comp = e.groupBy(F.col("x").alias(ID)).agg(F.min("y").alias("component"))
     cutter.close(keep=[e])
@@ -107,8 +106,12 @@ def _min_label_components(g: Graph, checkpoint_interval: int) -> DataFrame:
 
 
 def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
-                                  max_iter: int = 10_000, trim_rounds: int = 10) -> DataFrame:
-    """Vertices with ``component`` = smallest id among mutually reachable vertices."""
+                                  max_iter: int | None = None) -> DataFrame:
+    """Vertices with ``component`` = smallest id among mutually reachable vertices.
+
+    Runs until every vertex has its component; a lower ``max_iter`` that runs
+    out before that raises.
+    """
     cutter = StepCutter(checkpoint_interval)
     v_rem, n_rem, e_all, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
     v_all = v_rem
@@ -119,9 +122,12 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
         return (e.join(keep.select(F.col(ID).alias(SRC)), SRC, "left_semi")
                 .join(keep.select(F.col(ID).alias(DST)), DST, "left_semi"))
 
-    for _ in range(max_iter):
+    for step in count():
+        if max_iter is not None and step >= max_iter and n_rem:
+            cutter.close()
+            raise RuntimeError(f"{n_rem} vertices have no component yet after {max_iter} rounds")
         # trim: a vertex with no in-edge or no out-edge left is its own component
-        for _t in range(trim_rounds):
+        while True:
             has_out = e_rem.select(F.col(SRC).alias(ID))
             has_in = e_rem.select(F.col(DST).alias(ID))
             alive, n_alive = cutter.inputs(v_rem.join(has_out, ID, "left_semi")

@@ -16,10 +16,10 @@ from ..sources.stage_log import STAGES
 
 # Fixed values from the request record definition: allowed characters and
 # maximum lengths.
-NAME_PATTERN = r"^[0-9a-z-./]+$"
+NAME_PATTERN = r"^[0-9a-z-./]+\z"
 MAX_TENANT, MAX_USER, MAX_EMAIL, MAX_LOCATION = 32, 32, 128, 128
 DEFAULT_WORKERS = 2
-# result code -> class
+# Result code -> class
 OUTCOME_CLASSES = {200: "ok", 400: "user_error", 500: "platform_error"}
 
 
@@ -74,10 +74,14 @@ def first_arrivals(arrivals: DataFrame, key: str = "name", ts: str = "ts",
 def request_outcomes(requests: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Each request with the result code of its outcome (NULL when none).
 
-    Both sides are aggregated to one row per key first, so the join is
-    one-to-one and co-partitioned on the key.
+    Both sides are reduced to one row per key first (of several outcomes the
+    largest by its columns in order), so the join is one-to-one and
+    co-partitioned on the key.
     """
-    return requests.join(outcomes, keys, "left")
+    values = [c for c in outcomes.columns if c not in keys]
+    last = outcomes.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_o"))
+    once = requests.dropDuplicates(keys)
+    return once.join(last.select(*keys, *(F.col(f"_o.{c}").alias(c) for c in values)), keys, "left")
 
 
 def stage_durations(stamps: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ an observed ``max(abs(delta))`` on the same job.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ def _check_args(max_iter, tol):
         raise ValueError("give exactly one of max_iter and tol")
     if max_iter is not None and max_iter < 0:
         raise ValueError("max_iter must be >= 0")
+    if tol is not None and not tol > 0:
+        raise ValueError("tol must be above 0")
 
 
 def _out_weights(edges: DataFrame) -> DataFrame:
@@ -44,10 +48,12 @@ def _out_weights(edges: DataFrame) -> DataFrame:
 
 
 def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None = None,
-              tol: float | None = None, source_id=None, checkpoint_interval: int = 2,
-              max_tol_iter: int = 1000) -> Graph:
+              tol: float | None = None, source_id=None, checkpoint_interval: int = 2) -> Graph:
     """PageRank; returns a graph with ``pagerank`` on vertices and ``weight`` on edges.
 
+    With ``tol`` the loop runs until no rank moves by more than it: a step
+    shrinks every difference by ``1 - reset_probability``, so it ends.
+
     The loop state holds ranks only for vertices with in-edges: any other
     vertex keeps the constant rank ``reset`` after the first step, which the
     message expression supplies with a ``coalesce``.  A step is therefore one
@@ -82,8 +88,9 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
         id_type = g.vertices.schema[ID].dataType.simpleString()
         state = spark.createDataFrame([], f"{ID} {id_type}, pagerank double")
         default = init_of           # rank of a vertex missing from the state
-        steps = max_iter if max_iter is not None else max_tol_iter
-        for i in range(steps):
+        if source_id is not None and not vids.where(F.col(ID) == F.lit(source_id)).take(1):
+            raise ValueError(f"source {source_id!r} is not a vertex")
+        for i in range(max_iter) if max_iter is not None else count():
             msgs = layout.attach(state, ID, how="left")
             contrib = F.coalesce(F.col("pagerank"), default(F.col(SRC))) * F.col("_w")
             sums = msgs.groupBy(F.col(DST).alias(ID)).agg(F.sum(contrib).alias("_s"))

@@ -138,8 +138,8 @@ def bfs(g: Graph, from_expr, to_expr, edge_filter=None, max_path_length: int = 1
     vstruct = g.vertices.select(F.col(ID).alias("_vid"),
                                 F.struct(*[F.col(c) for c in g.vertices.columns]).alias("_v"))
     if length is None:
-        return g.vertices.sparkSession.createDataFrame(
-            [], "from struct<id:string>, to struct<id:string>").limit(0)
+        whole = F.struct(*[F.col(c) for c in g.vertices.columns])
+        return g.vertices.select(whole.alias("from"), whole.alias("to")).where(F.lit(False))
     if length == 0:
         p = kept[0].join(vstruct, F.col(ID) == F.col("_vid"))
         return p.select(F.col("_v").alias("from"), F.col("_v").alias("to"))

@@ -15,10 +15,10 @@ from ..graph import DST, ID, SRC, Graph
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
-    """Distinct endpoints of ``edges`` as an ``id`` column."""
+    """Distinct endpoints of ``edges`` as an ``id`` column; a NULL endpoint is no vertex."""
     return (edges.select(F.col(SRC).alias(ID))
             .union(edges.select(F.col(DST).alias(ID)))
-            .distinct())
+            .where(F.col(ID).isNotNull()).distinct())
 
 
 def triplets(g: Graph) -> DataFrame:

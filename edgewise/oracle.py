@@ -24,8 +24,6 @@ WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey
 PART_NEXT_RAW = f"SELECT * FROM ({LINE_SUCCESSORS}) WHERE dst IS NOT NULL"
 PART_NEXT = (f"SELECT DISTINCT src, dst FROM ({LINE_SUCCESSORS}) "
              "WHERE dst IS NOT NULL AND dst <> src")
-PART_NEXT_HEAVY = (f"SELECT DISTINCT src, dst FROM ({LINE_SUCCESSORS}) "
-                   "WHERE dst IS NOT NULL AND dst <> src AND l_quantity >= 48")
 USER_HANDOFF = """
 SELECT DISTINCT src, dst FROM (
   SELECT user_id AS src,
@@ -48,7 +46,7 @@ def _d(x: float) -> str:
 
 SQL: dict[str, str] = {}
 
-SQL["from_edges"] = f"WITH e AS ({PART_NEXT_HEAVY}) {vertices_sql('e')}"
+SQL["from_edges"] = f"WITH e AS ({PART_NEXT}) {vertices_sql('e')}"
 SQL["in_degrees"] = (f"WITH e AS ({PART_NEXT_RAW}) SELECT dst AS id, "
                      "CAST(count(*) AS INTEGER) AS inDegree FROM e GROUP BY dst")
 SQL["out_degrees"] = (f"WITH e AS ({PART_NEXT_RAW}) SELECT src AS id, "
@@ -140,13 +138,20 @@ WHERE r.copies > 1 AND d.doc_id <> r.rep
 
 
 def weak_components_sql(edges_sql: str) -> str:
-    """Undirected reachability closure; component = smallest reached id."""
+    """Smallest id that reaches a vertex over undirected edges, by falling labels."""
     return f"""
 WITH RECURSIVE e AS ({edges_sql}),
 v AS ({vertices_sql('e')}),
 u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-r(id, reach) AS (SELECT id, id FROM v UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach)
-SELECT id, min(reach) AS component FROM r GROUP BY id
+lab(id, component) USING KEY (id) AS (
+  SELECT id, id FROM v
+  UNION
+  SELECT u.b AS id, min(lab.component) AS component
+  FROM lab JOIN u ON u.a = lab.id JOIN recurring.lab r ON r.id = u.b
+  WHERE lab.component < r.component
+  GROUP BY u.b
+)
+SELECT id, component FROM lab
 """
 
 
@@ -162,9 +167,9 @@ GROUP BY r1.id
 """
 
 
-SQL["connected_components"] = weak_components_sql(PART_NEXT_HEAVY)
+SQL["connected_components"] = weak_components_sql(PART_NEXT)
 SQL["doc_copy_components"] = weak_components_sql(DOC_COPIES)
-SQL["strongly_connected_components"] = strong_components_sql(PART_NEXT_HEAVY)
+SQL["strongly_connected_components"] = strong_components_sql(PART_NEXT)
 
 
 def label_propagation_sql(edges_sql: str, iters: int) -> str:
@@ -181,7 +186,7 @@ def label_propagation_sql(edges_sql: str, iters: int) -> str:
     return "WITH " + ",\n".join(parts) + f"\nSELECT id, label FROM l{iters}"
 
 
-SQL["label_propagation"] = label_propagation_sql(PART_NEXT_HEAVY, LPA_ITER)
+SQL["label_propagation"] = label_propagation_sql(PART_NEXT, LPA_ITER)
 
 
 # ---- step 4 ----------------------------------------------------------------------
@@ -199,7 +204,7 @@ SELECT src, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FRO
 SQL["filter_edges"] = (f"SELECT src, dst, l_quantity, next_quantity FROM ({PART_NEXT_RAW}) "
                        "WHERE l_quantity > next_quantity")
 SQL["drop_isolated"] = f"""
-WITH e AS ({PART_NEXT_HEAVY})
+WITH e AS ({PART_NEXT})
 SELECT id, p_size FROM ({PART_VERTICES}) WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e)
 """
 SQL["aggregate_messages_src"] = f"""
@@ -300,8 +305,8 @@ SQL["pregel_pagerank"] = pregel_pagerank_sql(PART_NEXT, PREGEL_ITER)
 # ---- step 7 ----------------------------------------------------------------------
 
 SQL["motif_two_hop"] = f"""
-WITH e AS ({PART_NEXT_HEAVY})
-SELECT e1.src AS a_id, e1.dst AS b_id, e2.dst AS c_id FROM e e1 JOIN e e2 ON e1.dst = e2.src
+WITH e AS ({PART_NEXT})
+SELECT e1.src AS a_id, count(*) AS paths FROM e e1 JOIN e e2 ON e1.dst = e2.src GROUP BY e1.src
 """
 SQL["motif_mutual"] = f"""
 WITH e AS ({USER_HANDOFF})
@@ -309,8 +314,8 @@ SELECT e1.src AS a_id, e1.dst AS b_id FROM e e1 JOIN e e2 ON e1.dst = e2.src AND
 """
 SQL["motif_negated"] = f"""
 WITH e AS ({USER_HANDOFF})
-SELECT e1.src AS a_id, e1.dst AS b_id, e2.dst AS c_id FROM e e1 JOIN e e2 ON e1.dst = e2.src
-WHERE NOT EXISTS (SELECT 1 FROM e e3 WHERE e3.src = e2.dst AND e3.dst = e1.src)
+SELECT e1.src AS a_id, count(*) AS paths FROM e e1 JOIN e e2 ON e1.dst = e2.src
+WHERE NOT EXISTS (SELECT 1 FROM e e3 WHERE e3.src = e2.dst AND e3.dst = e1.src) GROUP BY e1.src
 """
 
 
@@ -344,7 +349,7 @@ WHERE len = (SELECT l FROM lim) AND len <= {max_len} AND cur IN (SELECT id FROM
 
 def _bfs_entry():
     from .queries import BFS_FROM, BFS_TO
-    return bfs_sql(PART_NEXT_HEAVY, PART_VERTICES, BFS_FROM, BFS_TO, 10)
+    return bfs_sql(PART_NEXT, PART_VERTICES, BFS_FROM, BFS_TO, 10)
 
 
 SQL["bfs"] = _bfs_entry()
@@ -466,4 +471,12 @@ FROM ({REQUEST_OUTCOMES}) GROUP BY 1
 SQL["first_arrivals_stream"] = SQL["first_arrivals"]
 SQL["request_outcomes_stream"] = REQUEST_OUTCOMES
 
-SQL["connected_components_min_label"] = weak_components_sql(PART_NEXT_HEAVY)
+SQL["connected_components_min_label"] = weak_components_sql(PART_NEXT)
+
+GEO = """
+SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst FROM customer
+UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
+UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation
+"""
+SQL["geo_components"] = weak_components_sql(GEO).replace(
+    vertices_sql("e"), vertices_sql("e") + " UNION SELECT 'R' || r_regionkey FROM region")

@@ -49,24 +49,14 @@ def part_next(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(e)
 
 
-def part_next_heavy(spark: SparkSession, sf_dir: str) -> Graph:
-    """``part_next`` restricted to lines with quantity >= 48 (after the lead)."""
-    e = (line_successors(spark, sf_dir)
-         .where(F.col("dst").isNotNull() & (F.col("dst") != F.col("src"))
-                & (F.col("l_quantity") >= 48))
-         .select("src", "dst").distinct())
-    return Graph.from_edges(e)
-
-
 def part_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size", "p_retailprice")
 
 
-def part_graph(spark: SparkSession, sf_dir: str, heavy: bool = False) -> Graph:
+def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """All parts as vertices (with attributes) and the part_next edges."""
-    edges = (part_next_heavy if heavy else part_next)(spark, sf_dir).edges
-    return Graph(part_vertices(spark, sf_dir), edges)
+    return Graph(part_vertices(spark, sf_dir), part_next(spark, sf_dir).edges)
 
 
 def user_handoff(spark: SparkSession, sf_dir: str) -> Graph:
@@ -125,7 +115,7 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(v, e)
 
 
-__all__ = ["table", "line_successors", "part_next_raw", "part_next", "part_next_heavy",
+__all__ = ["table", "line_successors", "part_next_raw", "part_next",
            "part_vertices", "part_graph", "user_handoff", "doc_copies", "ratings", "geo",
            "vertices_of"]
 

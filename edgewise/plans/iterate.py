@@ -69,7 +69,8 @@ class StepCutter:
         if not cached:
             edges.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            v, n = self.inputs(vertices.select(*vertex_cols))
+            # one row per id, so that no result multiplies a vertex listed twice
+            v, n = self.inputs(vertices.select(*vertex_cols).where(F.col("id").isNotNull()).dropDuplicates(["id"]))
             e, m = self.inputs(edges.select(*edge_cols))
         finally:
             if not cached:

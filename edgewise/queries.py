@@ -33,7 +33,7 @@ def _r(c, places: int = 6):
 # ---- step 0: structure -------------------------------------------------------
 
 def from_edges(spark, sf):
-    return fx.part_next_heavy(spark, sf).vertices
+    return fx.part_next(spark, sf).vertices
 
 
 def in_degrees(spark, sf):
@@ -101,7 +101,7 @@ QUERIES.update({
 # ---- step 6: components and communities ---------------------------------------------
 
 def connected_components(spark, sf):
-    return fx.part_next_heavy(spark, sf).connected_components().select("id", "component")
+    return fx.part_next(spark, sf).connected_components().select("id", "component")
 
 
 def doc_copy_components(spark, sf):
@@ -109,15 +109,15 @@ def doc_copy_components(spark, sf):
 
 
 def strongly_connected_components(spark, sf):
-    return fx.part_next_heavy(spark, sf).strongly_connected_components().select("id", "component")
+    return fx.part_next(spark, sf).strongly_connected_components().select("id", "component")
 
 
 def label_propagation(spark, sf):
-    return fx.part_next_heavy(spark, sf).label_propagation(LPA_ITER).select("id", "label")
+    return fx.part_next(spark, sf).label_propagation(LPA_ITER).select("id", "label")
 
 
 def power_iteration_clustering(spark, sf):
-    return fx.part_next_heavy(spark, sf).power_iteration_clustering(k=4, max_iter=10)
+    return fx.part_next(spark, sf).power_iteration_clustering(k=4, max_iter=10)
 
 
 QUERIES.update({
@@ -149,7 +149,7 @@ def filter_edges(spark, sf):
 
 
 def drop_isolated(spark, sf):
-    return fx.part_graph(spark, sf, heavy=True).drop_isolated_vertices().vertices.select("id", "p_size")
+    return fx.part_graph(spark, sf).drop_isolated_vertices().vertices.select("id", "p_size")
 
 
 def aggregate_messages_src(spark, sf):
@@ -204,9 +204,9 @@ def pregel_pagerank(spark, sf):
 # ---- step 7: motifs and BFS ---------------------------------------------------------
 
 def motif_two_hop(spark, sf):
-    m = fx.part_next_heavy(spark, sf).find("(a)-[e1]->(b); (b)-[e2]->(c)")
-    return m.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
-                    F.col("c.id").alias("c_id"))
+    """Two-hop paths per start vertex: counted, as the paths grow with the square of a hub's edges."""
+    m = fx.part_next(spark, sf).find("(a)-[e1]->(b); (b)-[e2]->(c)")
+    return m.groupBy(F.col("a.id").alias("a_id")).agg(F.count(F.lit(1)).alias("paths"))
 
 
 def motif_mutual(spark, sf):
@@ -215,9 +215,9 @@ def motif_mutual(spark, sf):
 
 
 def motif_negated(spark, sf):
+    """Two-hop paths per start vertex that no edge closes, counted."""
     m = fx.user_handoff(spark, sf).find("(a)-[]->(b); (b)-[]->(c); !(c)-[]->(a)")
-    return m.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"),
-                    F.col("c.id").alias("c_id"))
+    return m.groupBy(F.col("a.id").alias("a_id")).agg(F.count(F.lit(1)).alias("paths"))
 
 
 BFS_FROM = "p_size = 1"
@@ -226,7 +226,7 @@ BFS_TO = "p_size = 50"
 
 def bfs(spark, sf):
     from .operators.paths import bfs_paths
-    return bfs_paths(fx.part_graph(spark, sf, heavy=True), BFS_FROM, BFS_TO, max_path_length=10)
+    return bfs_paths(fx.part_graph(spark, sf), BFS_FROM, BFS_TO, max_path_length=10)
 
 
 QUERIES.update({
@@ -385,8 +385,16 @@ QUERIES["svd_plus_plus"] = svd_plus_plus
 
 def connected_components_min_label(spark, sf):
     """Connected components by min-label propagation (the O(diameter) option)."""
-    g = fx.part_next_heavy(spark, sf)
+    g = fx.part_next(spark, sf)
     return g.connected_components(algorithm="min_label").select("id", "component")
 
 
 QUERIES["connected_components_min_label"] = connected_components_min_label
+
+
+def geo_components(spark, sf):
+    """Connected components over string ids: customers, suppliers, nations, regions."""
+    return fx.geo(spark, sf).connected_components().select("id", "component")
+
+
+QUERIES["geo_components"] = geo_components

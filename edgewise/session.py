@@ -43,19 +43,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on (time zone) to any session.
-
-    A local session still on Spark's default of 200 shuffle partitions gets
-    two per core instead; an explicit setting, or any cluster session, is
-    left as it is.
-    """
+    """Apply the setting that results depend on (time stamps are in UTC) to any session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    master = spark.sparkContext.master or ""
-    explicit = spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions")
-    if master.startswith("local") and not explicit and \
-            spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        cores = spark.sparkContext.defaultParallelism
-        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, 2 * cores)))
     return spark
 
 
@@ -75,7 +64,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
     master = sc.master or ""
-    if not master.startswith("local"):
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(
             "set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS); "
             "iterative operators checkpoint there")

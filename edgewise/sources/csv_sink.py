@@ -33,8 +33,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bo
     out = csv_ready(df)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def read_csv(spark, path: str, schema) -> DataFrame:
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)

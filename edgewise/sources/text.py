@@ -1,15 +1,16 @@
 """Whitespace-separated text tables (vertex / edge files).
 
 Format: any run of blanks or tabs separates fields, leading and trailing
-blanks are ignored, the first line of each file is the header, blank lines
-are skipped.  Missing-value words become NULL.  Column types are inferred
+blanks are ignored, the first line of each file is that file's header, blank
+lines are skipped.  Columns are matched by name, so files may order them
+differently.  A line with too few fields ends in NULLs, one with too many is an
+error.  Missing-value words become NULL.  Column types are inferred
 (bigint, then double, then boolean, else string) with one aggregation pass,
 or taken from ``schema``.
 
 Everything is distributed: lines are read by Spark's text source, split
 with built-in string functions, and type inference is a single global
-aggregate of per-column flags; no line passes through the driver except
-the header.
+aggregate of per-column flags; only the distinct headers come to the driver.
 """
 
 from __future__ import annotations
@@ -27,31 +28,59 @@ TRUE_WORDS = ["True", "true", "TRUE"]
 FALSE_WORDS = ["False", "false", "FALSE"]
 
 _BLANKS = r"[ \t]+"
+# a cast alone would also take "1d" and "2f"
+_INTEGER = r"^[+-]?[0-9]+\z"
+_NUMBER = r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity)\z"
+
+
+#: a separator that no line holds: the CSV reader is used only to leave out
+#: the first line of each file
+_WHOLE_LINE = "\u0001\u0002\u0001"
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, header)``: the names on the first line that is not blank of every file.
+
+    A file's first block lies in one partition and its lines keep their order,
+    so the first line has the smallest running number.
+    """
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("at"))
+             .where((F.col("at") == 0) & (F.trim(F.regexp_replace("value", _BLANKS, " ")) != ""))
+             .withColumn("n", F.monotonically_increasing_id()))
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("value"))
+    return first.select("file", F.split(F.trim(F.regexp_replace("value", _BLANKS, " ")), " ").alias("header"))
 
 
 def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line (the first line of the first file)."""
-    first = (spark.read.option("header", True).option("sep", "\u0001")
-             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-             .csv(path).columns)
-    if not first:
+    """Column names, in the order of the first file's header; every file must have the same set."""
+    per = file_headers(spark, path).groupBy("header").agg(F.min("file").alias("file")).orderBy("file").take(1000)
+    if not per:
         raise ValueError(f"no header line in {path}")
-    names = first[0].split()
-    if not names:
-        raise ValueError(f"empty header line in {path}")
+    names = list(per[0]["header"])
+    for r in per:
+        if len(set(r["header"])) != len(r["header"]) or set(r["header"]) != set(names):
+            raise ValueError(f"header {r['header']} of {r['file']} does not match {names}")
     return names
 
 
 def _tokens(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    header_norm = " ".join(names)
-    lines = spark.read.text(path)
+    """One string column per name. A line with more fields than its file's header is an error."""
+    lines = (spark.read.schema("value string").option("header", True).option("enforceSchema", True)
+             .option("sep", _WHOLE_LINE).option("quote", "").option("escape", "")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+             .select("value", F.col("_metadata.file_path").alias("file")))
     norm = F.trim(F.regexp_replace(F.col("value"), _BLANKS, " "))
-    parts = (lines.select(norm.alias("_line"))
-             .where((F.col("_line") != "") & (F.col("_line") != F.lit(header_norm)))
-             .select(F.split("_line", " ").alias("_t")))
+    parts = (lines.select(norm.alias("_line"), "file").where(F.col("_line") != "")
+             .select(F.split("_line", " ").alias("_t"), "file")
+             .join(file_headers(spark, path), "file"))
+    too_many = F.raise_error(F.concat(F.lit("more fields than the header has: "), F.array_join("_t", " ")))
+    checked = F.when(F.size("_t") > F.size("header"), too_many.cast("array<string>")).otherwise(F.col("_t"))
+    parts = parts.select(checked.alias("_t"), "header")
     cols = []
-    for i, n in enumerate(names):
-        tok = F.get(F.col("_t"), i)
+    for n in names:
+        tok = F.get(F.col("_t"), F.array_position("header", F.lit(n)).cast("int") - 1)
         cols.append(F.when(tok.isin(MISSING_WORDS), F.lit(None)).otherwise(tok).alias(n))
     return parts.select(*cols)
 
@@ -62,8 +91,10 @@ def _infer(raw: DataFrame, names: list[str]) -> dict[str, T.DataType]:
         c = F.col(n)
         present = c.isNotNull()
         flags += [
-            F.max(F.when(present & c.try_cast("bigint").isNull(), 1).otherwise(0)).alias(f"{n}__nl"),
-            F.max(F.when(present & c.try_cast("double").isNull(), 1).otherwise(0)).alias(f"{n}__nd"),
+            F.max(F.when(present & ~(c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull()), 1)
+                  .otherwise(0)).alias(f"{n}__nl"),
+            F.max(F.when(present & ~(c.rlike(_NUMBER) & c.try_cast("double").isNotNull()), 1)
+                  .otherwise(0)).alias(f"{n}__nd"),
             F.max(F.when(present & ~c.isin(TRUE_WORDS + FALSE_WORDS), 1).otherwise(0)).alias(f"{n}__nb"),
             F.max(F.when(present, 1).otherwise(0)).alias(f"{n}__any"),
         ]

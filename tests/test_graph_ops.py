@@ -244,3 +244,31 @@ def test_camel_case_calls(spark):
     assert sp[0] == {0: 0} and len(sp) == len(vs)
     assert g.triangleCount().count() == len(vs)
     assert g.inDegrees.count() > 0 and g.dropIsolatedVertices().vertices.count() <= len(vs)
+
+
+def test_limits_are_not_silent(spark):
+    """A lower limit raises; converged ranks do not depend on one; unknown sources raise."""
+    import pytest
+    two_cycles = make_graph(spark, [(4, 3), (3, 4), (1, 2), (2, 1), (1, 3)])
+    assert as_dict(two_cycles.strongly_connected_components()) == {1: 1, 2: 1, 3: 3, 4: 3}
+    with pytest.raises(RuntimeError, match="no component"):
+        two_cycles.strongly_connected_components(max_iter=1)
+    with pytest.raises(ValueError, match="not a vertex"):
+        two_cycles.page_rank(source_id=99, max_iter=2)
+
+
+def test_call_spellings_and_ids(spark):
+    import pytest
+    from edgewise.graph import Graph
+    g = make_graph(spark, [(1, 2), (2, 3)])
+    assert Graph.fromEdges(g.edges).vertices.count() == 3
+    assert g.bfs(fromExpr="id = 1", toExpr="id = 3", maxPathLength=4).columns == ["from", "e0", "v1", "e1", "to"]
+    none = g.bfs(fromExpr="id = 3", toExpr="id = 1")
+    assert none.count() == 0 and none.schema["from"].dataType["id"].dataType.typeName() == "long"
+    assert set(as_dict(g.connectedComponents(algorithm="graphframes", broadcastThreshold=10), value="component").values()) == {1}
+    with pytest.raises(ValueError, match="different types"):
+        Graph(spark.createDataFrame([("1",)], "id string"), g.edges)
+    null_end = spark.createDataFrame([(1, 2), (2, None)], "src long, dst long")
+    assert Graph.from_edges(null_end).vertices.count() == 2
+    twice = Graph(spark.createDataFrame([(1,), (1,), (2,)], "id long"), spark.createDataFrame([(1, 2)], "src long, dst long"))
+    assert twice.page_rank(max_iter=2).vertices.count() == 2

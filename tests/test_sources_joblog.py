@@ -116,3 +116,47 @@ def test_entry_contract(spark):
     df = se.entry(spark)
     assert df.columns == ["id", "pagerank"] and df.count() == 20
     assert set(se.oracle_sql()) <= set(se.queries())
+
+
+def _files(folder, *texts):
+    folder.mkdir()
+    for i, t in enumerate(texts):
+        (folder / f"part{i}.txt").write_text(t)
+    return str(folder)
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """A data line equal to the header stays; columns follow each file's header."""
+    from edgewise.sources.text import read_whitespace_table
+    path = _files(tmp_path / "t", "src dst tag\n1 2 x\nsrc dst tag\n", "tag dst src\n\ny 4 3\n", "\n src  dst tag\n5 6\n")
+    got = {tuple(r) for r in read_whitespace_table(spark, path).collect()}
+    assert got == {("1", "2", "x"), ("src", "dst", "tag"), ("3", "4", "y"), ("5", "6", None)}
+    typed = read_whitespace_table(spark, _files(tmp_path / "n", "a b\n1d 2\n", "b a\n3 2f\n"))
+    assert dict(typed.dtypes) == {"a": "string", "b": "bigint"}
+
+
+def test_text_that_does_not_fit_its_header_fails(spark, tmp_path):
+    import pytest
+    from edgewise.sources.text import read_whitespace_table
+    with pytest.raises(Exception, match="more fields"):
+        read_whitespace_table(spark, _files(tmp_path / "w", "a b\n1 2 3\n"), "a int, b int").collect()
+    with pytest.raises(ValueError, match="does not match"):
+        read_whitespace_table(spark, _files(tmp_path / "h", "a b\n1 2\n", "a c\n1 2\n"))
+
+
+def test_csv_quotes_are_doubled(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from edgewise.sources.csv_sink import write_csv
+    write_csv(spark.range(1).select("id", F.create_map(F.lit("1"), F.lit(2)).alias("m")), str(tmp_path / "c"), single_file=True)
+    part = next((tmp_path / "c").glob("part-*"))
+    assert pd.read_csv(part)["m"].tolist() == ['{"1":2}']
+
+
+def test_outcomes_are_reduced_and_names_matched_whole(spark):
+    from edgewise.operators.joblog import request_outcomes, validate_requests
+    req = spark.createDataFrame([("a",), ("b",), ("b",)], "name string")
+    out = spark.createDataFrame([("a", 200), ("a", 400)], "name string, result_code int")
+    assert sorted(map(tuple, request_outcomes(req, out, ["name"]).collect())) == [("a", 400), ("b", None)]
+    r = spark.createDataFrame([("abc\n", "u", "e", "g")], "tenant string, user string, user_email string, graph_location string")
+    assert validate_requests(r).first().violations == ["tenant_pattern"]
