@@ -7,6 +7,7 @@ import collections
 import corpus_pipeline
 import duckdb
 import pytest
+from llm_documents import awkward_rows, documents  # noqa: F401  (fixtures)
 from test_text_operators import brute_components
 from tokenizers import Tokenizer
 

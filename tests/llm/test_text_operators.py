@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from llm_documents import awkward_rows, documents  # noqa: F401  (fixtures)
 from tokenizers import Tokenizer
 
 from edgewise.llm import bpe, chat, fingerprint, ngram_join, queries, repeats, secret_scan, toxicity
