@@ -161,8 +161,18 @@ class Graph:
 
     def parallelPersonalizedPageRank(self, resetProbability: float = 0.15,  # noqa: N802
                                      sourceIds=None, maxIter: int = 10) -> DataFrame:
-        return self.parallel_personalized_page_rank(
-            source_ids=list(sourceIds or []), reset_probability=resetProbability, max_iter=maxIter)
+        """Vertices with a ``pageranks`` vector: one entry per source, in the order given."""
+        from pyspark.ml.functions import array_to_vector
+        sources = list(sourceIds or [])
+        long = self.parallel_personalized_page_rank(
+            source_ids=sources, reset_probability=resetProbability, max_iter=maxIter)
+        per = long.groupBy(ID).agg(F.map_from_entries(F.collect_list(F.struct("source", "pagerank"))).alias("_r"))
+        kind = dict(self.vertices.dtypes)[ID]
+        ranks = F.transform(F.array(*(F.lit(s).cast(kind) for s in sources)),
+                            lambda s: F.coalesce(F.try_element_at("_r", s), F.lit(0.0)))
+        empty = F.array(*(F.lit(0.0) for _ in sources))
+        return (self.vertices.join(per, ID, "left")
+                .withColumn("pageranks", array_to_vector(F.coalesce(ranks, empty))).drop("_r"))
 
     def shortestPaths(self, landmarks) -> DataFrame:  # noqa: N802
         """Vertices with a ``distances`` map, as the map-valued call returns."""

@@ -59,11 +59,15 @@ def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col:
     """``id, cluster`` by Spark ML's power iteration clustering (Lin & Cohen).
 
     Edges are read as undirected similarities (non-negative weights; 1.0
-    when ``weight_col`` is None).  Ids must be integral.
+    when ``weight_col`` is None); the weights of a pair, in either direction,
+    add up.  Ids must be integral.
     """
     from pyspark.ml.clustering import PowerIterationClustering
-    e = g.edges.select(F.col(SRC).cast("long").alias("src"), F.col(DST).cast("long").alias("dst"),
-                       (F.col(weight_col) if weight_col else F.lit(1.0)).cast("double").alias("weight"))
+    if dict(g.edges.dtypes)[SRC] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("power iteration clustering needs integral ids")
+    e = (g.edges.where(F.col(SRC) != F.col(DST))
+         .groupBy(F.least(SRC, DST).cast("long").alias("src"), F.greatest(SRC, DST).cast("long").alias("dst"))
+         .agg(F.sum((F.col(weight_col) if weight_col else F.lit(1.0)).cast("double")).alias("weight")))
     pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol="weight", initMode=init_mode,
                                    srcCol="src", dstCol="dst")
     return pic.assignClusters(e).select(F.col("id"), F.col("cluster"))

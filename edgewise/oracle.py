@@ -480,3 +480,6 @@ UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation
 """
 SQL["geo_components"] = weak_components_sql(GEO).replace(
     vertices_sql("e"), vertices_sql("e") + " UNION SELECT 'R' || r_regionkey FROM region")
+SQL["persist_checkpoint"] = (f"WITH e AS ({PART_NEXT}), ends AS (SELECT src AS id FROM e "
+                             "UNION ALL SELECT dst FROM e) SELECT id, CAST(count(*) AS INTEGER) AS degree "
+                             "FROM ends GROUP BY id")

@@ -83,14 +83,17 @@ class KeyedEdges:
         n_edges = total_edges if total_edges is not None else edges.count()
         threshold = max(n_edges // max(max_hot, 1), int(min_hot_degree))
         # at most max_hot keys can exceed total/max_hot: a proven bound
+        # a hot key gets as many sub-keys as keep each below the threshold
+        parts = F.greatest(F.lit(self.salt_buckets), F.ceil(F.col("count") / F.lit(max(threshold, 1))))
         hot = (edges.groupBy(key).count().where(F.col("count") > threshold)
-               .select(F.col(key).alias("_hot_key")).withColumn(HOT, F.lit(True)))
+               .select(F.col(key).alias("_hot_key"), parts.cast("int").alias(HOT)))
         if cutter is not None:  # computed once, not once per superstep
             hot, _ = cutter.cut(hot)
         self.hot = F.broadcast(hot)
         salted = (edges.join(self.hot, edges[key] == F.col("_hot_key"), "left")
-                  .withColumn(SALT, F.when(F.col(HOT), F.pmod(F.xxhash64(F.col(spread)),
-                                                              F.lit(self.salt_buckets)))
+                  # the running number parts parallel edges of one pair, too
+                  .withColumn(SALT, F.when(F.col(HOT).isNotNull(), F.pmod(
+                      F.xxhash64(F.col(spread), F.monotonically_increasing_id()), F.col(HOT)))
                               .otherwise(F.lit(0)).cast("int"))
                   .drop("_hot_key", HOT))
         self.edges = salted.repartition(self.partitions, F.col(key), F.col(SALT))
@@ -100,9 +103,8 @@ class KeyedEdges:
         return self
 
     def _salted_values(self, values: DataFrame, id_col: str) -> DataFrame:
-        buckets = F.sequence(F.lit(0), F.lit(self.salt_buckets - 1))
         return (values.join(self.hot, values[id_col] == F.col("_hot_key"), "left")
-                .withColumn(SALT, F.explode(F.when(F.col(HOT), buckets)
+                .withColumn(SALT, F.explode(F.when(F.col(HOT).isNotNull(), F.sequence(F.lit(0), F.col(HOT) - 1))
                                             .otherwise(F.array(F.lit(0)))))
                 .drop("_hot_key", HOT))
 

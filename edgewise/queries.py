@@ -398,3 +398,14 @@ def geo_components(spark, sf):
 
 
 QUERIES["geo_components"] = geo_components
+
+
+def persist_checkpoint(spark, sf):
+    """Degrees read from a graph that was persisted, checkpointed and released again."""
+    g = fx.part_next(spark, sf).persist()
+    kept = g.checkpoint()
+    g.unpersist()
+    return kept.degrees
+
+
+QUERIES["persist_checkpoint"] = persist_checkpoint

@@ -30,6 +30,9 @@ def _append_log(log_path: str):
 
 
 def _run(stream: DataFrame, log_path: str, checkpoint: str) -> None:
+    # the log exists, with its schema, before the first record arrives
+    empty = stream.sparkSession.createDataFrame([], stream.schema).withColumn("batch_id", F.lit(-1))
+    empty.write.mode("append").parquet(log_path)
     q = (stream.writeStream.outputMode("update")
          .foreachBatch(_append_log(log_path))
          .option("checkpointLocation", checkpoint)
@@ -43,16 +46,25 @@ def events_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
 
 
 def first_arrivals_stream(spark: SparkSession, source: str, schema, key: str = "user_id",
-                          log_path: str | None = None, files_per_batch: int = 4) -> DataFrame:
-    """First (ts, event_id) per key over a stream of event files."""
+                          log_path: str | None = None, files_per_batch: int = 4, ts: str = "ts",
+                          tie: str = "event_id", watermark: str | None = None) -> DataFrame:
+    """First (ts, tie) per key over a stream of event files.
+
+    Without ``watermark`` the state holds a row per key for good. With it the
+    state holds a row per key and day, and a day goes once the watermark has
+    passed it; the first arrival is then the least of the days in the log.
+    """
     log_path = log_path or scratch_path(spark, "arrivals-log")
     ev = events_stream(spark, source, schema, files_per_batch)
-    agg = ev.groupBy(F.col(key).alias("name")).agg(
-        F.min(F.struct(F.col("ts").alias("t"), F.col("event_id").alias("k"))).alias("_f"))
-    _run(agg, log_path, log_path + "-checkpoint")
-    log = spark.read.parquet(log_path)
+    keys = [F.col(key).alias("name")]
+    if watermark:
+        ev = ev.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark)
+        keys.append(F.window("_ets", "1 day").alias("_w"))
+    agg = ev.groupBy(*keys).agg(F.min(F.struct(F.col(ts).alias("t"), F.col(tie).alias("k"))).alias("_f"))
+    _run(agg.select("name", "_f"), log_path, log_path + "-checkpoint")
+    log = spark.read.schema(agg.select("name", "_f").schema).parquet(log_path)
     return (log.groupBy("name").agg(F.min("_f").alias("_f"))
-            .select("name", F.col("_f.t").alias("first_ts"), F.col("_f.k").alias("event_id")))
+            .select("name", F.col("_f.t").alias("first_ts"), F.col("_f.k").alias(tie)))
 
 
 def request_outcomes_stream(spark: SparkSession, source: str, schema, watermark: str = "2 days",
@@ -69,7 +81,7 @@ def request_outcomes_stream(spark: SparkSession, source: str, schema, watermark:
     agg = agg.select("user_id", F.to_date(F.col("w.start")).alias("day"),
                      "request_ts", "bought", "failed")
     _run(agg, log_path, log_path + "-checkpoint")
-    log = spark.read.parquet(log_path)
+    log = spark.read.schema(agg.schema).parquet(log_path)
     merged = log.groupBy("user_id", "day").agg(
         F.min("request_ts").alias("request_ts"), F.max("bought").alias("bought"),
         F.max("failed").alias("failed"))

@@ -272,3 +272,10 @@ def test_call_spellings_and_ids(spark):
     assert Graph.from_edges(null_end).vertices.count() == 2
     twice = Graph(spark.createDataFrame([(1,), (1,), (2,)], "id long"), spark.createDataFrame([(1, 2)], "src long, dst long"))
     assert twice.page_rank(max_iter=2).vertices.count() == 2
+
+
+def test_parallel_ranks_as_vectors(spark):
+    g = make_graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])
+    got = {r["id"]: list(r["pageranks"]) for r in g.parallelPersonalizedPageRank(sourceIds=[2, 1], maxIter=3).collect()}
+    assert set(got) == {1, 2, 3, 4} and all(len(v) == 2 for v in got.values())
+    assert all(abs(sum(v[i] for v in got.values()) - 1) < 1e-9 for i in range(2))
