@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, field, held_out, map_batches
+from .common import column, field, held_out, map_batches, staged
 
 SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, ORDER = 1000, 10_000, 10_000, 4
 UNDETERMINED = "und"
@@ -56,7 +56,8 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, seed: int = 17) -> Data
     """At most ``per_lang`` labelled rows (lang, text) a language, not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a written table: its size decides whether the join broadcasts it
+    counts = staged(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     near = (known.select("doc_id", "lang", "text", draw.alias("draw"))
             .join(counts, "lang")
             .where(F.col("draw") < 2.0 * per_lang / F.col("n")))
