@@ -7,12 +7,15 @@ from oracle_compare import compare, duck
 from edgewise import queries
 
 _CON = {}
+# random start vectors and factor updates are not for SQL: test_graph_ops and
+# test_patterns_messages hold them against separable blocks and falling errors
+NO_SQL = {"power_iteration_clustering", "svd_plus_plus"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_matches_oracle(spark, name):
     con = _CON.setdefault("c", duck(SMOKE))
     r = compare(spark, name, SMOKE, con)
-    assert r["status"] in ("ok", "no-oracle"), r
+    assert r["status"] == ("no-oracle" if name in NO_SQL else "ok"), r
     if r["status"] == "ok":
         assert r["rows"] == r["duck_rows"]
