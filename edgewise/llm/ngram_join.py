@@ -15,7 +15,7 @@ empty ones.
 Sets with a common signature are candidates. Equal sets are one node. Each
 bucket first compares its members with one centre; verified links merge nodes
 into components, and what a bucket still holds of several components is
-compared with further centres and at last member by member, so every link
+compared (with further centres if asked for, then) member by member, so every link
 between different components is found while linked groups need no pairs.
 Verification is exact on the 64-bit shingle hashes.
 
@@ -44,8 +44,8 @@ from .shingles import mix, shingle_hashes, word_hashes
 SIMILARITY, WORDS = 85, 4
 #: documents in the cost sample, share of them that makes a signature hot, parts of a hot centre
 SAMPLE_DOCS, HOT_SHARE, CENTRE_ROWS = 2048, 0.002, 1024
-#: rounds of one centre a bucket before the exhaustive one
-CENTRE_ROUNDS = 2
+#: rounds of one centre a bucket before members of different components meet
+CENTRE_ROUNDS = 1
 #: bits of the parity sketch: they differ in no more places than the sets do
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
@@ -223,13 +223,11 @@ def _costs(docs: DataFrame, n_docs: int, similarity: int, words: int, sample_doc
 
     each = map_batches(picked.select("text"), run, T.StructType(
         [T.StructField(n, T.LongType()) for n in ("sig", "band", "seg", "wide", "k1")])).distinct()
-    counts = staged(each.groupBy("sig", "band", "seg", "wide").agg(F.count(F.lit(1)).alias("n")), "join-sample")
-    n_sample = max(1, picked.select("doc_id").count()) if share < 1 else n_docs
-    per = counts.groupBy("band", "seg", "wide").agg(
-        F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()
-    hot_from = max(8, int(HOT_SHARE * n_sample))
-    hot = np.array(sorted(r.sig for r in counts.where((F.col("n") >= hot_from)).select("sig").distinct().collect()),
-                   np.int64)
+    hot_from = max(8, int(HOT_SHARE * share * n_docs))
+    per = each.groupBy("sig", "band", "seg", "wide").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "seg", "wide").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"),
+        F.collect_list(F.when(F.col("n") >= hot_from, F.col("sig"))).alias("hot")).collect()
+    hot = np.array(sorted({x for r in per for x in r.hot}), np.int64)
     exact: dict[int, np.ndarray] = {}
     wide: dict[int, np.ndarray] = {}
     for r in per:
@@ -281,12 +279,13 @@ def bucket_rows(docs: DataFrame, plans: dict, hot: np.ndarray, similarity: int,
 def _links(pairs: DataFrame, texts: DataFrame, similarity: int, words: int) -> DataFrame:
     """Of (centre, node) pairs the verified ones. A centre's members are dealt out in parts."""
     per = staged(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "join-centres")
-    parted = pairs.join(per, "centre").select(
-        "centre", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CENTRE_ROWS)).alias("part"))
-    heads = per.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CENTRE_ROWS) - 1))
-                       .alias("part")).select("centre", F.col("centre").alias("node"), "part", F.lit(0).alias("member"))
-    rows = staged(parted.withColumn("member", F.lit(1)).unionByName(heads), "join-pairs")
-    rows = rows.join(texts, "node").repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
+    parts = F.ceil(F.col("n") / CENTRE_ROWS)
+    members = pairs.join(per, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), parts).alias("part"),
+                                               F.lit(1).alias("member"))
+    heads = per.select("centre", F.col("centre").alias("node"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("member"))
+    rows = members.unionByName(heads).join(texts, "node")
+    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, None
@@ -315,25 +314,27 @@ def component_labels(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds, each a partial minimum and a join, staged.
     """
-    after = (links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-             .where("u <> v").distinct())
-    done = False
-    while not done:
-        edges = staged(after, "join-edges")
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    after = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                   .where("u <> v").distinct(), "join-edges")
+    while _not_stars(after).take(1):
+        both = after.unionByName(after.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # written, so that a hub's rows can be split in the join
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")),
                        "join-least")
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                       .distinct(), "join-large")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")), "join-least")
-        small = large.join(least.select("u", "m"), "u")
-        after = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        # stars only: nobody has two parents, no parent has one
-        done = not least.where("m <> top").take(1) and \
-            not least.join(least.select(F.col("m").alias("u")).distinct(), "u", "left_semi").take(1)
-    labels = after.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    return staged(labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct()), "join-labels")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        after = staged(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                       .unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "join-edges")
+    return staged(after.select(F.col("u").alias("node"), F.col("v").alias("label"))
+                  .unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()),
+                  "join-labels")
+
+
+def _not_stars(edges: DataFrame) -> DataFrame:
+    """Nodes with two parents, or with a parent and a child."""
+    ends = edges.select("u", F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up")))
+    ups = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return ups.where("ups > 1 or (ups = 1 and low = 0)")
 
 
 def _classes(docs: DataFrame, similarity: int, words: int, sample_docs: int,
@@ -343,9 +344,9 @@ def _classes(docs: DataFrame, similarity: int, words: int, sample_docs: int,
     nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in SKETCH))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     plans, hot = _costs(docs, rows.count(), similarity, words, sample_docs)
-    buckets = staged(bucket_rows(docs, plans, hot, similarity, words), "join-signatures")
-    buckets = staged(buckets.join(nodes.drop("first_id"), ["k1", "k2"])
-                     .select("sig", "node", _size().alias("n"), *SKETCH).dropDuplicates(["sig", "node"]), "join-buckets")
+    buckets = bucket_rows(docs, plans, hot, similarity, words).join(nodes.drop("first_id"), ["k1", "k2"])
+    buckets = staged(buckets.select("sig", "node", _size().alias("n"), *SKETCH).dropDuplicates(["sig", "node"]),
+                     "join-buckets")
     labels = _label_rounds(docs, nodes, buckets, similarity, words, centre_rounds)
     sets = nodes.select("node", "k1", "k2", "first_id").join(labels, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
@@ -398,10 +399,11 @@ def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similar
         wanted, F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
     texts = staged(texts.groupBy("node").agg(F.first("text").alias("text")), "join-texts")
     labels = nodes.where(F.lit(False)).select("node", F.col("node").alias("label"))
-    checked = None
+    checked, mixed = None, buckets.withColumn("label", F.col("node"))
     for turn in range(centre_rounds + 1):
-        held = _several(buckets, labels)
-        pairs = _centre_pairs(held, turn, similarity) if turn < centre_rounds else _all_pairs(held, similarity)
+        if turn or not centre_rounds:
+            mixed = _mixed(buckets, labels)
+        pairs = _centre_pairs(mixed, turn, similarity) if turn < centre_rounds else _all_pairs(mixed, similarity)
         pairs = pairs.select("centre", "node").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["centre", "node"], "left_anti")
@@ -412,16 +414,19 @@ def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similar
         turned = pairs.unionByName(pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node")))
         checked = turned if checked is None else checked.unionByName(turned)
         new = found.select(F.col("centre").alias("u"), F.col("node").alias("v"))
-        labels = component_labels(new.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+        if turn:
+            new = new.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
+        labels = component_labels(new)
     return labels
 
 
-def _several(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold several components, with their label."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold several components, with their label and the bucket's blocks."""
     names = labels.withColumnRenamed("label", "l")
-    now = buckets.join(names, "node", "left").select(*buckets.columns, F.coalesce("l", "node").alias("label"))
-    per = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    per = staged(per.where("lo <> hi").select("sig"), "join-several")
+    now = buckets.join(names, "node", "left").select("sig", "node", "n", *SKETCH, F.coalesce("l", "node").alias("label"))
+    per = now.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                 F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("blocks"))
+    per = staged(per.where("lo <> hi").select("sig", "blocks"), "join-mixed")
     return now.join(per, "sig")
 
 
@@ -434,7 +439,7 @@ def _near(similarity: int, other: str = "c_"):
 
 
 def _centre_pairs(held: DataFrame, turn: int, similarity: int) -> DataFrame:
-    """Each member of a bucket with its centre: the node of the smallest hash this turn."""
+    """Each member of a bucket with its centre: the node of the smallest hash of this turn."""
     order = F.xxhash64("node", F.lit(turn))
     columns = ["node", "n", "label", *SKETCH]
     centre = held.groupBy("sig").agg(F.min(F.struct(order.alias("o"), *columns)).alias("c"))
@@ -450,9 +455,7 @@ def _all_pairs(held: DataFrame, similarity: int) -> DataFrame:
     two blocks at a time and sends what passes, not the pairs it looks at.
     """
     columns = ["node", "n", "label", *SKETCH]
-    sizes = held.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CENTRE_ROWS).alias("blocks"))
-    rows = held.join(staged(sizes, "join-blocks"), "sig") \
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = held.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.select("sig", "mine", *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
                        .alias("other"))
     rows = rows.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine",
