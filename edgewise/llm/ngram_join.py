@@ -15,7 +15,7 @@ empty ones.
 Sets with a common signature are candidates. Equal sets are one node. Each
 bucket first compares its members with one centre; verified links merge nodes
 into components, and what a bucket still holds of several components is
-compared (with further centres if asked for, then) member by member, so every link
+compared (the nearest pair of each two components first, then) member by member, so every link
 between different components is found while linked groups need no pairs.
 Verification is exact on the 64-bit shingle hashes.
 
@@ -400,10 +400,14 @@ def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similar
     texts = staged(texts.groupBy("node").agg(F.first("text").alias("text")), "join-texts")
     labels = nodes.where(F.lit(False)).select("node", F.col("node").alias("label"))
     checked, mixed = None, buckets.withColumn("label", F.col("node"))
-    for turn in range(centre_rounds + 1):
+    for turn in range(centre_rounds + 2):
         if turn or not centre_rounds:
             mixed = _mixed(buckets, labels)
-        pairs = _centre_pairs(mixed, turn, similarity) if turn < centre_rounds else _all_pairs(mixed, similarity)
+        if turn < centre_rounds:
+            pairs = _centre_pairs(mixed, turn, similarity)
+        else:
+            # the nearest pair of each two components first: one link makes their other pairs needless
+            pairs = _all_pairs(mixed, similarity, nearest=turn == centre_rounds)
         pairs = pairs.select("centre", "node").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["centre", "node"], "left_anti")
@@ -448,8 +452,9 @@ def _centre_pairs(held: DataFrame, turn: int, similarity: int) -> DataFrame:
     return held.join(centre, "sig").where((F.col("label") != F.col("c_label")) & _near(similarity))
 
 
-def _all_pairs(held: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of a bucket's members in different components that :func:`_near` lets pass.
+def _all_pairs(held: DataFrame, similarity: int, nearest: bool = False) -> DataFrame:
+    """Pairs of a bucket's members in different components that :func:`_near` lets pass;
+    with ``nearest`` only the pair of each two components whose sketches are nearest.
 
     Buckets are cut in blocks of about ``CENTRE_ROWS`` members; a task looks at
     two blocks at a time and sends what passes, not the pairs it looks at.
@@ -465,6 +470,7 @@ def _all_pairs(held: DataFrame, similarity: int) -> DataFrame:
 
     def near(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         """(node, node) rows; columns: node, n, label, sketch."""
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for at in range(0, len(a), 64):
             x, y = a[at:at + 64, None, :], b[None, :, :]
             total = x[..., 1] + y[..., 1]
@@ -473,8 +479,19 @@ def _all_pairs(held: DataFrame, similarity: int) -> DataFrame:
             differ = (x[..., 3:] ^ y[..., 3:]).view(np.uint64)  # signed numbers would be counted by their size
             apart = np.bitwise_count(differ).sum(axis=2, dtype=np.int64)
             i, j = np.nonzero(ok & (apart * (100 + similarity) <= total * (100 - similarity)))
-            if len(i):
+            if len(i) and not nearest:
                 yield np.stack([a[at + i, 0], b[j, 0]], axis=1)
+            elif len(i):
+                # of this slice, then of all, the nearest of each two components
+                share = apart[i, j] / total[i, j]
+                two = np.sort(np.stack([a[at + i, 2], b[j, 2]], axis=1), axis=1)
+                order = np.lexsort((share, two[:, 1], two[:, 0]))
+                first = order[np.append(True, (np.diff(two[order], axis=0) != 0).any(axis=1))]
+                for x, y, z, k in zip(*two[first].T.tolist(), share[first].tolist(), first.tolist(), strict=True):
+                    found = (z, int(a[at + i[k], 0]), int(b[j[k], 0]))
+                    best[x, y] = min(best.get((x, y), found), found)
+        if best:
+            yield np.array([x[1:] for x in best.values()], np.int64)
 
     def looked(group: np.ndarray) -> Iterator[np.ndarray]:
         mine, rows = group[:, 3], group[:, 4:]
