@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_and_released(df: DataFrame, name: str) -> DataFrame:
+    """:func:`staged`, then a collection on the driver: Spark's cleaner removes the
+    shuffle files of plans that nothing refers to any more, here those of the step
+    that has just been written. For steps that shuffle whole texts.
+    """
+    out = staged(df, name)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: T.StructType) -> DataFrame:
     """Apply ``fn`` to each Arrow batch."""
