@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import column, field, map_batches, prepare_batches
+from .common import column, field, map_batches, prepare_batches, staged
 
 #: words in the automaton, words a task remembers, words it counts between two outputs,
 #: symbols from which a word is merged with a heap
-LEXICON_WORDS, CACHE_WORDS, COUNT_WORDS, LONG_WORD = 65_536, 200_000, 200_000, 200
+LEXICON_WORDS, CACHE_WORDS, COUNT_WORDS, LONG_WORD = 1 << 18, 400_000, 200_000, 200
 #: fixed values: white space and word end of the tokenizer file
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD_END = "</w>"
@@ -325,9 +325,17 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
 
 def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
                     size: int = LEXICON_WORDS) -> bytes:
-    """The packed automaton of the ``size`` most frequent words, with their ids."""
-    top = word_counts(docs, vocabulary, text_col).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted((r[0] for r in top.select("word").collect()), key=str.encode)  # at most ``size``
+    """The packed automaton of the most frequent words (at most ``size``), with their ids."""
+    counts = staged(word_counts(docs, vocabulary, text_col), "bpe-words")
+    # classes of counts, an eighth of a power of two wide: as many of the highest as fit
+    step = F.floor(F.log2("n") * 8).cast("int")
+    classes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 504 rows
+    least, room = 1 << 30, size
+    for c in sorted(classes, key=lambda c: -c.step):
+        if c.words > room:
+            break
+        least, room = c.step, room - c.words
+    words = sorted((r[0] for r in counts.where(step >= least).select("word").collect()), key=str.encode)
     ids = [merge_word(vocabulary, w) for w in words]
     arrays = build_automaton(words)
     arrays["offsets"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
