@@ -201,6 +201,7 @@ def brute_repeats(rows):
 def test_remove_repeats(documents, awkward_rows, monkeypatch):
     monkeypatch.setattr(repeats, "SHARD", 600)
     monkeypatch.setattr(repeats, "UNIT", 3000)
+    monkeypatch.setattr(repeats, "PIECE", 700)
     rows = [*awkward_rows, (3000, "ab" * 5000, None, None), (3001, "ba" * 300, None, None)]
     got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(documents(rows)).collect()}
     assert got == brute_repeats(rows)
