@@ -3,10 +3,12 @@
 Patterns find candidates in every text: assignments, access keys, long hex
 runs, and generic tokens that look random (several classes of characters, high
 entropy). Every candidate's value is hashed, and the hashes are aggregated over
-the whole corpus by distinct repository and distinct owner. A value that many
-owners hold is a copied example; one that stays with one owner is a
-live-looking credential. Base spans always stay; a generic token adds a span
-only if it is live-looking.
+the whole corpus by distinct repository and distinct owner. A value that more
+than ``MOST_OWNERS`` owners or more than ``MOST_REPOSITORIES`` repositories hold
+is a copied example; one that stays below both is a live-looking credential.
+Base spans always stay; a generic token adds a span only if it is live-looking.
+Without a column of repositories each distinct whole text is one, so that copies
+of a document count once, whoever owns them.
 
 Defined cases: null text is empty; a null owner or repository is one of its own;
 repeated rows are scanned each; an empty table gives an empty result; extra
@@ -37,7 +39,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: what the method adds: a generic token of one owner
 OWNED = "owned"
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-LEAST_ENTROPY, MOST_OWNERS = 3.5, 1
+LEAST_ENTROPY = 3.5
+#: owners and repositories that a live-looking value has at most
+MOST_OWNERS, MOST_REPOSITORIES = 1, 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -99,30 +103,36 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, repositories, owners, uses) over all candidates; partial sums by value, owner and repository."""
-    each = found.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("uses"))
-    owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("uses").alias("uses"))
-    return owner.groupBy("value").agg(F.sum("repositories").alias("repositories"),
-                                      F.count(F.lit(1)).alias("owners"), F.sum("uses").alias("uses"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id",
-         owner_col: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+    """(value, repositories, owners, uses) over all candidates, the first two distinct; partial sums by value and name."""
+    names = F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("name")) for c in ("owner", "repository")))
+    each = found.select("value", F.explode(names).alias("n")).groupBy("value", "n.side", "n.name") \
+        .agg(F.count(F.lit(1)).alias("uses"))
+    owner = F.col("side") == "owner"
+    return each.groupBy("value").agg(F.count_if(~owner).alias("repositories"), F.count_if(owner).alias("owners"),
+                                     F.sum(F.when(owner, F.col("uses"))).alias("uses"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str | None = None,
+         owner_col: str = "source", most_owners: int = MOST_OWNERS,
+         most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """One row per input row: id, base counts and digest, ``spans`` (an array of all spans with
-    their value's owners and repositories), ``n_copied`` and ``n_live``.
+    their value's owners and repositories), ``n_copied`` and ``n_live``. Without ``repository_col``
+    the whole text is the repository.
     """
+    repository = F.col(repository_col).cast("string") if repository_col else F.substring(F.sha2(text_col, 256), 1, 32)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                       F.col(repository_col).cast("string").alias("repository"),
+                       repository.alias("repository"),
                        F.col(owner_col).cast("string").alias("owner"))
     rows = staged(candidates(docs, ["id", "repository", "owner"]).withColumn("row", F.monotonically_increasing_id()),
                   "secret-candidates")
     found = rows.select("row", "repository", "owner", F.explode("found").alias("f")).select(
         "row", "repository", "owner", "f.*")
     values = staged(ownership(found), "secret-ownership")
-    judged = found.join(values, "value").where((F.col("kind") != OWNED) | (F.col("owners") <= most_owners))
+    copied = lambda s: (s["owners"] > most_owners) | (s["repositories"] > most_repositories)
+    judged = found.join(values, "value").where((F.col("kind") != OWNED) | ~copied(
+        {c: F.col(c) for c in ("owners", "repositories")}))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(
         F.struct("start", "rank", "kind", "end", "value", "owners", "repositories"))).alias("spans"))
-    copied = lambda s: s["owners"] > most_owners
     # a document without candidates has no row here
     out = rows.drop("found", "repository", "owner").join(staged(spans, "secret-spans"), "row", "left") \
         .withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))

@@ -109,6 +109,30 @@ def test_secret_scan(documents):
     assert secret_scan.scan(documents([])).count() == 0
 
 
+def test_secrets_by_repository(documents):
+    """A token of one owner in many texts is copied; in many copies of one text it is one repository."""
+    many, copies, few = "Zx9Qw3Er7Ty1Ui5Op8As2", "Lk4Jh6Gf8Ds0Aq2We4Rt6", "Bn3Vc5Xz7Mk9Jl1Hg3Fd5"
+    most = secret_scan.MOST_REPOSITORIES
+    rows = [(i, f"text {i} {many} password={many}", None, "hot") for i in range(most + 1)]
+    rows += [(100 + i, f"see {copies}", None, "hot") for i in range(4 * most)]
+    rows += [(200 + i, f"text {i} {few} password={few}", None, "hot") for i in range(most)]
+    both = "key Qa1Ws2Ed3Rf4Tg5Yh6Uj7"
+    rows += [(300, both, None, "a"), (301, both, None, "b")]
+    got = {r.doc_id: r for r in secret_scan.scan(documents(rows)).withColumn("joined", secret_scan.spans_text()).collect()}
+    assert len(got) == len(rows)
+    for i in range(most + 1):  # no owned span; the base span counts as copied
+        assert (got[i].joined.split(":")[0], got[i].n_copied, got[i].n_live) == ("assign", 1, 0)
+    for i in range(4 * most):
+        assert (got[100 + i].joined, got[100 + i].n_live) == ("owned:4:25", 1)
+        assert [s.repositories for s in got[100 + i].spans] == [1]
+    for i in range(most):
+        assert (got[200 + i].n_copied, got[200 + i].n_live) == (0, 2)
+    # one repository, two owners: the owners decide
+    assert [got[d].joined for d in (300, 301)] == ["", ""]
+    by_id = secret_scan.scan(documents(rows), repository_col="doc_id").where("doc_id between 100 and 199")
+    assert {(r.n_live, len(r.spans)) for r in by_id.collect()} == {(0, 0)}
+
+
 # ---- toxicity
 
 def test_fold():
