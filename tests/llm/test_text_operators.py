@@ -235,6 +235,26 @@ def test_remove_repeats(documents, awkward_rows, monkeypatch):
     assert got == [("1", 0), ("1", 0), ("None", 60)]
 
 
+def test_common_phrases_with_other_surroundings(documents, monkeypatch):
+    """An anchor with many contexts: no merge holds more than UNIT bytes, and the result is the same."""
+    unit, merge = 3000, repeats.least_documents
+
+    def bounded(contexts, docs):
+        assert sum(map(len, contexts)) <= unit
+        return merge(contexts, docs)
+
+    monkeypatch.setattr(repeats, "UNIT", unit)
+    monkeypatch.setattr(repeats, "least_documents", bounded)
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, almost, long = noise(30), noise(46), noise(64)
+    rows = [(i, noise(90) + rng.choice("xyz") + rng.choice([short, almost, almost, long]) + rng.choice(["", "u", "vw"])
+             + noise(90), None, None) for i in range(600)]
+    rows += [(1000 + i, rows[i][1], None, None) for i in range(0, 600, 50)]
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(documents(rows)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def test_merged_transforms():
     """Interleave and common prefixes (to two bytes) equal those of all suffixes sorted at once."""
     rng = np.random.default_rng(5)
