@@ -255,6 +255,19 @@ def test_common_phrases_with_other_surroundings(documents, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_repeats_of_rows_without_ids(documents):
+    """Rows without an id, or of one id, don't bring their anchors together."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(400)) for _ in range(30)]
+    rows = [(d, t, None, None) for d, copies in ((7, 2), (None, 3)) for t in texts for _ in range(copies)]
+    docs = documents(rows).selectExpr(f"coalesce(doc_id, {repeats.NO_ID}) AS d", "xxhash64(text) AS t", "text")
+    shared = repeats.shared_anchors(docs, np.zeros(0, np.int64))
+    most = max(len(np.unique(repeats.anchors(t.encode())[0])) for t in texts)
+    assert 0 < max(len(r.anchors) for r in shared.collect()) <= most
+    got = {(r.doc_id, r.n_removed) for r in repeats.remove_repeats(documents(rows)).collect()}
+    assert got == {(7, 0), (None, 400)}
+
+
 def test_merged_transforms():
     """Interleave and common prefixes (to two bytes) equal those of all suffixes sorted at once."""
     rng = np.random.default_rng(5)
