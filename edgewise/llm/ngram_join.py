@@ -86,7 +86,10 @@ class Bands:
         """Bands of a set: a linked pair meets in the band of the smaller one."""
         self._grow(size)
         band = max(b for b in range(len(self.starts)) if self.starts[b] <= size)
-        return [b for b in range(max(0, band - 3), band + 1) if size <= self.top(b)]
+        first = band
+        while first and size <= self.top(first - 1):
+            first -= 1
+        return list(range(first, band + 1))
 
     def segments(self, band: int) -> int:
         """Segments of a band: one more than the largest difference, and some to spare."""

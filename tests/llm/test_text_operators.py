@@ -320,6 +320,20 @@ def test_near_copies_go(documents, awkward_rows):
     assert ngram_join.components(documents([])).count() == 0
 
 
+def test_linked_sizes_share_a_band(documents):
+    """At any similarity, also where a set reaches over more than three smaller bands."""
+    for similarity in (10, 20, 25, 30, 60, 80, 85, 100):
+        bands = ngram_join.Bands(similarity)
+        of = [set(bands.of(n)) for n in range(1, 401)]
+        for a in range(1, 401):
+            for b in range(a, min(400, bands.partner(a)) + 1):
+                assert of[a - 1] & of[b - 1], (similarity, a, b)
+    words = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join(words[:5]), None, None), (2, " ".join(words), None, None), (3, "other words", None, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(documents(rows), 25, 1).collect()}
+    assert got == brute_components(rows, 25, 1) and got[2][1] == got[1][1]
+
+
 def test_no_linked_pair_without_a_signature():
     """Linked sets share a signature under any allocation, with and without deletions."""
     rng = np.random.default_rng(9)
