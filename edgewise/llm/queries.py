@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, prefix_trie, repeats, \
-    secret_scan, toxicity, whitening
+from . import bpe, chat, exact_dedup, fingerprint, langid, mixing, ngram_join, pii, \
+    prefix_trie, repeats, secret_scan, toxicity, whitening
 from .common import held_out, load
 
 
@@ -70,6 +70,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(load(spark, sf_dir, "conversations"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(docs, pii.learn(docs), ["doc_id"])
+    return found.withColumn("spans", pii.spans_text())
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(load(spark, sf_dir, "embeddings"))
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -78,7 +84,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_toxicity, op4_bpe_encode,
                                 op5_chat_format, op6_mix_sources, op7_repeated_passages, op8_ngram_jaccard,
                                 op9_exact_dedup, op10_language_id, op11_prefix_trie,
-                                op13_whitening)}
+                                op12_pii, op13_whitening)}
 
 SQL = {
     "op5_chat_format": """

@@ -94,7 +94,8 @@ def test_components_without_variance_and_few_rows(spark):
 def test_whole_numbers_beyond_64_bits(spark):
     far = [(0, [1e17, 0.0]), (1, [-1e17, 1.0]), (2, [3e38, 2.0]), (3, [0.5, 1.0])]
     got = {r["vec_id"]: r for r in whitening.whiten(table(spark, [(i, v, 0) for i, v in far])).collect() if r["component"] == 1}
-    xs = {i: [min(x, (1 << 61) + 1_000_000) for x in grid(v)] for i, v in far}
+    far_off = 1 << 61
+    xs = {i: [max(min(x, far_off + 1_000_000), 1_000_000 - far_off) for x in grid(v)] for i, v in far}
     s = [sum(x[k] for x in xs.values()) for k in range(2)]
     for i, x in xs.items():
         want = sum((4 * a - b) ** 2 for a, b in zip(x, s))
