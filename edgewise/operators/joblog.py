@@ -9,7 +9,7 @@ the rows is pre-reduced in every task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage_log import STAGES
@@ -74,16 +74,57 @@ def first_arrivals(arrivals: DataFrame, key: str = "name", ts: str = "ts",
 def request_outcomes(requests: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Each request with the result code of its outcome (NULL when none).
 
-    Both sides are reduced to one row per key first (of several outcomes the
-    largest by its columns in order), so the join is one-to-one and
-    co-partitioned on the key.
+    Both sides are reduced to one row per key first (of several requests the
+    earliest: the smallest by its time stamps, then by its other columns; of
+    several outcomes the largest by its columns in order), so the join is
+    one-to-one and co-partitioned on the key.
     """
     values = [c for c in outcomes.columns if c not in keys]
     last = outcomes.groupBy(*keys).agg(F.max(F.struct(*values)).alias("_o"))
-    once = requests.dropDuplicates(keys)
+    asked = [c for c in requests.columns if c not in keys]
+    if asked:
+        first = requests.groupBy(*keys).agg(F.min(F.struct(*(F.col(c) for c in _time_first(asked)))).alias("_r"))
+        once = first.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in asked))
+    else:
+        once = requests.distinct()
     return once.join(last.select(*keys, *(F.col(f"_o.{c}").alias(c) for c in values)), keys, "left")
 
 
+def _time_first(columns: list[str]) -> list[str]:
+    """Time stamps before all other columns: the least struct is then the earliest request."""
+    return sorted(columns, key=lambda c: not (c == "ts" or c.endswith("_ts")))
+
+
+def match_outcomes(requests: DataFrame, outcomes: DataFrame, key: str, within: int, request_ts: str = "request_ts",
+                   outcome_ts: str = "outcome_ts", code: str = "result_code") -> DataFrame:
+    """Every request with the first outcome of its ``key`` at or after it, at most ``within`` seconds later.
+
+    Adds ``outcome_ts`` and ``code`` (NULL when none; of outcomes at one time the smallest code).
+    Time is cut into buckets of ``within`` seconds, so an answer lies in the request's bucket or the
+    next one: one running value per (key, bucket), and one row a bucket for the next. No pair of
+    request and outcome is formed, and a hot key is spread over its buckets. A request without a key
+    has no outcome.
+    """
+    def bucket(c: str) -> Column:
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(within * 1_000_000)).cast("long")
+
+    answer = F.struct(F.col(outcome_ts).alias("t"), F.col(code).alias("c"))
+    given = outcomes.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_k"), bucket(outcome_ts).alias("_b"), F.col(outcome_ts).alias("_at"),
+        F.lit(None).cast(requests.schema.simpleString()).alias("_r"), answer.alias("_a"))
+    asked = requests.select(F.col(key).alias("_k"), bucket(request_ts).alias("_b"), F.col(request_ts).alias("_at"),
+                            F.struct(*requests.columns).alias("_r"), F.lit(None).cast(given.schema["_a"].dataType).alias("_a"))
+    # from the latest on: at one time outcomes come first, the smallest code last of them
+    later = Window.partitionBy("_k", "_b").orderBy(F.desc("_at"), F.col("_r").isNotNull(), F.desc("_a")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = asked.unionByName(given).withColumn("_here", F.last("_a", ignorenulls=True).over(later)).where(F.col("_r").isNotNull())
+    nxt = given.groupBy("_k", (F.col("_b") - 1).alias("_b")).agg(F.min("_a").alias("_next"))
+    found = here.join(nxt, ["_k", "_b"], "left").withColumn("_got", F.coalesce("_here", "_next"))
+    gap = F.unix_micros(F.col("_got.t").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
+    got = F.when(F.col("_k").isNotNull() & (gap <= within * 1_000_000), F.col("_got"))
+    return found.withColumn("_got", got).select("_r.*", F.col("_got.t").alias(outcome_ts), F.col("_got.c").alias(code))
+
+
 def stage_durations(stamps: DataFrame) -> DataFrame:
     """Per run: ``<stage>_sec`` = finish - start, seconds (NULL if a stamp is missing)."""
     aggs = []
@@ -97,6 +138,50 @@ def stage_durations(stamps: DataFrame) -> DataFrame:
     return per_run.select(*cols)
 
 
+def _long(durations: DataFrame, group_col: str) -> DataFrame:
+    """(group, stage, sec): one row per measured stage."""
+    return durations.select(
+        group_col, F.explode(F.array(*[
+            F.struct(F.lit(s).alias("stage"), F.col(f"{s}_sec").alias("sec")) for s in STAGES
+        ])).alias("_s")).select(group_col, "_s.stage", "_s.sec").where(F.col("sec").isNotNull())
+
+
+def stage_percentiles(durations: DataFrame, group_col: str = "day", percentages: tuple[float, ...] = (0.5, 0.95),
+                      accuracy: int = 1000) -> DataFrame:
+    """Percentiles of stage seconds by rollup(stage, group): ``n, percentage, sec``.
+
+    The aggregate keeps a quantile summary whose size depends on ``accuracy`` alone, and
+    summaries merge, so every task reduces a hot group before the shuffle. ``sec`` is a
+    value of the group whose rank differs from ``percentage * n`` by ``n / accuracy`` at most
+    (``percentile_ranks`` measures it).
+    """
+    micros = F.round(F.col("sec") * F.lit(1e6)).cast("long")
+    ps = F.array(*(F.lit(float(p)) for p in percentages))
+    each = _long(durations, group_col).rollup("stage", group_col).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"),
+        F.percentile_approx(micros, ps, F.lit(accuracy)).alias("_q"))
+    return each.select("stage", group_col, "level", "n", F.explode(F.arrays_zip(ps.alias("p"), F.col("_q").alias("q"))).alias("_z")) \
+        .select("stage", group_col, "level", "n", F.col("_z.p").alias("percentage"), (F.col("_z.q") / F.lit(1e6)).alias("sec"))
+
+
+def percentile_ranks(durations: DataFrame, percentiles: DataFrame, group_col: str = "day") -> DataFrame:
+    """``percentiles`` with ``below`` and ``upto``: how many durations of the group are less, and less or equal.
+
+    Counts are partial sums. Rollup levels are joined apart: totals by stage are at most a row per
+    stage and percentage, which is broadcast; only the finest level moves by its key.
+    """
+    long = _long(durations, group_col).select(F.col(group_col).alias("_g"), F.col("stage").alias("_st"), F.col("sec").alias("_x"))
+    below, upto = F.count_if(F.col("_x") < F.col("sec")).alias("below"), F.count_if(F.col("_x") <= F.col("sec")).alias("upto")
+    keys = ["stage", group_col, "level", "n", "percentage", "sec"]
+    same_stage, same_group = F.col("stage") == F.col("_st"), F.col(group_col).eqNullSafe(F.col("_g"))
+    fine = percentiles.where(F.col("level") == 0).join(long, same_stage & same_group)
+    stages = F.broadcast(percentiles.where(F.col("level") == 1))
+    total = F.broadcast(percentiles.where(F.col("level") == 3).withColumn("_one", F.lit(1)))
+    coarse = long.join(stages, same_stage).select(*keys, "_x") \
+        .unionByName(long.withColumn("_one", F.lit(1)).join(total, "_one").select(*keys, "_x"))
+    return fine.select(*keys, "_x").unionByName(coarse).groupBy(*keys).agg(below, upto)
+
+
 def stage_summary(durations: DataFrame, group_col: str = "day") -> DataFrame:
     """count / avg / stddev / min / max of stage seconds by rollup(stage, group).
 
@@ -105,10 +190,7 @@ def stage_summary(durations: DataFrame, group_col: str = "day") -> DataFrame:
     sample standard deviation is a floating-point result whose last digits
     depend on the order of summation; it is reported to the millisecond.
     """
-    long = durations.select(
-        group_col, F.explode(F.array(*[
-            F.struct(F.lit(s).alias("stage"), F.col(f"{s}_sec").alias("sec")) for s in STAGES
-        ])).alias("_s")).select(group_col, "_s.stage", "_s.sec").where(F.col("sec").isNotNull())
+    long = _long(durations, group_col)
     micros = F.round(F.col("sec") * F.lit(1e6)).cast("decimal(38,0)")
     n = F.count(F.lit(1))
     return long.rollup("stage", group_col).agg(

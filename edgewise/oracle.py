@@ -369,10 +369,15 @@ SELECT v.id, coalesce(m.d, '{}') AS distances FROM v LEFT JOIN m ON v.id = m.id
 # ---- step 8 ----------------------------------------------------------------------
 
 REQUESTS = """
-SELECT CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS tenant,
-       CAST(o_custkey AS VARCHAR) AS "user",
-       'user' || CAST(o_custkey AS VARCHAR) || '@example.com' AS user_email,
-       'graphs/' || lower(o_orderstatus) || '/' || CAST(o_orderkey AS VARCHAR) AS graph_location,
+SELECT CAST(o_orderkey AS VARCHAR) AS name,
+       CASE o_orderkey % 16 WHEN 0 THEN NULL WHEN 1 THEN o_orderpriority WHEN 2 THEN repeat('x', 33)
+            ELSE regexp_replace(lower(o_orderpriority), '[^0-9a-z]+', '-', 'g') END AS tenant,
+       CASE o_orderkey % 16 WHEN 3 THEN NULL WHEN 4 THEN 'User ' || CAST(o_custkey AS VARCHAR) WHEN 5 THEN repeat('x', 33)
+            ELSE CAST(o_custkey AS VARCHAR) END AS "user",
+       CASE o_orderkey % 16 WHEN 6 THEN repeat('m', 128) ELSE 'user' END || CAST(o_custkey AS VARCHAR) || '@example.com'
+         AS user_email,
+       CASE o_orderkey % 16 WHEN 7 THEN NULL ELSE 'graphs/' || CASE o_orderkey % 16 WHEN 2 THEN repeat('d/', 64) ELSE '' END
+            || lower(o_orderstatus) || '/' || CAST(o_orderkey AS VARCHAR) END AS graph_location,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST((o_custkey % 4) + 1 AS INTEGER) END
          AS nr_workers,
        o_orderdate AS ts
@@ -470,6 +475,28 @@ FROM ({REQUEST_OUTCOMES}) GROUP BY 1
 """
 SQL["first_arrivals_stream"] = SQL["first_arrivals"]
 SQL["request_outcomes_stream"] = REQUEST_OUTCOMES
+SQL["daily_arrivals_stream"] = "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events"
+SQL["request_outcome_match"] = """
+WITH r AS (SELECT event_id, user_id, ts AS request_ts FROM events WHERE event_type = 'signup'),
+o AS (SELECT user_id, ts AS outcome_ts, CASE event_type WHEN 'purchase' THEN 200 ELSE 400 END AS result_code
+      FROM events WHERE event_type IN ('purchase', 'error')),
+j AS (SELECT r.*, o.outcome_ts, o.result_code,
+             row_number() OVER (PARTITION BY r.event_id ORDER BY o.outcome_ts, o.result_code) AS rn
+      FROM r LEFT JOIN o ON o.user_id = r.user_id AND o.outcome_ts >= r.request_ts
+                        AND o.outcome_ts <= r.request_ts + INTERVAL 6 HOUR)
+SELECT event_id, user_id, request_ts, outcome_ts, result_code FROM j WHERE rn = 1
+"""
+SQL["request_outcome_match_stream"] = SQL["request_outcome_match"]
+SQL["stage_percentiles"] = f"""
+WITH d AS (SELECT *, regexp_extract(run, '(\\d{{4}}-\\d{{2}}-\\d{{2}})$', 1) AS day
+           FROM ({STAGE_DURATIONS})),
+l AS (SELECT day, 'creation' AS stage, creation_sec AS sec FROM d
+      UNION ALL SELECT day, 'execution', execution_sec FROM d
+      UNION ALL SELECT day, 'deletion', deletion_sec FROM d),
+g AS (SELECT stage, day, count(*) AS n FROM l WHERE sec IS NOT NULL GROUP BY ROLLUP (stage, day))
+SELECT g.stage, g.day, g.n, p.percentage, true AS rank_within_bound
+FROM g JOIN (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) p(percentage) ON g.n > 0
+"""
 
 SQL["connected_components_min_label"] = weak_components_sql(PART_NEXT)
 

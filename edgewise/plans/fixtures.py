@@ -131,16 +131,26 @@ STAMP_OF_EVENT = {"view": ["start creation"],
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job requests from orders (priority as tenant, customer as user)."""
+    """Job requests from orders (priority as tenant, customer as user).
+
+    The order key modulo 16 decides what is wrong with a request, so that every rule
+    is broken by some and half of them are valid.
+    """
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 16
+    long_name = F.repeat(F.lit("x"), 33)
     return o.select(
         key.alias("name"),
-        F.col("o_orderpriority").alias("tenant"),
-        F.col("o_custkey").cast("string").alias("user"),
-        F.concat(F.lit("user"), F.col("o_custkey").cast("string"), F.lit("@example.com"))
-        .alias("user_email"),
-        F.concat(F.lit("graphs/"), F.lower("o_orderstatus"), F.lit("/"), key).alias("graph_location"),
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.col("o_orderpriority")).when(kind == 2, long_name)
+        .otherwise(F.regexp_replace(F.lower("o_orderpriority"), "[^0-9a-z]+", "-")).alias("tenant"),
+        F.when(kind == 3, F.lit(None)).when(kind == 4, F.concat(F.lit("User "), F.col("o_custkey").cast("string")))
+        .when(kind == 5, long_name).otherwise(F.col("o_custkey").cast("string")).alias("user"),
+        F.concat(F.when(kind == 6, F.repeat(F.lit("m"), 128)).otherwise(F.lit("user")),
+                 F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("user_email"),
+        F.when(kind == 7, F.lit(None)).otherwise(F.concat(
+            F.lit("graphs/"), F.when(kind == 2, F.repeat(F.lit("d/"), 64)).otherwise(F.lit("")),
+            F.lower("o_orderstatus"), F.lit("/"), key)).alias("graph_location"),
         F.when(F.col("o_orderstatus") == "P", F.lit(None))
         .otherwise(F.pmod(F.col("o_custkey"), F.lit(4)) + 1).cast("int").alias("nr_workers"),
         F.col("o_orderdate").alias("ts"))
@@ -165,6 +175,19 @@ def day_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bought == 1, F.lit(200)).otherwise(F.lit(400)).alias("result_code"))
 
 
+def signup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every signup as a request of its own."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return ev.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("request_ts"))
+
+
+def outcome_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every purchase (200) and error (400) as an outcome of its own."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error"))
+    code = F.when(F.col("event_type") == "purchase", F.lit(200)).otherwise(F.lit(400))
+    return ev.select("user_id", F.col("ts").cast("timestamp").alias("outcome_ts"), code.alias("result_code"))
+
+
 def stage_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage stamps ``(run, action, ts)``: run = user and day, first stamp per action."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(STAMP_OF_EVENT)))

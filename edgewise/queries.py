@@ -328,29 +328,100 @@ def outcome_classes(spark, sf):
 
 # ---- step 9: streaming twins --------------------------------------------------------------
 
-def _event_files(spark, sf):
-    """The events table re-written as time-ordered files: the stream's input.
+#: slices of the tables' time range, in which a stream's folder is fed
+SLICES = 3
+MATCH_HOURS, STREAM_DELAY = 6, "1 day"
 
-    Range partitioning on ``ts`` samples the distribution, so a day holding a
-    third of all events is split over several files instead of one task.
+
+def _fed(spark, tables, step, keep=()):
+    """Write each (rows, time column) of ``tables`` to a folder of its own in slices of time, and call ``step`` with
+    the folders after each slice.
+
+    A stream reads files in the order of their modification times; fed this way, no row of a later
+    slice is there before the earlier ones are read, whichever writer ends first. A last record far after all
+    others, empty but for its time and the columns ``keep``, moves the watermark past every open state. (The
+    filter for keys of a join runs before the watermark: there the record needs a key.)
     """
     from .session import scratch_path
-    ev = fx.table(spark, sf, "events")
-    path = scratch_path(spark, "events-by-time")
-    ev.repartitionByRange("ts").write.parquet(path)
-    return path, ev.schema
+    folders = [scratch_path(spark, "stream-source") for _ in tables]
+    ends = [rows.agg(F.min(ts), F.max(ts)).first() for rows, ts in tables]
+    known = [e for e in ends if e[0] is not None]
+    if known:
+        low, high = min(e[0] for e in known), max(e[1] for e in known)
+        cuts = [low + (high - low) * k / SLICES for k in range(1, SLICES)]
+    else:
+        cuts = []
+    bounds = [None, *cuts, None]
+    result = None
+    for a, b in zip(bounds, bounds[1:]):
+        for (rows, ts), folder in zip(tables, folders):
+            part = rows if a is None else rows.where(F.col(ts) >= F.lit(a))
+            part = part if b is None else part.where(F.col(ts) < F.lit(b))
+            part.write.mode("append").parquet(folder)
+        result = step(*folders)
+    if known:
+        for (rows, ts), folder in zip(tables, folders):
+            after = F.lit(high) + F.expr("INTERVAL 30 days")
+            beat = rows.dropna(subset=list(keep)).limit(1).select(*(
+                after.alias(c) if c == ts else F.col(c) if c in keep else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+            beat.write.mode("append").parquet(folder)
+        result = step(*folders)
+    return result
 
 
 def first_arrivals_stream(spark, sf):
+    """First arrivals with a watermark: the state holds a row per key and open day."""
+    from .session import scratch_path
     from .streaming.joblog_stream import first_arrivals_stream as fas
-    path, schema = _event_files(spark, sf)
-    return fas(spark, path, schema, key="user_id")
+    ev, log = fx.table(spark, sf, "events"), scratch_path(spark, "arrivals-log")
+    seen = _fed(spark, [(ev, "ts")], lambda path: fas(spark, path, ev.schema, key="user_id", log_path=log, watermark=STREAM_DELAY))
+    return seen.where(F.col("name").isNotNull())
+
+
+def daily_arrivals_stream(spark, sf):
+    """Who was seen on which day, deduplicated within the watermark."""
+    from .session import scratch_path
+    from .streaming.joblog_stream import distinct_arrivals_stream as das
+    ev, log = fx.table(spark, sf, "events"), scratch_path(spark, "distinct-log")
+    seen = _fed(spark, [(ev, "ts")], lambda path: das(spark, path, ev.schema, ["user_id", "day"], STREAM_DELAY, log_path=log))
+    return seen.where(F.col("user_id").isNotNull())
 
 
 def request_outcomes_stream(spark, sf):
+    from .session import scratch_path
     from .streaming.joblog_stream import request_outcomes_stream as ros
-    path, schema = _event_files(spark, sf)
-    return ros(spark, path, schema, watermark="40 days")
+    ev, log = fx.table(spark, sf, "events"), scratch_path(spark, "outcomes-log")
+    return _fed(spark, [(ev, "ts")], lambda path: ros(spark, path, ev.schema, watermark=STREAM_DELAY, log_path=log))
+
+
+def request_outcome_match(spark, sf):
+    """Every signup with the user's first purchase or error within six hours."""
+    from .operators.joblog import match_outcomes
+    requests, outcomes = fx.signup_events(spark, sf), fx.outcome_events(spark, sf)
+    return match_outcomes(requests, outcomes, "user_id", MATCH_HOURS * 3600)
+
+
+def request_outcome_match_stream(spark, sf):
+    """The same from two streams, joined in time."""
+    from .session import scratch_path
+    from .streaming.joblog_stream import matched_stream
+    requests, outcomes, log = fx.signup_events(spark, sf), fx.outcome_events(spark, sf), scratch_path(spark, "matched-log")
+    done = _fed(spark, [(requests, "request_ts"), (outcomes, "outcome_ts")],
+                lambda r, o: matched_stream(spark, r, requests.schema, o, outcomes.schema, "user_id",
+                                            f"{MATCH_HOURS} hours", log_path=log), keep=["user_id"])
+    return done.where(F.col("event_id").isNotNull()).select("event_id", "user_id", "request_ts", "outcome_ts", "result_code")
+
+
+def stage_percentiles(spark, sf):
+    """Median and 95th percentile of stage seconds by rollup, and whether their ranks keep the bound."""
+    from .operators.joblog import percentile_ranks
+    from .operators.joblog import stage_percentiles as sp
+    d = _durations(spark, sf).withColumn("day", F.regexp_extract("run", r"(\d{4}-\d{2}-\d{2})$", 1))
+    accuracy = 1000
+    ranks = percentile_ranks(d, sp(d, "day", (0.5, 0.95), accuracy), "day")
+    want, slack = F.col("percentage") * F.col("n"), F.ceil(F.col("n") / accuracy) + 1
+    return ranks.select("stage", "day", "n", "percentage",
+                        ((F.col("below") <= want + slack) & (F.col("upto") >= want - slack)).alias("rank_within_bound"))
 
 
 QUERIES.update({
@@ -366,6 +437,10 @@ QUERIES.update({
     "outcome_classes": outcome_classes,
     "first_arrivals_stream": first_arrivals_stream,
     "request_outcomes_stream": request_outcomes_stream,
+    "daily_arrivals_stream": daily_arrivals_stream,
+    "request_outcome_match": request_outcome_match,
+    "request_outcome_match_stream": request_outcome_match_stream,
+    "stage_percentiles": stage_percentiles,
 })
 
 

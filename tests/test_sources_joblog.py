@@ -160,3 +160,116 @@ def test_outcomes_are_reduced_and_names_matched_whole(spark):
     assert sorted(map(tuple, request_outcomes(req, out, ["name"]).collect())) == [("a", 400), ("b", None)]
     r = spark.createDataFrame([("abc\n", "u", "e", "g")], "tenant string, user string, user_email string, graph_location string")
     assert validate_requests(r).first().violations == ["tenant_pattern"]
+
+
+def _stamp(day, hour, minute=0):
+    import datetime
+    return datetime.datetime(2024, 1, day, hour, minute)
+
+
+def test_two_streams_match_late_rows_and_eviction(spark, tmp_path):
+    """Requests and outcomes as two streams: pairs in range, unmatched ones once settled, late rows dropped and counted."""
+    from edgewise.operators.joblog import match_outcomes
+    from edgewise.streaming.joblog_stream import matched_stream
+    rs, os_ = "event_id int, k string, request_ts timestamp", "k string, outcome_ts timestamp, result_code int"
+    req, out, log = str(tmp_path / "r"), str(tmp_path / "o"), str(tmp_path / "log")
+
+    def feed(requests, outcomes):
+        spark.createDataFrame(requests, rs).coalesce(1).write.mode("append").parquet(req)
+        spark.createDataFrame(outcomes, os_).coalesce(1).write.mode("append").parquet(out)
+        runs = []
+        got = matched_stream(spark, req, rs, out, os_, "k", "2 hours", "1 hour", log_path=log, runs=runs)
+        return sorted((r["event_id"], r["result_code"]) for r in got.collect()), runs[0]
+
+    got, run = feed([(1, "a", _stamp(1, 1)), (2, "b", _stamp(1, 1)), (3, "a", _stamp(1, 4)), (9, None, _stamp(1, 1))],
+                    [("a", _stamp(1, 2), 400), ("a", _stamp(1, 1, 30), 200), ("a", _stamp(1, 0), 500), (None, _stamp(1, 1), 200)])
+    # request 1 has two outcomes in range, the first counts; 2 may still get one; 9 has no key
+    assert got == [(1, 200)] and run.late_rows == 0
+    # the watermark of both sides moves on: 2 and 9 are settled without an outcome, 3 is still open
+    got, run = feed([(4, "c", _stamp(1, 6))], [("z", _stamp(1, 5, 30), 200), ("a", _stamp(1, 4, 45), 400)])
+    assert got == [(1, 200), (2, None), (3, 400), (9, None)]
+    # an outcome behind the watermark is late: counted, and it changes nothing
+    got, run = feed([(5, "d", _stamp(1, 12))], [("b", _stamp(1, 1, 10), 200), ("d", _stamp(1, 13), 200)])
+    assert run.late_rows >= 1 and (2, None) in got and (5, 200) in got
+    held = run.state_rows
+    # state is evicted: far later records leave only themselves behind
+    got, run = feed([(6, "e", _stamp(9, 1))], [("e", _stamp(9, 1), 400)])
+    assert run.state_rows <= 2 < held + 3
+    assert got == [(1, 200), (2, None), (3, 400), (4, None), (5, 200), (6, 400), (9, None)]
+    # the batch twin gives the same, but for the late outcome
+    r, o = spark.read.schema(rs).parquet(req), spark.read.schema(os_).parquet(out).where("not (k = 'b')")
+    assert sorted((x["event_id"], x["result_code"]) for x in match_outcomes(r, o, "k", 7200).collect()) == got
+
+
+def test_match_outcomes_against_all_pairs(spark):
+    """Bucketed matching: ties of time, bucket borders, requests of one key at one time, null keys."""
+    import random
+    from edgewise.operators.joblog import match_outcomes
+    rng = random.Random(2)
+    keys = ["a"] * 6 + ["b", "c", None]
+    requests = [(i, rng.choice(keys), _stamp(1, rng.randrange(20), rng.choice([0, 0, 7, 59]))) for i in range(80)]
+    outcomes = [(rng.choice(keys), _stamp(1, rng.randrange(20), rng.choice([0, 0, 8, 30])), rng.choice([200, 400])) for _ in range(60)]
+    want = []
+    for i, k, t in requests:
+        fit = [(u, c) for q, u, c in outcomes if k is not None and q == k and 0 <= (u - t).total_seconds() <= 3600]
+        want.append((i, *(min(fit) if fit else (None, None))))
+    got = match_outcomes(spark.createDataFrame(requests, "event_id int, k string, request_ts timestamp"),
+                         spark.createDataFrame(outcomes, "k string, outcome_ts timestamp, result_code int"), "k", 3600)
+    assert sorted((r["event_id"], r["outcome_ts"], r["result_code"]) for r in got.collect()) == sorted(want)
+
+
+def test_dedup_within_watermark_expires(spark, tmp_path):
+    """A repeated record is dropped while its key is held, a late one is dropped and counted, a key comes back after expiry."""
+    from edgewise.streaming.joblog_stream import distinct_arrivals_stream, first_arrivals_stream
+    schema, src, log = "name string, ts timestamp, event_id int", str(tmp_path / "s"), str(tmp_path / "log")
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        runs = []
+        got = distinct_arrivals_stream(spark, src, schema, ["name"], "2 hours", log_path=log, runs=runs)
+        return sorted(r["name"] for r in got.collect()), runs[0]
+
+    got, run = feed([("a", _stamp(1, 1), 1), ("a", _stamp(1, 1, 30), 2), ("b", _stamp(1, 2), 3)])
+    assert got == ["a", "b"] and run.late_rows == 0 and run.state_rows == 2
+    got, run = feed([("a", _stamp(1, 2, 30), 4), ("c", _stamp(1, 6), 5)])   # a is still held
+    assert got == ["a", "b", "c"] and run.state_rows == 1                    # a and b have expired
+    got, run = feed([("late", _stamp(1, 1), 6), ("a", _stamp(1, 7), 7)])     # a is new again
+    assert got == ["a", "a", "b", "c"] and run.late_rows == 1
+    # the aggregating twin: a late row is counted, the first arrival stays the smallest
+    runs, log2 = [], str(tmp_path / "first")
+    first = first_arrivals_stream(spark, src, schema, key="name", log_path=log2, watermark="2 hours", files_per_batch=1, runs=runs)
+    assert {r["name"]: r["event_id"] for r in first.collect() if r["name"] != "late"} == {"a": 1, "b": 3, "c": 5}
+
+
+def test_percentile_ranks(spark):
+    """Ranks keep the bound in groups far larger than the summary; nulls and ties included."""
+    from pyspark.sql import functions as F
+    from edgewise.operators.joblog import percentile_ranks, stage_percentiles
+    d = spark.range(30_000).select((F.col("id") % 3).cast("string").alias("day"),
+                                   F.when(F.col("id") % 7 > 0, F.pmod(F.hash("id"), F.lit(4000)) / 100).alias("creation_sec"),
+                                   F.when(F.col("id") % 2 == 0, F.lit(5.0)).alias("execution_sec"),
+                                   F.lit(None).cast("double").alias("deletion_sec"))
+    got = percentile_ranks(d, stage_percentiles(d, "day", (0.0, 0.5, 0.95, 1.0), 200), "day").collect()
+    assert len(got) == 4 * (2 * 3 + 2 + 1)
+    for r in got:
+        slack = r["n"] / 200 + 1
+        assert r["below"] <= r["percentage"] * r["n"] + slack and r["upto"] >= r["percentage"] * r["n"] - slack
+    exact = sorted(x[0] for x in d.select("creation_sec").where("creation_sec is not null and day = '1'").collect())
+    mid = next(r for r in got if r["stage"] == "creation" and r["day"] == "1" and r["percentage"] == 0.5)
+    assert mid["n"] == len(exact) and mid["below"] == sum(x < mid["sec"] for x in exact)
+
+
+def test_every_rule_is_met_and_some_requests_are_valid(spark):
+    from pyspark.sql import functions as F
+    from edgewise.operators.joblog import request_outcomes, validate_requests
+    from edgewise.plans import fixtures as fx
+    v = validate_requests(fx.requests(spark, SMOKE))
+    codes = {r[0] for r in v.select(F.explode("violations")).distinct().collect()}
+    assert codes == {"tenant_missing", "tenant_pattern", "tenant_length", "user_missing", "user_pattern", "user_length",
+                     "email_length", "location_missing", "location_length"}
+    assert v.where("is_valid").count() > 0.4 * v.count()
+    # of several requests of one key the earliest stays
+    req = spark.createDataFrame([("a", 5, "late"), ("a", 2, "early"), ("b", 1, "x")], "name string, request_ts int, user string")
+    out = spark.createDataFrame([("a", 200)], "name string, result_code int")
+    got = request_outcomes(req, out, ["name"]).select("name", "request_ts", "user", "result_code").collect()
+    assert sorted(map(tuple, got)) == [("a", 2, "early", 200), ("b", 1, "x", None)]
