@@ -6,12 +6,18 @@ et al. (2014): O(log n) rounds, each a group-by (map-side partial ``min``,
 so a hub is pre-reduced in every task) and a join.  The loop stops when an
 observed (count, sum of 64-bit hashes) fingerprint of the edge set repeats.
 
-Strongly connected components use forward min-colouring and backward
-reachability restricted to a colour (the colouring method): every vertex
-takes the smallest id that reaches it; each colour root then collects the
-vertices of its colour that reach it back, which is exactly its SCC, named
-by its smallest member.  Vertices with no in- or out-edge left are trimmed
-as singletons first.
+The minimum of a vertex reaches its edges through ``skew.join_hub_safe``, and
+the ids a hub sends are distinct pairs, so a vertex with a third of all edges
+is no single task.
+
+Strongly connected components propagate two labels at once, the smallest id
+that reaches a vertex and the smallest id it reaches.  Where both are equal,
+that id reaches the vertex and is reached by it: it names their component.
+Members of one component have the same pair of labels, so edges between
+different pairs are dropped, which cuts the rest of the graph into many small
+parts, and the labels start anew on what is left.  A vertex without edges left
+is its own component, so chains and trees end in one round, without a separate
+trimming loop.  Every round settles the smallest id of each remaining part.
 """
 
 from __future__ import annotations
@@ -25,27 +31,28 @@ from pyspark.sql import functions as F
 from ..functions.columns import edge_set_fingerprint
 from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
+from ..plans.skew import KeyedEdges, join_hub_safe
 
 
 _fingerprint = edge_set_fingerprint
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """e: undirected edges (x, y) stored once.  Emits (v, m(u)) for v > u."""
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    """e: ``n`` undirected edges (x, y) stored once.  Emits (v, m(u)) for v > u."""
     nbr = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(
         e.select(F.col("y").alias("u"), F.col("x").alias("v")))
     m = nbr.groupBy("u").agg(F.min("v").alias("_m"))
     m = m.select("u", F.least(F.col("u"), F.col("_m")).alias("m"))
-    return (nbr.where(F.col("v") > F.col("u")).join(m, "u")
+    return (join_hub_safe(nbr.where(F.col("v") > F.col("u")), "u", m, 2 * n)
             .select(F.col("v").alias("x"), F.col("m").alias("y")).distinct())
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    """e: edges (x, y).  Orient to (larger, smaller); for each x link x and
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    """e: ``n`` edges (x, y).  Orient to (larger, smaller); for each x link x and
     all its smaller neighbours to their minimum."""
     o = e.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     m = o.groupBy("u").agg(F.min("v").alias("m"))
-    j = o.join(m, "u")
+    j = join_hub_safe(o, "u", m, n)
     linked = (j.where(F.col("v") != F.col("m")).select(F.col("v").alias("x"), F.col("m").alias("y"))
               .union(m.select(F.col("u").alias("x"), F.col("m").alias("y"))))
     return linked.distinct()
@@ -65,123 +72,107 @@ def connected_components(g: Graph, checkpoint_interval: int = 2,
     if algorithm != "large_star":
         raise ValueError(f"unknown algorithm {algorithm!r}: use 'large_star' or 'min_label'")
     cutter = StepCutter(checkpoint_interval)
-    vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-    e = (pairs.where(F.col(SRC) != F.col(DST))
-         .select(F.greatest(SRC, DST).alias("x"), F.least(SRC, DST).alias("y")).distinct())
-    e, fp = cutter.cut(e, _fingerprint("x", "y"))
-    while True:
-        e, _ = cutter.cut(_large_star(e))
-        e, new_fp = cutter.cut(_small_star(e), _fingerprint("x", "y"))
-        if new_fp == fp:
-            break
-        fp = new_fp
-    # converged: stars (x -> component minimum y)
-    comp = e.groupBy(F.col("x").alias(ID)).agg(F.min("y").alias("component"))
-    cutter.close(keep=[e])
+    try:
+        vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        e = (pairs.where(F.col(SRC) != F.col(DST))
+             .select(F.greatest(SRC, DST).alias("x"), F.least(SRC, DST).alias("y")).distinct())
+        e, fp = cutter.cut(e, _fingerprint("x", "y"))
+        while True:
+            e, large = cutter.cut(_large_star(e, fp["n"]), {"n": F.count(F.lit(1))})
+            e, new_fp = cutter.cut(_small_star(e, large["n"]), _fingerprint("x", "y"))
+            if new_fp == fp:
+                break
+            fp = new_fp
+        # converged: stars (x -> component minimum y)
+        comp, _ = cutter.cut(e.groupBy(F.col("x").alias(ID)).agg(F.min("y").alias("component")), reliable=True)
+    finally:
+        cutter.close()
     return (result_base(g, vids).join(comp, ID, "left")
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
 
 def _min_label_components(g: Graph, checkpoint_interval: int) -> DataFrame:
     cutter = StepCutter(checkpoint_interval)
-    vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-    sym, _ = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST))
-                           .select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
-                           .union(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b")))
-                           .distinct())
-    label, _ = cutter.cut(vids.select(ID, F.col(ID).alias("component"), F.lit(True).alias("_changed")))
-    while True:
-        senders = label.where(F.col("_changed")).select(F.col(ID).alias("a"), "component")
-        msg = sym.join(senders, "a").groupBy(F.col("b").alias(ID)).agg(F.min("component").alias("_m"))
-        new = (label.join(msg, ID, "left")
-               .select(ID, F.least("component", F.coalesce("_m", F.col("component"))).alias("component"),
-                       F.coalesce(F.col("_m") < F.col("component"), F.lit(False)).alias("_changed")))
-        label, m = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))})
-        if not m["changed"]:
-            break
-    cutter.close(keep=[label])
+    try:
+        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        sym, m = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST))
+                               .select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
+                               .union(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b")))
+                               .distinct())
+        layout = KeyedEdges(sym, "a", "b", cutter=cutter, total_edges=m, vertex_count=n).persist(cutter)
+        label, _ = cutter.cut(vids.select(ID, F.col(ID).alias("component"), F.lit(True).alias("_changed")))
+        while True:
+            senders = label.where(F.col("_changed")).select(ID, "component")
+            msg = layout.attach(senders, ID).groupBy(F.col("b").alias(ID)).agg(F.min("component").alias("_m"))
+            new = (label.join(msg, ID, "left")
+                   .select(ID, F.least("component", F.coalesce("_m", F.col("component"))).alias("component"),
+                           F.coalesce(F.col("_m") < F.col("component"), F.lit(False)).alias("_changed")))
+            label, seen = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))}, reliable=True)
+            if not seen["changed"]:
+                break
+    finally:
+        cutter.close()
     label = label.drop("_changed")
     return result_base(g, vids).join(label, ID, "left").withColumn(
         "component", F.coalesce(F.col("component"), F.col(ID)))
 
 
+#: hops that labels travel in one step of strongly connected components
+HOPS = 2
+
+
+def _spread(layout: KeyedEdges, state: DataFrame) -> DataFrame:
+    """One hop of both labels from the vertices whose labels fell; ``_fell`` marks those that fall now."""
+    sent = layout.attach(state.where("_fell").select(ID, "_in", "_out"), ID)
+    along = F.col("_along")
+    got = sent.groupBy(F.col("_z").alias(ID)).agg(F.min(F.when(along, F.col("_in"))).alias("_mi"),
+                                                  F.min(F.when(~along, F.col("_out"))).alias("_mo"))
+    fell = (F.col("_mi") < F.col("_in")) | (F.col("_mo") < F.col("_out"))
+    return state.join(got, ID, "left").select(ID, F.least("_in", "_mi").alias("_in"), F.least("_out", "_mo").alias("_out"),
+                                              F.coalesce(fell, F.lit(False)).alias("_fell"))
+
+
 def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
                                   max_iter: int | None = None) -> DataFrame:
     """Vertices with ``component`` = smallest id among mutually reachable vertices.
 
-    Runs until every vertex has its component; a lower ``max_iter`` that runs
-    out before that raises.
+    Runs until every vertex has its component; a lower ``max_iter`` (rounds) that
+    runs out before that raises.
     """
     cutter = StepCutter(checkpoint_interval)
-    v_rem, n_rem, e_all, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-    v_all = v_rem
-    e_rem, _ = cutter.inputs(e_all.where(F.col(SRC) != F.col(DST)).distinct())
-    done: list[DataFrame] = []
-
-    def restrict(e, keep):
-        return (e.join(keep.select(F.col(ID).alias(SRC)), SRC, "left_semi")
-                .join(keep.select(F.col(ID).alias(DST)), DST, "left_semi"))
-
-    for step in count():
-        if max_iter is not None and step >= max_iter and n_rem:
-            cutter.close()
-            raise RuntimeError(f"{n_rem} vertices have no component yet after {max_iter} rounds")
-        # trim: a vertex with no in-edge or no out-edge left is its own component
-        while True:
-            has_out = e_rem.select(F.col(SRC).alias(ID))
-            has_in = e_rem.select(F.col(DST).alias(ID))
-            alive, n_alive = cutter.inputs(v_rem.join(has_out, ID, "left_semi")
-                                           .join(has_in, ID, "left_semi"))
-            if n_alive == n_rem:
-                break
-            # the trimmed vertices are singletons: they fall back to their own id below
-            v_rem, n_rem = alive, n_alive
-            e_rem, _ = cutter.inputs(restrict(e_rem, alive))
-        if not n_rem:
-            break
-        # forward colouring: colour = smallest id that reaches the vertex.
-        # Only vertices whose colour dropped in the last round send messages.
-        color, _ = cutter.cut(v_rem.select(ID, F.col(ID).alias("color"),
-                                           F.lit(True).alias("_changed")))
-        while True:
-            senders = color.where(F.col("_changed")).select(F.col(ID).alias(SRC), "color")
-            msg = (e_rem.join(senders, SRC)
-                   .groupBy(F.col(DST).alias(ID)).agg(F.min("color").alias("_m")))
-            new = (color.join(msg, ID, "left")
-                   .select(ID, F.least("color", F.coalesce("_m", F.col("color"))).alias("color"),
-                           F.coalesce(F.col("_m") < F.col("color"), F.lit(False)).alias("_changed")))
-            color, cm = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))})
-            if not cm["changed"]:
-                break
-        color = color.drop("_changed")
-        # backward: from each root, the vertices of its colour that reach it
-        e_col = (e_rem.join(color.select(F.col(ID).alias(SRC), F.col("color").alias("_cs")), SRC)
-                 .join(color.select(F.col(ID).alias(DST), F.col("color").alias("_cd")), DST)
-                 .where(F.col("_cs") == F.col("_cd")).select(SRC, DST, F.col("_cs").alias("color")))
-        e_col, _ = cutter.inputs(e_col)
-        frontier, _ = cutter.cut(color.where(F.col(ID) == F.col("color"))
-                                 .select(ID, F.col("color").alias("component")), reliable=True)
-        levels = [frontier]
-        while True:
-            seen = reduce(DataFrame.unionByName, [lv.select(ID) for lv in levels])
-            nxt = (e_col.join(frontier.select(F.col(ID).alias(DST), F.col("component").alias("color")),
-                              [DST, "color"])
-                   .select(F.col(SRC).alias(ID), F.col("color").alias("component")).distinct()
-                   .join(seen, ID, "left_anti"))
-            frontier, fm = cutter.cut(nxt, {"n": F.count(F.lit(1))}, reliable=True)
-            if not fm["n"]:
+    found: list[DataFrame] = []
+    try:
+        vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        e, m = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST)).distinct())
+        for step in count():
+            if not m:
                 break
-            levels.append(frontier)
-        reached = reduce(DataFrame.unionByName, levels)
-        done.append(reached)
-        v_rem, n_rem = cutter.inputs(v_rem.join(reached, ID, "left_anti"))
-        if not n_rem:
-            break
-        e_rem, _ = cutter.inputs(restrict(e_rem, v_rem))
-    cutter.close()
-    comp = reduce(DataFrame.unionByName, done) if done else None
-    base = result_base(g, v_all)
-    if comp is None:
+            if max_iter is not None and step >= max_iter:
+                raise RuntimeError(f"the ends of {m} edges have no component yet after {max_iter} rounds")
+            arcs = (e.select(F.col(SRC).alias("_a"), F.col(DST).alias("_z"), F.lit(True).alias("_along"))
+                    .union(e.select(F.col(DST).alias("_a"), F.col(SRC).alias("_z"), F.lit(False).alias("_along"))))
+            ends = arcs.select(F.col("_a").alias(ID)).distinct()
+            state, s = cutter.cut(ends.select(ID, F.col(ID).alias("_in"), F.col(ID).alias("_out"), F.lit(True).alias("_fell")),
+                                  {"n": F.count(F.lit(1))}, reliable=True)
+            layout = KeyedEdges(arcs, "_a", "_z", cutter=cutter, total_edges=2 * m, vertex_count=s["n"]).persist(cutter)
+            while True:
+                new = state
+                for _ in range(HOPS):
+                    new = _spread(layout, new)
+                state, seen = cutter.cut(new, {"fell": F.count_if("_fell")}, reliable=True)
+                if not seen["fell"]:
+                    break
+            cutter.release(layout.edges)
+            found.append(state.where(F.col("_in") == F.col("_out")).select(ID, F.col("_in").alias("component")))
+            # members of one component have the same pair of labels
+            open_ = state.where(F.col("_in") != F.col("_out"))
+            left = join_hub_safe(e, SRC, open_.select(F.col(ID).alias(SRC), F.col("_in").alias("_i"), F.col("_out").alias("_o")), m)
+            left = join_hub_safe(left, DST, open_.select(F.col(ID).alias(DST), "_in", "_out"), m)
+            e, m = cutter.inputs(left.where((F.col("_i") == F.col("_in")) & (F.col("_o") == F.col("_out"))).select(SRC, DST))
+    finally:
+        cutter.close()
+    base = result_base(g, vids)
+    if not found:
         return base.withColumn("component", F.col(ID))
-    return (base.join(comp, ID, "left")
+    return (base.join(reduce(DataFrame.unionByName, found), ID, "left")
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))

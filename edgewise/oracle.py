@@ -510,3 +510,17 @@ SQL["geo_components"] = weak_components_sql(GEO).replace(
 SQL["persist_checkpoint"] = (f"WITH e AS ({PART_NEXT}), ends AS (SELECT src AS id FROM e "
                              "UNION ALL SELECT dst FROM e) SELECT id, CAST(count(*) AS INTEGER) AS degree "
                              "FROM ends GROUP BY id")
+
+ORDER_CHAIN = """
+SELECT src, dst FROM (
+  SELECT UNNEST([{'src': o_orderkey, 'dst': n1},
+                 CASE WHEN p1 < o_totalprice THEN {'src': n1, 'dst': o_orderkey} END,
+                 CASE WHEN q2 = o_orderpriority THEN {'src': n2, 'dst': o_orderkey} END], recursive := true)
+  FROM (SELECT o_orderkey, o_totalprice, o_orderpriority, lead(o_orderkey) OVER w AS n1, lead(o_totalprice) OVER w AS p1,
+               lead(o_orderkey, 2) OVER w AS n2, lead(o_orderpriority, 2) OVER w AS q2
+        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)))
+WHERE src IS NOT NULL AND dst IS NOT NULL
+"""
+SQL["order_components"] = weak_components_sql(ORDER_CHAIN)
+SQL["order_components_min_label"] = SQL["order_components"]
+SQL["order_strong_components"] = strong_components_sql(ORDER_CHAIN)

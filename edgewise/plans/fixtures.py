@@ -69,6 +69,22 @@ def user_handoff(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(e)
 
 
+def order_chain(spark: SparkSession, sf_dir: str) -> Graph:
+    """Order -> the customer's next order; back where the next one is cheaper; the next but one leads
+    back to an order of its priority. Customers are the weak components, with strong ones of many sizes inside."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    s = o.select("o_orderkey", "o_totalprice", "o_orderpriority", F.lead("o_orderkey").over(w).alias("n1"),
+                 F.lead("o_totalprice").over(w).alias("p1"), F.lead("o_orderkey", 2).over(w).alias("n2"),
+                 F.lead("o_orderpriority", 2).over(w).alias("q2"))
+    ends = F.array(
+        F.struct(F.col("o_orderkey").alias("src"), F.col("n1").alias("dst")),
+        F.when(F.col("p1") < F.col("o_totalprice"), F.struct(F.col("n1").alias("src"), F.col("o_orderkey").alias("dst"))),
+        F.when(F.col("q2") == F.col("o_orderpriority"), F.struct(F.col("n2").alias("src"), F.col("o_orderkey").alias("dst"))))
+    e = s.select(F.explode(ends).alias("e")).where("e is not null").select("e.*").where("src is not null and dst is not null")
+    return Graph.from_edges(e)
+
+
 def doc_copies(spark: SparkSession, sf_dir: str) -> Graph:
     """Exact text copies: each copy points to the smallest doc id with its text.
 
@@ -116,7 +132,7 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 __all__ = ["table", "line_successors", "part_next_raw", "part_next",
-           "part_vertices", "part_graph", "user_handoff", "doc_copies", "ratings", "geo",
+           "part_vertices", "part_graph", "user_handoff", "order_chain", "doc_copies", "ratings", "geo",
            "vertices_of"]
 
 

@@ -4,7 +4,9 @@ Each superstep is one DataFrame plan.  Lineage is cut with a reliable
 checkpoint into the session's checkpoint folder (never a local checkpoint:
 an executor lost after the step would take the only copy with it).  Between
 checkpoints a step is persisted (memory and disk), so a lost block is
-recomputed from at most ``interval`` steps of lineage.
+recomputed from at most ``interval`` steps of lineage. A plan that reads the
+state twice doubles with every step that is not cut, so at most ``MOST_UNCUT``
+steps go without, whatever the interval asked for.
 
 Convergence scalars come from ``DataFrame.observe`` on the same job that
 materialises the step, so a stop test costs no extra pass over the data.
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+MOST_UNCUT = 4
+
+
 class StepCutter:
     """Materialises successive supersteps and releases superseded ones."""
 
     def __init__(self, interval: int = 2):
-        self.interval = max(int(interval), 1)
+        self.interval = min(max(int(interval), 1), MOST_UNCUT)
         self._steps: list[DataFrame] = []   # persisted, not yet superseded
         self._inputs: list[DataFrame] = []  # loop invariants
         self._count = 0
@@ -83,6 +88,11 @@ class StepCutter:
         self._inputs.append(out)
         return out
 
+    def release(self, df: DataFrame) -> None:
+        """Release one input kept with :meth:`keep` before the loop ends."""
+        df.unpersist(blocking=False)
+        self._inputs = [d for d in self._inputs if d is not df]
+
     def close(self, keep=()) -> None:
         """Release every persisted step and input except those in ``keep``
         (the ones a returned, still lazy, result reads)."""

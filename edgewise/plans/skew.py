@@ -52,6 +52,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def hub_limits(spark: SparkSession) -> tuple[int, int]:
+    """Bound on the hot-key list, and the degree up to which no key is hot."""
+    return int(spark.conf.get(CONF_MAX_HOT, "1024")), int(spark.conf.get(CONF_MIN_HOT_DEGREE, "100000"))
+
+
+def join_hub_safe(rows: DataFrame, key: str, values: DataFrame, total: int) -> DataFrame:
+    """``rows`` ⋈ ``values`` (one row per ``key``) where a key may own any share of the ``total`` rows.
+
+    Keys above ``total / maxHotKeys`` rows are at most ``maxHotKeys``, whose values are broadcast, so
+    their rows stay where they are; all others meet in a shuffle join of bounded keys. For a table
+    that changes with every step; a fixed one is laid out once (:class:`KeyedEdges`).
+    """
+    max_hot, least = hub_limits(rows.sparkSession)
+    limit = max(total // max(max_hot, 1), least)
+    if total <= limit:
+        return rows.join(values, key)
+    hot = rows.groupBy(key).count().where(F.col("count") > limit).select(key)
+    marked = F.broadcast(hot.withColumn(HOT, F.lit(True)))
+    few = values.join(F.broadcast(hot), key, "left_semi")
+    near = rows.join(F.broadcast(few), key)
+    far = rows.join(marked, key, "left").where(F.col(HOT).isNull()).drop(HOT).join(values, key)
+    return near.select(*far.columns).unionByName(far)
+
+
 class KeyedEdges:
     """Edges laid out for repeated joins with vertex values on ``key``.
 
@@ -65,9 +89,9 @@ class KeyedEdges:
                  salt_buckets: int | None = None, value_row_bytes: int = 48):
         spark = edges.sparkSession
         conf = spark.conf
-        max_hot = int(max_hot if max_hot is not None else conf.get(CONF_MAX_HOT, "1024"))
-        min_hot_degree = int(min_hot_degree if min_hot_degree is not None
-                             else conf.get(CONF_MIN_HOT_DEGREE, "100000"))
+        most, least = hub_limits(spark)
+        max_hot = int(max_hot if max_hot is not None else most)
+        min_hot_degree = int(min_hot_degree if min_hot_degree is not None else least)
         salt_buckets = int(salt_buckets if salt_buckets is not None
                            else conf.get(CONF_SALT_BUCKETS, "64"))
         self.key = key

@@ -484,3 +484,24 @@ def persist_checkpoint(spark, sf):
 
 
 QUERIES["persist_checkpoint"] = persist_checkpoint
+
+
+def order_components(spark, sf):
+    """Connected components of a graph with one per customer."""
+    return fx.order_chain(spark, sf).connected_components().select("id", "component")
+
+
+def order_components_min_label(spark, sf):
+    return fx.order_chain(spark, sf).connected_components(algorithm="min_label").select("id", "component")
+
+
+def order_strong_components(spark, sf):
+    """Strongly connected components of a graph with very many, of many sizes."""
+    return fx.order_chain(spark, sf).strongly_connected_components().select("id", "component")
+
+
+QUERIES.update({
+    "order_components": order_components,
+    "order_components_min_label": order_components_min_label,
+    "order_strong_components": order_strong_components,
+})
