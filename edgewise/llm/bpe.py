@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import column, field, map_batches, prepare_batches, staged
+from .common import broadcast_value, column, field, map_batches, prepare_batches, staged
 
 #: words in the automaton, words a task remembers, words it counts between two outputs,
 #: symbols from which a word is merged with a heap
 LEXICON_WORDS, CACHE_WORDS, COUNT_WORDS, LONG_WORD = 1 << 18, 400_000, 200_000, 200
+#: most bytes of a word in the automaton
+LONGEST = 64
 #: fixed values: white space and word end of the tokenizer file
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD_END = "</w>"
@@ -325,8 +327,11 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
 
 def compile_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
                     size: int = LEXICON_WORDS) -> bytes:
-    """The packed automaton of the most frequent words (at most ``size``), with their ids."""
-    counts = staged(word_counts(docs, vocabulary, text_col), "bpe-words")
+    """The packed automaton of the most frequent words (at most ``size``), with their ids.
+
+    Words of more than ``LONGEST`` bytes are left to exact merging, so the driver holds ``size * LONGEST`` bytes at most.
+    """
+    counts = staged(word_counts(docs, vocabulary, text_col), "bpe-words").where(F.octet_length("word") <= LONGEST)
     # classes of counts, an eighth of a power of two wide: as many of the highest as fit
     step = F.floor(F.log2("n") * 8).cast("int")
     classes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # at most 504 rows
@@ -392,7 +397,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, lexicon: bytes, keep: list[
             text_col: str = "text") -> DataFrame:
     """``keep`` columns and ``n_tokens``, with ``input_ids`` or with the SHA-256 of ids and decoded text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, lexicon))  # both of bounded size
+    shared = broadcast_value(spark, (vocabulary, lexicon))  # both of bounded size
     more = ([T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
             if digests else [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
     schema = T.StructType([*(field(docs, c) for c in keep), T.StructField("n_tokens", T.LongType()), *more])
@@ -403,7 +408,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, lexicon: bytes, keep: list[
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
-            ready.append(Encoder(*shared.value))
+            ready.append(Encoder(*shared()))
         texts = [t or "" for t in column(batch, text_col).to_pylist()]
         n, first, second = [], [], []
         for entries in ready[0].encode(texts):

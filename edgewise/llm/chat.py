@@ -2,8 +2,7 @@
 
 A logged conversation is often a snapshot of a longer one: its turns are that
 one's first turns. Every turn hashes with its number, role and text; a rolling
-prefix hash (the exclusive or of the turn hashes so far, 128 bits, and the
-number of turns) identifies each prefix of each conversation. Running values
+prefix hash (the exclusive or of the turns' SHA-256 so far, and the number of turns) identifies each prefix of each conversation. Running values
 are formed in two levels, within blocks of ``BLOCK`` turn numbers and over the
 blocks, so that no task holds a whole conversation. A conversation whose full
 hash is a shorter prefix of another is dropped by an anti-join; of conversations
@@ -23,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BLOCK = 1024
+#: the parts of a hash, 64 bits each
+KEYS = (1, 2, 3, 4)
 #: ChatML
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -32,27 +33,31 @@ def _xor(name: str) -> Column:
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv, at, n, h1, h2): the hash of every prefix that ends at a turn number.
+    """(conv, at, n, h1 .. h4): the hash of every prefix that ends at a turn number.
 
     ``turns`` has conv, at, role and text, without repeated rows.
     """
-    parts = [F.coalesce(F.col("role"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("\x00")),
-             F.col("role").isNull(), F.col("text").isNull()]
-    hashed = turns.select("conv", "at", *(F.xxhash64("at", *parts, F.lit(s)).alias(f"t{s}") for s in (1, 2)))
-    steps = hashed.groupBy("conv", "at").agg(F.count(F.lit(1)).alias("c"), _xor("t1").alias("x1"), _xor("t2").alias("x2"))
+    # lengths first, so that no two turns give the same bytes; -1 stands for null
+    lengths = [F.coalesce(F.octet_length(c), F.lit(-1)).cast("string") for c in ("role", "text")]
+    whole = F.concat_ws(":", F.col("at").cast("string"), *lengths, F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    turn = turns.select("conv", "at", F.sha2(whole, 256).alias("s"))
+    hashed = turn.select("conv", "at", *(F.conv(F.substring("s", 16 * k - 15, 16), 16, -10).cast("long").alias(f"t{k}")
+                                         for k in KEYS))
+    steps = hashed.groupBy("conv", "at").agg(F.count(F.lit(1)).alias("c"),
+                                              *(_xor(f"t{k}").alias(f"x{k}") for k in KEYS))
     steps = steps.withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
-    blocks = steps.groupBy("conv", "block").agg(F.sum("c").alias("bc"), _xor("x1").alias("b1"), _xor("x2").alias("b2"))
+    blocks = steps.groupBy("conv", "block").agg(F.sum("c").alias("bc"),
+                                                *(_xor(f"x{k}").alias(f"b{k}") for k in KEYS))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("conv", "block", F.coalesce(F.sum("bc").over(before), F.lit(0)).alias("bc"),
-                           F.coalesce(_xor("b1").over(before), F.lit(0)).alias("b1"),
-                           F.coalesce(_xor("b2").over(before), F.lit(0)).alias("b2"))
+                           *(F.coalesce(_xor(f"b{k}").over(before), F.lit(0)).alias(f"b{k}") for k in KEYS))
     upto = Window.partitionBy("conv", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = steps.select("conv", "block", "at", F.sum("c").over(upto).alias("n"), _xor("x1").over(upto).alias("h1"),
-                       _xor("x2").over(upto).alias("h2"))
+    own = steps.select("conv", "block", "at", F.sum("c").over(upto).alias("n"),
+                       *(_xor(f"x{k}").over(upto).alias(f"h{k}") for k in KEYS))
     b = blocks.withColumnsRenamed({"conv": "b_conv", "block": "b_block"})
     joined = own.join(b, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
     return joined.select("conv", "at", (F.col("n") + F.col("bc")).alias("n"),
-                         F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"))
+                         *(F.col(f"h{k}").bitwiseXOR(F.col(f"b{k}")).alias(f"h{k}") for k in KEYS))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     last = staged(prefixes.groupBy("conv").agg(F.max("at").alias("last")).withColumnRenamed("conv", "l_conv"),
                   "chat-last")
     all_ = prefixes.join(last, F.col("conv").eqNullSafe(F.col("l_conv")))
-    key = ["at", "n", "h1", "h2"]
+    key = ["at", "n", *(f"h{k}" for k in KEYS)]
     # one row per whole conversation and one per proper prefix: nothing hot is left to join
     whole = all_.where("at = last").groupBy(*key).agg(F.min(F.struct(F.col("conv").isNull().alias("none"), "conv")).alias("c"))
     proper = all_.where("at < last").select(*key).distinct()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -30,28 +29,41 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting that removes a query's shuffle files when it has ended
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage at a table every executor can reread, and gives later
-    joins a plain scan, whose skewed shuffle partitions AQE can split.
+    joins a plain scan, whose skewed shuffle partitions AQE can split. The shuffle
+    files of this step go as it ends, so that the steps of a query don't add up on disk.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_and_released(df: DataFrame, name: str) -> DataFrame:
-    """:func:`staged`, then a collection on the driver: Spark's cleaner removes the
-    shuffle files of plans that nothing refers to any more, here those of the step
-    that has just been written. For steps that shuffle whole texts.
+def broadcast_value(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcast ``value`` pickled with this package's classes by value; the function returned gives it to a task.
+
+    A plain broadcast names classes by their module, which executors need not have.
     """
-    out = staged(df, name)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    ready: list = []
+
+    def get():
+        if not ready:
+            ready.append(cloudpickle.loads(shared.value))
+        return ready[0]
+    return get
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, field, held_out, map_batches, staged
+from .common import broadcast_value, column, field, held_out, map_batches, staged
 
 SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS, ORDER = 1000, 10_000, 10_000, 4
 UNDETERMINED = "und"
@@ -177,7 +177,7 @@ def predictions(docs: DataFrame, train: DataFrame | None = None, per_lang: int =
     """
     spark = docs.sparkSession
     model = fit(train if train is not None else docs, per_lang)
-    shared = spark.sparkContext.broadcast(model)
+    shared = broadcast_value(spark, model)
     names = keep if keep is not None else [id_col]
     schema = T.StructType([*(field(docs, c) for c in names), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
@@ -185,7 +185,8 @@ def predictions(docs: DataFrame, train: DataFrame | None = None, per_lang: int =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
-            ready.append(predictor(shared.value) if shared.value else lambda text: (UNDETERMINED, 0.0))
+            model = shared()
+            ready.append(predictor(model) if model else lambda text: (UNDETERMINED, 0.0))
         found = [ready[0](t) for t in column(batch, "text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [*(column(batch, c) for c in names), pa.array([f[0] for f in found], pa.string()),

@@ -17,7 +17,9 @@ bucket first compares its members with one centre; verified links merge nodes
 into components, and what a bucket still holds of several components is
 compared (the nearest pair of each two components first, then) member by member, so every link
 between different components is found while linked groups need no pairs.
-Verification is exact on the 64-bit shingle hashes.
+Verification is exact: a pair that reaches the similarity by its 64-bit shingle hashes
+is compared again by its shingles' words before it links. Sets count as equal by a
+96-bit key of their hashes.
 
 Defined cases: null text is empty; a text without words is linked with nothing
 (its component is its own id); rows with equal sets share a component, named by
@@ -179,6 +181,18 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         yield shingle_hashes(hashes, words)
 
 
+def word_shingles(text: str | None, words: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves: tuples of words; the whole sequence if there are fewer."""
+    found = normalise(text).split()
+    n = min(words, len(found))
+    return {tuple(found[i:i + n]) for i in range(len(found) - n + 1)} if n else set()
+
+
+def alike(a: set, b: set, similarity: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= similarity * (len(a) + len(b) - both)
+
+
 # ---- on Spark -----------------------------------------------------------------------------------
 
 def _size():
@@ -291,21 +305,23 @@ def _links(pairs: DataFrame, texts: DataFrame, similarity: int, words: int) -> D
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head = None, None
+        now, head, first, real = None, None, None, None
         for batch in batches:
             centres, nodes = column(batch, "centre").to_pylist(), column(batch, "node").to_pylist()
             parts, members = column(batch, "part").to_pylist(), column(batch, "member").to_pylist()
             out: list[tuple[int, int]] = []
-            sets = shingle_sets(column(batch, "text").to_pylist(), words)
-            for c, v, p, member, s in zip(centres, nodes, parts, members, sets, strict=True):
+            texts = column(batch, "text").to_pylist()
+            for c, v, p, member, text, s in zip(centres, nodes, parts, members, texts, shingle_sets(texts, words), strict=True):
                 if not member:
-                    now, head = (c, p), s
+                    now, head, first, real = (c, p), s, text, None
                     continue
                 if now != (c, p):
                     raise RuntimeError("a centre's members came without it")
                 both = len(np.intersect1d(head, s, assume_unique=True))
                 if 100 * both >= similarity * (len(head) + len(s) - both):
-                    out.append((c, v))
+                    real = word_shingles(first, words) if real is None else real
+                    if alike(real, word_shingles(text, words), similarity):
+                        out.append((c, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                               pa.array([x[1] for x in out], pa.int64())], names=["centre", "node"])
 

@@ -46,7 +46,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.dealt(docs).select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("size") * F.size("shards")).alias("taken"))
+        (F.col("size") * F.size("shards")).alias("taken"), F.concat_ws(",", F.col("shards").cast("array<string>")).alias("shards"))
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,14 +61,21 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def _overlap(begins: list[int], reach: list[int], start: int, end: int) -> bool:
+    """Whether a span meets one of those that begin at ``begins``; ``reach``: the farthest end up to each."""
+    k = bisect_left(begins, end)
+    return k > 0 and reach[k - 1] > start
+
+
 def generic_spans(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Random-looking tokens that no base span overlaps."""
     out = []
+    begins, reach = [a for _, a, _, _ in base], list(accumulate((b for *_, b, _ in base), max))
     for m in GENERIC.finditer(text):
         v = m[0]
         if not (any(map(str.isdigit, v)) and any(map(str.isalpha, v))):
             continue
-        if entropy(v) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for _, a, b, _ in base):
+        if entropy(v) >= LEAST_ENTROPY and not _overlap(begins, reach, m.start(), m.end()):
             out.append((OWNED, m.start(), m.end(), v))
     return out
 

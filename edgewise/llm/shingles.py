@@ -40,6 +40,16 @@ def _powers(name: str, base: int, n: int) -> np.ndarray:
     return table
 
 
+def _places(n: int) -> np.ndarray:
+    """A random odd number for each place in a word: no structure of a long word can cancel it, as it can a power."""
+    table = _tables.get("places")
+    if table is None or len(table) < n:
+        table = mix(mix(np.arange(1, max(n, 1 << 12) + 1, dtype=np.uint64)) + np.uint64(_BASE)) | np.uint64(1)
+        if n <= 4 * WINDOW:
+            _tables["places"] = table
+    return table
+
+
 def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, start bytes) of the words of ``data``."""
     raw = np.frombuffer(data, np.uint8)
@@ -48,10 +58,12 @@ def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(~gap[:-1] & gap[1:])
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * _powers("up", _BASE, len(raw))[:len(raw)])])
-    # the sum over a word, shifted back to its start; its length joins in
-    down = _powers("down", pow(_BASE, -1, 1 << 64), len(raw))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    # a sum over a word's bytes, each times a random number of its place in the word; the length joins in
+    each = np.diff(np.concatenate([starts, [len(raw)]]))
+    at = np.arange(len(raw), dtype=np.int64)
+    at[starts[0]:] -= np.repeat(starts, each)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * _places(int(at.max()) + 1)[at])])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def _windows(data: bytes) -> Iterator[bytes]:

@@ -2,7 +2,7 @@
 
 Folding lower-cases, strips marks, maps homoglyphs and reads digits and signs
 inside words as the letters they stand for (``1d10t``, ``сlоwn``). The lexicon
-is learned on Spark from the labelled rows that are not held out: a word's
+is learned on Spark from all labelled rows that are not held out: a word's
 weight is its smoothed log odds between toxic and other documents. Exception
 phrases are pairs of words with a lexicon word whose documents are mostly not
 toxic; a match inside one does not count. All patterns are matched in one pass
@@ -22,7 +22,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, field, held_out, map_batches, staged
+from .common import broadcast_value, column, field, held_out, map_batches, staged
 
-#: terms and exceptions kept at most, least documents of a term, least log odds, rows the coefficients are fitted on
-TERMS, EXCEPTIONS, LEAST_DOCS, LEAST_ODDS, FIT_DOCS = 2000, 2000, 5, 2.0, 20_000
+#: least documents of a term, least log odds, rows the coefficients are fitted on
+LEAST_DOCS, LEAST_ODDS, FIT_DOCS = 5, 2.0, 20_000
+#: bytes of terms and phrases that a task holds at most; a lexicon beyond that raises, nothing is left out
+MOST_BYTES = 64 << 20
 
 #: fixed values: letters that look like Latin ones, and signs written for letters
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏгвкмнтαβεικνορτυχγωı", "aeopcyxijsdhlrbkmhtabeiknoptuxywi", strict=True))
@@ -69,10 +74,14 @@ def fold(text: str | None) -> str:
     return _INNER.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text.lower())
 
 
-def terms_of(text: str | None) -> set[str]:
-    """Words and neighbouring pairs of words of a text."""
+def words_of(text: str | None) -> set[str]:
+    return set(_WORD.findall(fold(text)))
+
+
+def pairs_of(text: str | None) -> set[str]:
+    """Neighbouring pairs of words of a text."""
     words = _WORD.findall(fold(text))
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
 
 
 @dataclass
@@ -87,7 +96,7 @@ def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(known, "doc_id")
 
 
-def _term_counts(rows: DataFrame) -> DataFrame:
+def _term_counts(rows: DataFrame, terms_of: Callable[[str | None], set[str]]) -> DataFrame:
     """(term, pos, neg): documents of either label with the term, summed by batch first."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts: dict[str, list[int]] = {}
@@ -105,33 +114,37 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Lexicon, exceptions and coefficients from the labelled rows that are not held out."""
-    rows = staged(_training(docs, labels), "toxic-training")
+    rows = staged(_training(docs, labels), "toxic-training", "zstd")
     n = {r.y: r.n for r in rows.groupBy((F.col("toxic") == 1).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos or not neg:
         return Lexicon({}, [], [math.inf if pos else -math.inf, 0.0, 0.0, 0.0])
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
-    counts = staged(_term_counts(rows).withColumn("odds", odds).where(F.col("pos") + F.col("neg") >= LEAST_DOCS),
-                    "toxic-terms")
-    # single words, by the evidence they carry; both lists are bounded
-    words = counts.where(~F.col("term").contains(" ")).where(F.col("odds") >= LEAST_ODDS)
-    top = words.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(TERMS).select("term", "odds").collect()
-    weights = {r.term: float(r.odds) for r in top}
-    pairs = counts.where(F.col("term").contains(" ")).where("neg >= 3 * pos and odds < 0")
+    # words first, then pairs: their shuffles are not on disk at one time
+    counts = staged(_term_counts(rows, words_of).withColumn("odds", odds).where(F.col("pos") + F.col("neg") >= LEAST_DOCS),
+                    "toxic-words")
+    pairs = staged(_term_counts(rows, pairs_of).withColumn("odds", odds).where(
+        (F.col("pos") + F.col("neg") >= LEAST_DOCS) & (F.col("neg") >= 3 * F.col("pos")) & (F.col("odds") < 0)), "toxic-pairs")
+    words = counts.where(F.col("odds") >= LEAST_ODDS)
+    _fits(words)
+    weights = {r.term: float(r.odds) for r in words.select("term", "odds").collect()}
     # a word whose mild documents are mostly those of one phrase counts without that phrase
     inside = pairs.select(F.explode(F.split("term", " ")).alias("word"), F.col("term").alias("phrase"),
                           F.col("pos").alias("p"), F.col("neg").alias("n"))
     mostly = counts.join(inside, F.col("term") == F.col("word")).where(
         (F.col("n") * 2 >= F.col("neg")) & (F.col("pos") - F.col("p") >= LEAST_DOCS))
     rest = F.log((F.col("pos") - F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") - F.col("n") + 0.5) / (neg + 1.0))
-    for r in mostly.withColumn("rest", rest).where(F.col("rest") >= LEAST_ODDS).orderBy(F.desc("rest"), "phrase") \
-            .limit(TERMS).select("word", "phrase", "rest").collect():
+    mostly = mostly.withColumn("rest", rest).where(F.col("rest") >= LEAST_ODDS).groupBy("word").agg(F.max("rest").alias("rest"))
+    _fits(mostly.select(F.col("word").alias("term")))
+    for r in mostly.collect():
         weights[r.word] = max(float(r.rest), weights.get(r.word, 0.0))
     exceptions: list[str] = []
     if weights:
-        known = F.split("term", " ")
-        mild = pairs.where(known[0].isin(list(weights)) | known[1].isin(list(weights)))
-        exceptions = [r.term for r in mild.orderBy(F.desc("neg"), "term").limit(EXCEPTIONS).select("term").collect()]
+        known = docs.sparkSession.createDataFrame([(w,) for w in weights], "w string")
+        halves = pairs.select("term", F.explode(F.split("term", " ")).alias("w"))
+        mild = halves.join(known, "w", "left_semi").select("term").distinct()
+        _fits(mild)
+        exceptions = sorted(r.term for r in mild.collect())
     lexicon = Lexicon(weights, exceptions, [0.0] * 4)
     share = min(1.0, FIT_DOCS / (pos + neg))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
@@ -141,6 +154,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     return lexicon
 
 
+def _fits(terms: DataFrame) -> None:
+    """Raise where terms have more bytes than a task is to hold."""
+    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"a lexicon of {size} bytes: at most {MOST_BYTES} fit a task; raise LEAST_DOCS or LEAST_ODDS")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     """Ridge logistic regression by Newton steps."""
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * 0.1
@@ -174,7 +194,9 @@ class Matcher:
         hits, excused = [], []
         for end, (n, weight, exception) in self.automaton.iter(" " + "  ".join(words) + " "):
             (excused if exception else hits).append((end - n, end, weight))
-        kept = [w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused)]
+        excused.sort()
+        begins, reach = [x for x, *_ in excused], list(accumulate((y for _, y, _ in excused), max))
+        kept = [w for a, b, w in hits if not ((k := bisect_right(begins, a)) and reach[k - 1] >= b)]
         if not kept:
             return 0.0, 0.0, 0.0
         total = sum(kept)
@@ -182,14 +204,14 @@ class Matcher:
 
 
 def _matched(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded: TERMS, EXCEPTIONS
+    shared = broadcast_value(docs.sparkSession, lexicon)  # bounded: MOST_BYTES
     names = ["strongest", "total", "rate"]
     schema = T.StructType([*(field(docs, c) for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
     ready: list[Matcher] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not ready:
-            ready.append(Matcher(shared.value))
+            ready.append(Matcher(shared()))
         found = [ready[0].features(t) for t in column(batch, "text").to_pylist()]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep),
                                            *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))],
