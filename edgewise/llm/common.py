@@ -51,6 +51,14 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table written by :func:`staged` that no later step reads."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def broadcast_value(spark: SparkSession, value) -> Callable[[], object]:
     """Broadcast ``value`` pickled with this package's classes by value; the function returned gives it to a task.
 

@@ -93,7 +93,8 @@ class Lexicon:
 
 def _training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out())
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    # the same plan at every size: labels have no bound that would let them be broadcast
+    return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
 
 
 def _term_counts(rows: DataFrame, terms_of: Callable[[str | None], set[str]]) -> DataFrame:
