@@ -11,31 +11,48 @@ Edges are ratings ``src`` (user) -> ``dst`` (item) with the value in
    gamma6 / gamma7 regularisation);
 3. every vertex adds the sum of the steps it received.
 
+The ratings are laid out twice, once by user and once by item, with popular
+ids split (``plans.skew``); an iteration moves only vertex rows and, once, the
+ratings with their user's side from the one layout to the other. The steps of
+a user and of an item are summed apart, so a user carries no array for the
+``y`` that only items move. An id that is user and item at once gets both sums.
+
 Array sums are one hash aggregate with a partial sum per position (the
 rank is a small parameter), so a popular item is reduced inside every task
-and never gathers its raters into one row.  Factors start from a seeded hash of (id, position), so
-runs are reproducible.  Returns the vertices with ``column1`` .. ``column4``
-(f1, f2, bias, norm) and the mean rating.
+and never gathers its raters into one row.  Factors start from plain whole-number
+arithmetic on the id and the position (:func:`start_value`), so runs are
+reproducible and any SQL engine can repeat them.  Returns the vertices with
+``column1`` .. ``column4`` (f1, f2, bias, norm) and the mean rating.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_add, array_axpy, array_dot, hash_uniform
+from ..functions.columns import array_add, array_axpy, array_dot
 from ..graph import DST, ID, SRC, Graph
 from ..plans.iterate import StepCutter
-
+from ..plans.skew import KeyedEdges
 
 _dot = array_dot
 _axpy = array_axpy
+#: modulus and factors of the start values
+START_MOD, START_ID, START_AT, START_TAG = 10007, 7919, 104729, 1299709
+
+
+def start_value(id_: Column, at: int, tag: int) -> Column:
+    """A value in [0, 1) of an id's ``at``-th factor (``tag`` 1: f1, 2: f2): a number modulo 10007."""
+    key = id_ if isinstance(id_, Column) else F.col(id_)
+    mixed = F.pmod(key, F.lit(START_MOD)) * START_ID + (at + 1) * START_AT + tag * START_TAG
+    return F.pmod(F.pmod(mixed, F.lit(START_MOD)) * F.pmod(mixed, F.lit(START_MOD)) + at, F.lit(START_MOD)) / F.lit(float(START_MOD))
 
 
-def _init(rank: int, tag: int):
+def _init(rank: int, tag: int, integral: bool) -> Column:
     # an explicit array, not transform(sequence, lambda): a lambda over an outer
     # column confuses constraint inference on the checkpointed state
-    return F.array(*[hash_uniform(F.col(ID), F.lit(k), F.lit(tag)) for k in range(rank)])
+    key = F.col(ID).cast("long") if integral else F.crc32(F.col(ID).cast("string").cast("binary"))
+    return F.array(*[start_value(key, k, tag) for k in range(rank)])
 
 
 def _sum_arrays(msgs: DataFrame, arrays: list[str], scalars: list[str], rank: int) -> DataFrame:
@@ -54,53 +71,60 @@ def svd_plus_plus(g: Graph, rank: int = 10, max_iter: int = 2, min_value: float
                   gamma6: float = 0.005, gamma7: float = 0.015, checkpoint_interval: int = 2,
                   rating_col: str = "weight") -> tuple[DataFrame, float]:
     cutter = StepCutter(checkpoint_interval)
-    e, _ = cutter.inputs(g.edges.select(SRC, DST, F.col(rating_col).cast("double").alias("r")))
-    mu = e.agg(F.avg("r")).first()[0]
-    ends = e.select(F.explode(F.array(F.col(SRC), F.col(DST))).alias(ID), "r")
-    stats = ends.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.avg("r").alias("_avg"))
-    state = stats.select(ID, _init(rank, 1).alias("f1"), _init(rank, 2).alias("f2"),
-                         (F.col("_avg") - F.lit(mu)).alias("bias"),
-                         (F.lit(1.0) / F.sqrt(F.col("_n").cast("double"))).alias("norm"))
-    state, _ = cutter.cut(state)
-
-    def side(prefix):
-        return state.select(*[F.col(c).alias(f"{prefix}{c}") for c in state.columns])
-
-    for _ in range(max_iter):
-        # 1. implicit term per user
-        ysum = _sum_arrays(e.join(state.select(F.col(ID).alias(DST), F.col("f2").alias("y")), DST)
-                           .select(F.col(SRC).alias(ID), "y"), ["y"], [], rank)
-        users = (state.join(ysum, ID, "left")
-                 .select(ID, F.when(F.col("y").isNull(), F.col("f1"))
-                         .otherwise(_axpy(F.col("norm"), F.col("y"), F.col("f1"))).alias("imp")))
-        # 2. per-rating gradient steps
-        t = (e.join(side("u_"), F.col(SRC) == F.col("u_id"))
-             .join(users.select(F.col(ID).alias("_uid"), "imp"), F.col(SRC) == F.col("_uid"))
-             .join(side("i_"), F.col(DST) == F.col("i_id")))
-        pred = F.lit(mu) + F.col("u_bias") + F.col("i_bias") + _dot(F.col("i_f1"), F.col("imp"))
-        t = t.withColumn("err", F.col("r") - F.least(F.greatest(pred, F.lit(min_value)),
-                                                      F.lit(max_value)))
-        err = F.col("err")
-        g2 = F.lit(gamma2)
-        g7 = F.lit(gamma7)
-        d_p = F.zip_with("i_f1", "u_f1", lambda q, p: (err * q - g7 * p) * g2)
-        d_q = F.zip_with("imp", "i_f1", lambda m, q: (err * m - g7 * q) * g2)
-        d_y = F.zip_with("i_f1", "i_f2", lambda q, y: (err * F.col("u_norm") * q - g7 * y) * g2)
-        to_user = t.select(F.col(SRC).alias(ID), d_p.alias("a1"),
-                           F.transform("u_f2", lambda x: x * 0.0).alias("a2"),
-                           ((err - F.lit(gamma6) * F.col("u_bias")) * F.lit(gamma1)).alias("db"))
-        to_item = t.select(F.col(DST).alias(ID), d_q.alias("a1"), d_y.alias("a2"),
-                           ((err - F.lit(gamma6) * F.col("i_bias")) * F.lit(gamma1)).alias("db"))
-        steps = _sum_arrays(to_user.unionByName(to_item), ["a1", "a2"], ["db"], rank)
-        new = (state.join(steps, ID, "left")
-               .select(ID,
-                       F.when(F.col("a1").isNull(), F.col("f1"))
-                       .otherwise(array_add("f1", "a1")).alias("f1"),
-                       F.when(F.col("a2").isNull(), F.col("f2"))
-                       .otherwise(array_add("f2", "a2")).alias("f2"),
-                       (F.col("bias") + F.coalesce("db", F.lit(0.0))).alias("bias"), "norm"))
-        state, _ = cutter.cut(new)
-    cutter.close(keep=[state])
+    try:
+        e, n_edges = cutter.inputs(g.edges.select(SRC, DST, F.col(rating_col).cast("double").alias("r")))
+        mu = e.agg(F.avg("r")).first()[0]
+        ends = e.select(F.explode(F.array(F.col(SRC), F.col(DST))).alias(ID), "r")
+        stats = ends.groupBy(ID).agg(F.count(F.lit(1)).alias("_n"), F.avg("r").alias("_avg"))
+        integral = dict(e.dtypes)[SRC] in ("tinyint", "smallint", "int", "bigint")
+        state = stats.select(ID, _init(rank, 1, integral).alias("f1"), _init(rank, 2, integral).alias("f2"),
+                             (F.col("_avg") - F.lit(mu)).alias("bias"),
+                             (F.lit(1.0) / F.sqrt(F.col("_n").cast("double"))).alias("norm"))
+        state, m = cutter.cut(state, {"n": F.count(F.lit(1))})
+        row_bytes = 64 + 16 * rank
+        by_item = KeyedEdges(e, DST, SRC, cutter=cutter, total_edges=n_edges, vertex_count=m["n"],
+                             value_row_bytes=row_bytes).persist(cutter)
+        by_user = KeyedEdges(e, SRC, DST, cutter=cutter, total_edges=n_edges, vertex_count=m["n"],
+                             value_row_bytes=row_bytes).persist(cutter)
+        for _ in range(max_iter):
+            # 1. implicit term per user
+            ysum = _sum_arrays(by_item.attach(state.select(F.col(ID).alias("i_id"), F.col("f2").alias("y")), "i_id")
+                               .select(F.col(SRC).alias(ID), "y"), ["y"], [], rank)
+            users = state.join(ysum, ID).select(
+                F.col(ID).alias("u_id"), F.col("f1").alias("u_f1"), F.col("bias").alias("u_bias"), F.col("norm").alias("u_norm"),
+                _axpy(F.col("norm"), F.col("y"), F.col("f1")).alias("imp"))
+            # 2. per-rating gradient steps: the user's side joins where ratings lie by user, the item's where by item
+            rated = by_user.attach(users, "u_id")
+            items = state.select(F.col(ID).alias("i_id"), F.col("f1").alias("i_f1"), F.col("f2").alias("i_f2"),
+                                 F.col("bias").alias("i_bias"))
+            t = by_item.with_rows(rated).attach(items, "i_id")
+            pred = F.lit(mu) + F.col("u_bias") + F.col("i_bias") + _dot(F.col("i_f1"), F.col("imp"))
+            t = t.withColumn("err", F.col("r") - F.least(F.greatest(pred, F.lit(min_value)), F.lit(max_value)))
+            err = F.col("err")
+            g2, g7 = F.lit(gamma2), F.lit(gamma7)
+            d_p = F.zip_with("i_f1", "u_f1", lambda q, p: (err * q - g7 * p) * g2)
+            d_q = F.zip_with("imp", "i_f1", lambda m_, q: (err * m_ - g7 * q) * g2)
+            d_y = F.zip_with("i_f1", "i_f2", lambda q, y: (err * F.col("u_norm") * q - g7 * y) * g2)
+            to_user = t.select(F.col(SRC).alias(ID), d_p.alias("p1"),
+                               ((err - F.lit(gamma6) * F.col("u_bias")) * F.lit(gamma1)).alias("pb"))
+            to_item = t.select(F.col(DST).alias(ID), d_q.alias("q1"), d_y.alias("q2"),
+                               ((err - F.lit(gamma6) * F.col("i_bias")) * F.lit(gamma1)).alias("qb"))
+            new = (state.join(_sum_arrays(to_user, ["p1"], ["pb"], rank), ID, "left")
+                   .join(_sum_arrays(to_item, ["q1", "q2"], ["qb"], rank), ID, "left"))
+
+            def moved(old: str, *steps: str) -> Column:
+                out = F.col(old)
+                for s in steps:
+                    out = F.when(F.col(s).isNull(), out).otherwise(array_add(out, s))
+                return out
+
+            new = new.select(ID, moved("f1", "p1", "q1").alias("f1"), moved("f2", "q2").alias("f2"),
+                             (F.col("bias") + F.coalesce("pb", F.lit(0.0)) + F.coalesce("qb", F.lit(0.0))).alias("bias"), "norm")
+            state, _ = cutter.cut(new, reliable=True)
+        if not max_iter:
+            state, _ = cutter.cut(state, reliable=True)
+    finally:
+        cutter.close()
     out = g.vertices.join(state, ID, "left").select(
         *[F.col(c) for c in g.vertices.columns],
         F.col("f1").alias("column1"), F.col("f2").alias("column2"),

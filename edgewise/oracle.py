@@ -524,3 +524,51 @@ WHERE src IS NOT NULL AND dst IS NOT NULL
 SQL["order_components"] = weak_components_sql(ORDER_CHAIN)
 SQL["order_components_min_label"] = SQL["order_components"]
 SQL["order_strong_components"] = strong_components_sql(ORDER_CHAIN)
+
+
+# ---- factorisation ----------------------------------------------------------------------
+
+RATINGS = """
+SELECT o_custkey AS src, -l_partkey AS dst, avg(l_quantity) / 10.0 AS r
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey
+"""
+
+
+def svd_sql(ratings_sql: str, rank: int = 10, iters: int = 2) -> str:
+    """SVD++ unrolled: lists of ``rank`` factors, synchronous steps; ends in a relation ``s<iters>``."""
+    def listed(expr: str) -> str:
+        return "[" + ", ".join(expr.replace("$", str(k + 1)) for k in range(rank)) + "]"
+
+    def start(tag: int) -> str:
+        out = []
+        for k in range(rank):
+            mixed = f"((((id % 10007) + 10007) % 10007) * 7919 + {(k + 1) * 104729 + tag * 1299709}) % 10007"
+            out.append(f"((({mixed}) * ({mixed}) + {k}) % 10007) / 10007.0::DOUBLE")
+        return "[" + ", ".join(out) + "]"
+
+    parts = [f"e AS MATERIALIZED ({ratings_sql})", "mu AS (SELECT avg(r) AS mu FROM e)",
+             "ends AS (SELECT src AS id, r FROM e UNION ALL SELECT dst, r FROM e)",
+             f"s0 AS MATERIALIZED (SELECT id, {start(1)} AS f1, {start(2)} AS f2, avg(r) - (SELECT mu FROM mu) AS bias, "
+             "1.0::DOUBLE / sqrt(count(*)::DOUBLE) AS norm FROM ends GROUP BY id)"]
+    dot = " + ".join(f"i.f1[{k + 1}] * u.imp[{k + 1}]" for k in range(rank))
+    for n in range(iters):
+        parts += [
+            f"y{n} AS (SELECT e.src AS id, {listed('sum(s.f2[$])')} AS y FROM e JOIN s{n} s ON s.id = e.dst GROUP BY e.src)",
+            f"u{n} AS MATERIALIZED (SELECT s.*, {listed('s.norm * y.y[$] + s.f1[$]')} AS imp FROM s{n} s JOIN y{n} y ON y.id = s.id)",
+            f"t{n} AS MATERIALIZED (SELECT e.src, e.dst, u.f1 AS p, u.bias AS ub, u.norm AS un, u.imp, i.f1 AS q, i.f2 AS y, "
+            f"i.bias AS ib, e.r - least(greatest((SELECT mu FROM mu) + u.bias + i.bias + ({dot}), 0.0), 5.0) AS err "
+            f"FROM e JOIN u{n} u ON u.id = e.src JOIN s{n} i ON i.id = e.dst)",
+            f"p{n} AS (SELECT src AS id, {listed('sum((err * q[$] - 0.015 * p[$]) * 0.007)')} AS d1, "
+            f"sum((err - 0.005 * ub) * 0.007) AS db FROM t{n} GROUP BY src)",
+            f"q{n} AS (SELECT dst AS id, {listed('sum((err * imp[$] - 0.015 * q[$]) * 0.007)')} AS d1, "
+            f"{listed('sum((err * un * q[$] - 0.015 * y[$]) * 0.007)')} AS d2, "
+            f"sum((err - 0.005 * ib) * 0.007) AS db FROM t{n} GROUP BY dst)",
+            f"s{n + 1} AS MATERIALIZED (SELECT s.id, {listed('s.f1[$] + coalesce(p.d1[$], 0) + coalesce(q.d1[$], 0)')} AS f1, "
+            f"{listed('s.f2[$] + coalesce(q.d2[$], 0)')} AS f2, s.bias + coalesce(p.db, 0) + coalesce(q.db, 0) AS bias, s.norm "
+            f"FROM s{n} s LEFT JOIN p{n} p ON p.id = s.id LEFT JOIN q{n} q ON q.id = s.id)"]
+    return "WITH " + ",\n".join(parts)
+
+
+SQL["svd_plus_plus"] = svd_sql(RATINGS) + """
+SELECT id, round(bias, 6) AS bias, round(norm, 6) AS norm, round(list_sum(f1), 6) AS f1_sum FROM s2
+"""

@@ -19,6 +19,7 @@ that join scales:
 
 from __future__ import annotations
 
+import copy
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,7 +95,7 @@ class KeyedEdges:
         min_hot_degree = int(min_hot_degree if min_hot_degree is not None else least)
         salt_buckets = int(salt_buckets if salt_buckets is not None
                            else conf.get(CONF_SALT_BUCKETS, "64"))
-        self.key = key
+        self.key, self.spread = key, spread
         self.salt_buckets = int(salt_buckets)
         self.partitions = shuffle_partitions(spark)
         self.broadcast_values = (vertex_count is not None and
@@ -114,13 +115,21 @@ class KeyedEdges:
         if cutter is not None:  # computed once, not once per superstep
             hot, _ = cutter.cut(hot)
         self.hot = F.broadcast(hot)
-        salted = (edges.join(self.hot, edges[key] == F.col("_hot_key"), "left")
-                  # the running number parts parallel edges of one pair, too
-                  .withColumn(SALT, F.when(F.col(HOT).isNotNull(), F.pmod(
-                      F.xxhash64(F.col(spread), F.monotonically_increasing_id()), F.col(HOT)))
-                              .otherwise(F.lit(0)).cast("int"))
-                  .drop("_hot_key", HOT))
-        self.edges = salted.repartition(self.partitions, F.col(key), F.col(SALT))
+        self.edges = self._salted(edges).repartition(self.partitions, F.col(key), F.col(SALT))
+
+    def _salted(self, edges: DataFrame) -> DataFrame:
+        return (edges.join(self.hot, edges[self.key] == F.col("_hot_key"), "left")
+                # the running number parts parallel edges of one pair, too
+                .withColumn(SALT, F.when(F.col(HOT).isNotNull(), F.pmod(
+                    F.xxhash64(F.col(self.spread), F.monotonically_increasing_id()), F.col(HOT)))
+                            .otherwise(F.lit(0)).cast("int"))
+                .drop("_hot_key", HOT))
+
+    def with_rows(self, edges: DataFrame) -> "KeyedEdges":
+        """The same edges with more columns, to be joined once: hot keys are split as here, nothing is kept."""
+        out = copy.copy(self)
+        out.edges = edges if self.broadcast_values else self._salted(edges)
+        return out
 
     def persist(self, cutter) -> "KeyedEdges":
         self.edges = cutter.keep(self.edges)

@@ -7,9 +7,8 @@ from oracle_compare import compare, duck
 from edgewise import queries
 
 _CON = {}
-# random start vectors and factor updates are not for SQL: test_graph_ops and
-# test_patterns_messages hold them against separable blocks and falling errors
-NO_SQL = {"power_iteration_clustering", "svd_plus_plus"}
+# a clustering of rounded eigenvector values is not for SQL: test_graph_ops holds it against separable blocks
+NO_SQL = {"power_iteration_clustering"}
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
