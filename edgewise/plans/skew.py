@@ -77,6 +77,24 @@ def join_hub_safe(rows: DataFrame, key: str, values: DataFrame, total: int) -> D
     return near.select(*far.columns).unionByName(far)
 
 
+def join_pairs_hub_safe(rows: DataFrame, key: str, spread: str, values: DataFrame, total: int) -> DataFrame:
+    """``rows`` ⋈ ``values`` on ``key``, where both sides may hold many rows of a key.
+
+    The rows of a hot key are dealt over sub-keys by ``spread``, and the values of that key are
+    repeated once per sub-key: give as ``rows`` the side whose keys are hot, as ``values`` the other.
+    """
+    max_hot, least = hub_limits(rows.sparkSession)
+    limit = max(total // max(max_hot, 1), least)
+    if total <= limit:
+        return rows.join(values, key)
+    hot = F.broadcast(rows.groupBy(key).count().where(F.col("count") > limit)
+                      .select(key, F.ceil(F.col("count") / F.lit(limit)).cast("int").alias(HOT)))
+    parts = F.coalesce(F.col(HOT), F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn(SALT, F.pmod(F.xxhash64(spread), parts)).drop(HOT)
+    each = values.join(hot, key, "left").withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop(HOT)
+    return dealt.join(each, [key, SALT]).drop(SALT)
+
+
 class KeyedEdges:
     """Edges laid out for repeated joins with vertex values on ``key``.
 
@@ -133,6 +151,9 @@ class KeyedEdges:
 
     def persist(self, cutter) -> "KeyedEdges":
         self.edges = cutter.keep(self.edges)
+        if not self.broadcast_values:
+            # a step planned before the layout is there does not know its partitioning and would shuffle it again
+            self.edges.count()
         return self
 
     def _salted_values(self, values: DataFrame, id_col: str) -> DataFrame:

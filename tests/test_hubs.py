@@ -85,3 +85,54 @@ def test_queries_with_hubs_split(spark, split_hubs, name):
     from oracle_compare import compare
     r = compare(spark, name, SMOKE)
     assert r["status"] == "ok", r
+
+
+def test_a_pregel_step_shuffles_no_edges(spark, split_hubs):
+    """The laid-out edges are read from the cache, in the order of the join's key; only one end is joined."""
+    from edgewise.operators import messages
+    from edgewise.plans.iterate import StepCutter
+    e = hub_edges()
+    g = make_graph(spark, e)
+    cutter = StepCutter()
+    state, _ = cutter.cut(g.vertices.withColumn("rank", F.lit(1.0)), reliable=True)
+    sent = messages._Sender(cutter, g, state, None, None, messages.Pregel.src("rank") * 2, None)
+    assert list(sent.layouts) == ["src"] and messages.reads(messages.Pregel.src("rank") + F.col("dst"), "dst", ["id", "rank"]) == ["id", "rank"]
+    plan = sent.messages(state)._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("InMemoryTableScan")
+    below = plan[:scan].rindex("Join")  # nothing but the scan stands between the join and the edges
+    assert "Exchange" not in plan[below:scan] and plan.count("InMemoryTableScan") >= 1
+    got = as_dict(sent.messages(state).groupBy("id").agg(F.sum("_pregel_msg").alias("m")), "id", "m")
+    want = {}
+    for a, b in e:
+        want[b] = want.get(b, 0) + 2.0
+    assert got == want
+    cutter.close()
+
+
+def test_pregel_active_vertices(spark):
+    """Hops from vertex 0: only vertices reached in the last step send, and the loop ends by itself."""
+    from edgewise.operators.messages import Pregel
+    e = [(0, 1), (1, 2), (2, 3), (3, 1), (5, 6), (9, 9)]
+    g = make_graph(spark, e)
+    hops = (g.pregel.set_max_iter(50).with_vertex_column("d", F.when(F.col("id") == 0, 0), F.coalesce("d", Pregel.msg()))
+            .with_vertex_column("step", F.when(F.col("id") == 0, 0).otherwise(-1),
+                                F.when(F.col("d").isNull() & Pregel.msg().isNotNull(), Pregel.msg()).otherwise(-1))
+            .send_msg_to_dst(Pregel.src("d") + 1).agg_msgs(F.min(Pregel.msg())).set_active("step >= 0").run())
+    assert as_dict(hops.select("id", "d")) == {0: 0, 1: 1, 2: 2, 3: 3, 5: None, 6: None, 9: None}
+
+
+def test_wedges_of_a_hub_are_split(spark, split_hubs):
+    from edgewise.plans.skew import join_pairs_hub_safe
+    n = 6000
+    into = spark.range(n, numPartitions=4).select(F.col("id").alias("x"), F.lit(1).cast("long").alias("y"))
+    out = spark.range(5).select(F.lit(1).cast("long").alias("y"), (F.col("id") + n).alias("z"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = join_pairs_hub_safe(into, "y", "x", out, n)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 5 * n and max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) >= 3
+    e = [(x, 1000) for x in range(200)] + [(1000, 2000 + z) for z in range(200)] + [(x, 2000 + x) for x in range(0, 200, 3)]
+    got = as_dict(make_graph(spark, e).triangle_count().select("id", "count"))
+    assert got == brute.triangles(ids(e), e)
