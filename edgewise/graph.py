@@ -99,6 +99,10 @@ class Graph:
         return bfs(self, from_expr if from_expr is not None else fromExpr,
                    to_expr if to_expr is not None else toExpr, **kw)
 
+    def path_counts(self, from_expr, **kw) -> DataFrame:
+        from .operators.paths import path_counts
+        return path_counts(self, from_expr, **kw)
+
     def triangle_count(self) -> DataFrame:
         from .operators.triangles import triangle_count
         return triangle_count(self)

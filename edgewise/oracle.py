@@ -521,6 +521,25 @@ SELECT src, dst FROM (
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)))
 WHERE src IS NOT NULL AND dst IS NOT NULL
 """
+
+
+def path_counts_sql(edges_sql: str, sources_sql: str) -> str:
+    """Levels of a keyed recursive CTE; a row of a level adds up the paths of the level before."""
+    return f"""
+WITH RECURSIVE e AS ({edges_sql}),
+lvl(id, d, n) USING KEY (id) AS (
+  SELECT id, 0, CAST(1 AS HUGEINT) FROM ({sources_sql}) s
+  UNION
+  SELECT e.dst AS id, min(lvl.d) + 1 AS d, sum(lvl.n) AS n FROM lvl JOIN e ON e.src = lvl.id
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.lvl r WHERE r.id = e.dst)
+  GROUP BY e.dst
+)
+SELECT id, d AS distance, CAST(n AS BIGINT) AS n_paths FROM lvl
+"""
+
+
+SQL["path_counts"] = path_counts_sql(
+    ORDER_CHAIN, "SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'")
 SQL["order_components"] = weak_components_sql(ORDER_CHAIN)
 SQL["order_components_min_label"] = SQL["order_components"]
 SQL["order_strong_components"] = strong_components_sql(ORDER_CHAIN)

@@ -14,6 +14,8 @@ materialises the step, so a stop test costs no extra pass over the data.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ from ..session import checkpoint_dir
 
 
 MOST_UNCUT = 4
+MOST_PIECES = 8
 
 
 class StepCutter:
@@ -103,6 +106,32 @@ class StepCutter:
         self._steps, self._inputs = kept, []
 
 
+class Pieces:
+    """Rows that a loop adds batch by batch, kept in at most ``MOST_PIECES`` written tables.
+
+    A batch is a written table itself.  Past that number the youngest tables, up to the oldest that
+    the ones after it outgrew, become one, dealt by ``keys``.  A row is thus rewritten a logarithmic
+    number of times, and a step reads a bounded number of tables, whatever the depth.
+    """
+
+    def __init__(self, cutter: StepCutter, *keys: str):
+        self.cutter, self.keys = cutter, keys
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def table(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for df, _ in self.parts])
+
+    def add(self, batch: DataFrame, rows: int) -> "Pieces":
+        self.parts.append((batch, rows))
+        if len(self.parts) > MOST_PIECES:
+            sizes = [n for _, n in self.parts]
+            at = next((i for i in range(len(sizes) - 1) if sum(sizes[i + 1:]) >= sizes[i]), len(sizes) - 2)
+            young = reduce(DataFrame.unionByName, [df for df, _ in self.parts[at:]])
+            merged, _ = self.cutter.cut(young.repartition(*self.keys), reliable=True)
+            self.parts[at:] = [(merged, sum(sizes[at:]))]
+        return self
+
+
 def materialize(df: DataFrame, metrics: dict[str, Column] | None = None
                 ) -> tuple[DataFrame, dict]:
     """One reliable checkpoint with observed scalars."""

@@ -229,7 +229,17 @@ def bfs(spark, sf):
     return bfs_paths(fx.part_graph(spark, sf), BFS_FROM, BFS_TO, max_path_length=10)
 
 
+PATHS_FROM = "o_orderpriority = '1-URGENT'"
+
+
+def path_counts(spark, sf):
+    """Orders by hops and shortest paths from an urgent one, along the chains of customers."""
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
+    return Graph(orders, fx.order_chain(spark, sf).edges).path_counts(PATHS_FROM)
+
+
 QUERIES.update({
+    "path_counts": path_counts,
     "triplets": triplets,
     "filter_vertices": filter_vertices,
     "filter_edges": filter_edges,

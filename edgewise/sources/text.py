@@ -10,7 +10,7 @@ or taken from ``schema``.
 
 Everything is distributed: lines are read by Spark's text source, split
 with built-in string functions, and type inference is a single global
-aggregate of per-column flags; only the distinct headers come to the driver.
+aggregate of per-column flags; of the headers only three come to the driver.
 """
 
 from __future__ import annotations
@@ -54,15 +54,21 @@ def file_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_names(spark: SparkSession, path: str) -> list[str]:
-    """Column names, in the order of the first file's header; every file must have the same set."""
-    per = file_headers(spark, path).groupBy("header").agg(F.min("file").alias("file")).orderBy("file").take(1000)
-    if not per:
+    """Column names, in the order of the first file's header; every file must have the same set.
+
+    One aggregate over the headers of all files: they are the same set when the smallest and the
+    largest sorted header are equal.
+    """
+    headers = file_headers(spark, path).withColumn("names", F.array_sort("header"))
+    r = headers.agg(F.min_by("header", "file").alias("header"), F.min("names").alias("low"), F.max("names").alias("high"),
+                    F.min_by("file", "names").alias("low_file"), F.max_by("file", "names").alias("high_file")).first()
+    if r["header"] is None:
         raise ValueError(f"no header line in {path}")
-    names = list(per[0]["header"])
-    for r in per:
-        if len(set(r["header"])) != len(r["header"]) or set(r["header"]) != set(names):
-            raise ValueError(f"header {r['header']} of {r['file']} does not match {names}")
-    return names
+    if r["low"] != r["high"]:
+        raise ValueError(f"header {r['high']} of {r['high_file']} does not match {r['low']} of {r['low_file']}")
+    if len(set(r["low"])) != len(r["low"]):
+        raise ValueError(f"header {r['low']} of {r['low_file']} has a name twice")
+    return list(r["header"])
 
 
 def _tokens(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

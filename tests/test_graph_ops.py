@@ -279,3 +279,54 @@ def test_parallel_ranks_as_vectors(spark):
     got = {r["id"]: list(r["pageranks"]) for r in g.parallelPersonalizedPageRank(sourceIds=[2, 1], maxIter=3).collect()}
     assert set(got) == {1, 2, 3, 4} and all(len(v) == 2 for v in got.values())
     assert all(abs(sum(v[i] for v in got.values()) - 1) < 1e-9 for i in range(2))
+
+
+def layered(layers, width):
+    """Every vertex of a layer leads to every one of the next, the first pair twice; all lead back to the first layer."""
+    at = lambda i, j: i * width + j
+    e = [(at(i, j), at(i + 1, k)) for i in range(layers - 1) for j in range(width) for k in range(width)]
+    return e + [(at(0, 0), at(1, 0))] + [(at(i, j), at(0, 0)) for i in range(1, layers) for j in range(width)]
+
+
+def test_bfs_many_long_paths(spark):
+    from edgewise.operators.paths import bfs_paths
+    e = layered(6, 3)
+    g = make_graph(spark, e)
+    got = sorted((r.path, r.length) for r in bfs_paths(g, "id < 3", "id = 16").collect())
+    want = [((str(j), str(a + 3), str(b + 6), str(c + 9), str(d + 12), "16"), 1 + (j == a == 0))
+            for j in range(3) for a in range(3) for b in range(3) for c in range(3) for d in range(3)]
+    assert got == sorted((",".join(p), 5) for p, n in want for _ in range(n))
+    wide = g.bfs("id < 3", "id = 16")
+    assert wide.columns == ["from", "e0", "v1", "e1", "v2", "e2", "v3", "e3", "v4", "e4", "to"]
+    rows = wide.collect()
+    assert sorted(",".join(str(r[c].id) for c in wide.columns if c[0] != "e") for r in rows) == [p for p, _ in got]
+    assert all((r.e2.src, r.e2.dst) == (r.v2.id, r.v3.id) for r in rows)
+    assert bfs_paths(g, "id < 3", "id = 16", max_path_length=4).count() == 0
+
+
+def test_path_counts(spark):
+    g = make_graph(spark, layered(6, 3), vertices=[*range(18), 99])
+    got = {r.id: (r.distance, r.n_paths) for r in g.path_counts("id = 0").collect()}
+    want = {0: (0, 1)} | {3 * i + j: (i, 2 * (j == 0) + (j != 0) if i == 1 else 4 * 3 ** (i - 2)) for i in range(1, 6) for j in range(3)}
+    assert got == want
+    assert {r.distance for r in g.path_counts("id = 0", max_path_length=2).collect()} == {0, 1, 2}
+    assert g.path_counts("id = 7", edge_filter="src < 0").collect()[0][:] == (7, 0, 1)
+    assert g.path_counts("id = -1").count() == 0
+    double = [(i, i + 1) for i in range(63) for _ in range(2)]
+    with pytest.raises(Exception, match="more shortest paths than a long holds"):
+        make_graph(spark, double).path_counts("id = 0")
+    assert make_graph(spark, double[:-2]).path_counts("id = 0").agg(F.max("n_paths")).first()[0] == 1 << 62
+
+
+def test_a_deep_search_reads_few_tables(spark):
+    from edgewise.plans.iterate import MOST_PIECES, Pieces, StepCutter
+    cutter = StepCutter()
+    pieces = Pieces(cutter, "id")
+    sizes = [1] * 30 + [40, 3, 2, 1] + [1] * 12
+    for i, n in enumerate(sizes):
+        pieces.add(spark.range(i * 100, i * 100 + n), n)
+        assert len(pieces.parts) <= MOST_PIECES
+    rows = [r.id for r in pieces.table().collect()]
+    assert sorted(rows) == [i * 100 + k for i, n in enumerate(sizes) for k in range(n)]
+    assert [n for _, n in pieces.parts] == [df.count() for df, _ in pieces.parts]
+    cutter.close()

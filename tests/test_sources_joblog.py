@@ -1,5 +1,6 @@
 """Sources, sinks, job-log operators and the streaming twins."""
 
+import itertools
 import os
 import tempfile
 
@@ -273,3 +274,18 @@ def test_every_rule_is_met_and_some_requests_are_valid(spark):
     out = spark.createDataFrame([("a", 200)], "name string, result_code int")
     got = request_outcomes(req, out, ["name"]).select("name", "request_ts", "user", "result_code").collect()
     assert sorted(map(tuple, got)) == [("a", 2, "early", 200), ("b", 1, "x", None)]
+
+
+def test_one_odd_header_among_very_many_fails(spark, tmp_path):
+    """Headers of every file are compared, more of them than a driver would list, in any order of the names."""
+    from edgewise.sources.text import header_names
+    names = [f"c{i}" for i in range(7)]
+    for k, order in enumerate(itertools.islice(itertools.permutations(names), 1200)):
+        (tmp_path / f"{k:05d}.txt").write_text(" ".join(order) + "\n" + " ".join("1" * 7) + "\n")
+    assert header_names(spark, str(tmp_path)) == names
+    (tmp_path / "99999.txt").write_text("c0 c1 c2 c3 c4 c5 c7\n1 2 3 4 5 6 7\n")
+    with pytest.raises(ValueError, match="99999"):
+        header_names(spark, str(tmp_path))
+    (tmp_path / "99999.txt").write_text("c0 c1 c2 c3 c4 c5 c5\n1 2 3 4 5 6 7\n")
+    with pytest.raises(ValueError, match="does not match"):
+        header_names(spark, str(tmp_path))
