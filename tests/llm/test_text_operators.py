@@ -255,6 +255,26 @@ def test_common_phrases_with_other_surroundings(documents, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_parts_hold_every_string_once():
+    """Any two strings that are equal have equal keys, and a part's strings all hold its key."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(300)).encode() for _ in range(20)]
+    keys = {}
+    for width in (13, 7, 4, 2, 1):
+        for data in texts:
+            _, first, last = repeats.anchors(data)
+            contexts = [data[a:b + 50] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            for context, place in zip(contexts, repeats._places(contexts).tolist(), strict=True):
+                found = []
+                for at, key, part in repeats.parts_of(context, place, width):
+                    assert context[at:at + len(part)] == part
+                    for i in range(len(part) - 49):
+                        found.append(at + i)
+                        assert key[1:] in part[i:i + 50] and len(key) - 1 >= 51 - width
+                        assert keys.setdefault((width, part[i:i + 50]), key) == key
+                assert sorted(found) == list(range(len(context) - 49))
+
+
 def test_repeats_of_rows_without_ids(documents):
     """Rows without an id, or of one id, don't bring their anchors together."""
     rng = random.Random(4)
