@@ -20,9 +20,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 BATCH_ROWS = 512
 
 
-def prepare_batches(spark: SparkSession) -> None:
+def prepare_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound an Arrow batch by rows (results do not depend on it)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,8 +33,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back.
+def staged(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back (``by``: a folder for each of its values).
 
     Cuts the lineage at a table every executor can reread, and gives later
     joins a plain scan, whose skewed shuffle partitions AQE can split. The shuffle
@@ -45,7 +45,7 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        (df.write.partitionBy(by) if by else df.write).option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
