@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
+import random
+import re
 import zlib
 
 import pytest
@@ -162,3 +165,53 @@ def test_language(spark):
     nothing = docs(spark, [(1, "abc", None, "s"), (2, None, None, None)])
     assert {r.lang_pred for r in langid.predictions(nothing).collect()} == {"und"}
     assert langid.predictions(docs(spark, [])).count() == 0
+
+
+def brute_language(rows):
+    """Plain counts of all words and n-grams of labelled rows, and the scores of a text, term by term."""
+    train = [(t, lang) for d, t, lang, _ in rows if lang and t and d is not None and zlib.crc32(str(d).encode()) % 5]
+    langs = sorted({lang for _, lang in train})
+    counts = [collections.defaultdict(collections.Counter) for _ in range(5)]
+    grams_of = lambda w, n: [w[i:i + n] for i in range(len(w) - n + 1)]
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[0][w][lang] += 1
+            for n in range(1, 5):
+                for g in grams_of(f"\x02{w}\x03", n):
+                    counts[n][g][lang] += 1
+    total = [{lang: sum(c[lang] for c in level.values()) for lang in langs} for level in counts]
+    log = lambda n, g, lang: math.log((counts[n][g][lang] + 0.5) / (total[n][lang] + 0.5 * len(counts[n])))
+
+    def word(w, lang):
+        if w in counts[0]:
+            return log(0, w, lang)
+        w, terms, at = f"\x02{w}\x03", [], 0
+        while at < len(w):
+            n = next((n for n in (4, 3, 2, 1) if at + n <= len(w) and w[at:at + n] in counts[n]), 0)
+            terms.append(log(n, w[at:at + n], lang) - (4 - n) if n else math.log(1e-6))
+            at += max(1, n - 1)
+        return sum(terms) / len(terms)
+
+    def predict(t):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not words:
+            return "und", 0.0
+        s = [sum(word(w, lang) for w in words) / len(words) * min(20, len(words)) for lang in langs]
+        best = max(range(len(langs)), key=lambda i: (s[i], -i))
+        return langs[best], 1 / sum(math.exp(x - s[best]) for x in s)
+
+    return [(r[0], *predict(r[1])) for r in rows]
+
+
+def test_language_scores_equal_plain_counts(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcdefg", "bb": "cdefghij", "cc": "éabüfgh"}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(1, 8))) for _ in range(60)] for k, v in letters.items()}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randrange(1, 30))), k, "s")
+            for i, k in enumerate(list(letters) * 40)]
+    rows += [(500 + i, " ".join("".join(rng.choice("abcdefghijüéxyz") for _ in range(rng.randrange(1, 12)))
+                                for _ in range(rng.randrange(1, 6))), None, "s") for i in range(80)]
+    rows += [(700, None, "aa", "s"), (701, "12 !", "aa", "s"), (702, "Ab ab AB", None, "s")]
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.predictions(docs(spark, rows)).collect())
+    for have, want in zip(got, brute_language(rows), strict=True):
+        assert have[:2] == want[:2] and math.isclose(have[2], want[2], rel_tol=1e-6), (have, want)

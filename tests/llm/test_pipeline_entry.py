@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import collections
+import re
 
 import corpus_pipeline
 import duckdb
 import pytest
 from llm_documents import awkward_rows, documents  # noqa: F401  (fixtures)
+from test_mixing_dedup_langid import brute_targets
 from test_text_operators import brute_components
 from tokenizers import Tokenizer
 
@@ -38,6 +40,16 @@ def test_pipeline_stages(spark, documents, awkward_rows):
     _, before, after, _ = seen[3]
     copies = collections.Counter(r.doc_id for r in after)
     assert set(copies) <= {r[0] for r in before} and max(copies.values()) <= 3
+    n_words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    sizes = collections.Counter()
+    for r in before:
+        sizes[r[3]] += n_words(r[1])
+    taken = collections.Counter()
+    for r in after:
+        taken[r.source] += n_words(r.text)
+    for source, target in brute_targets(sizes).items():
+        largest = max(n_words(r[1]) for r in before if r[3] == source)
+        assert abs(taken[source] - target) <= largest / 2 + 1, source
     _, before, after, _ = seen[4]
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     texts = {r[0]: r[1] for r in before}
@@ -45,6 +57,22 @@ def test_pipeline_stages(spark, documents, awkward_rows):
     assert all(r.input_ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids for r in after)
 
 
+def test_pipeline_of_awkward_rows(spark, documents):
+    """Null ids and texts, repeated rows and an empty table: every stage ends, and only copies and letterless texts go."""
+    rows = [(None, "Eine Zeile ohne Nummer", "de", None), (None, "Eine Zeile ohne Nummer", "de", None), (1, None, None, None),
+            (2, "", "en", "s"), (3, "one line of words here", "en", "s"), (3, "one line of words here", "en", "s"),
+            (4, "1 2 3", "en", "s"), (5, "another short line", None, "s")]
+    kept = {"Eine Zeile ohne Nummer", "one line of words here", "another short line"}
+    for given, want in ((rows, kept), ([], set())):
+        docs = documents(given).select(*corpus_pipeline.COLUMNS, "k1", "size")
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            docs = corpus_pipeline.staged(stage(spark, docs, SF), "test-stage")
+        assert sorted(r.text for r in docs.collect()) == sorted(want)
+        for name, stage in corpus_pipeline.STAGES[3:]:
+            docs = corpus_pipeline.staged(stage(spark, docs, SF), "test-stage")
+        assert docs.count() >= len(want) - 1 and (want or not docs.count())
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
