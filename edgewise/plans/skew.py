@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 SALT = "_salt"
 HOT = "_hot"
+PAIRS_PER_ROW = 100  # a task may make this many times the pairs of the rows that it may read
 
 # session settings (all optional)
 CONF_MAX_HOT = "edgewise.skew.maxHotKeys"          # bound on the hot-key list
@@ -95,6 +96,52 @@ def join_pairs_hub_safe(rows: DataFrame, key: str, spread: str, values: DataFram
     return dealt.join(each, [key, SALT]).drop(SALT)
 
 
+def hot_cells(counts: DataFrame, keys: list[str], left: int, right: int, pairs: float) -> DataFrame | None:
+    """The hot keys of a join where both sides may hold many rows of a key, and their grid of cells.
+
+    ``counts`` has the rows of each key on the left (``nl``) and on the right (``nr``); ``left``,
+    ``right`` and ``pairs`` are the sums of nl, nr and nl * nr. A key above a ``maxHotKeys``-th of one
+    of the three is hot, so at most three times ``maxHotKeys`` are. The left rows of a hot key are dealt
+    over ``_p`` parts and the right ones over ``_q``, such that no cell passes the limits and as few
+    rows as possible are copied. None when no key can be hot.
+    """
+    max_hot, least = hub_limits(counts.sparkSession)
+    most_left, most_right = (max(n // max(max_hot, 1), least) for n in (left, right))
+    most_pairs = max(pairs / max(max_hot, 1), float(least) * PAIRS_PER_ROW)
+    if left <= most_left and right <= most_right and pairs <= most_pairs:
+        return None
+    nl, nr = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("nl", "nr"))
+    rows_left, rows_right = F.ceil(nl / most_left), F.ceil(nr / most_right)
+    cells = F.greatest(rows_left * rows_right, F.ceil(nl * nr / most_pairs))
+    return (counts.where((F.col("nl") > most_left) | (F.col("nr") > most_right)
+                         | (F.col("nl").cast("double") * F.col("nr") > most_pairs))
+            .withColumn("_p", F.greatest(rows_left, F.least(nl, F.ceil(F.sqrt(cells * nl / nr)).cast("double"))).cast("long"))
+            .withColumn("_q", F.greatest(rows_right, F.ceil(cells / F.col("_p"))).cast("long"))
+            .select(*keys, "_p", "_q"))
+
+
+def join_in_cells(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``left`` ⋈ ``right`` on ``keys``; the rows of a hot key (:func:`hot_cells`) meet in a grid of cells.
+
+    For joins other than inner ones ``right`` has at most one row for a key. Both sides are to be
+    written tables, as rows are dealt by their place.
+    """
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)  # at most three times maxHotKeys rows
+
+    def dealt(df, own, other, parts, copies):
+        one = F.lit(1).cast("long")
+        return (df.join(hot, keys, "left")
+                .withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(parts), one)))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(copies), one) - 1)))
+                .drop("_p", "_q"))
+
+    cell = ["_cell_l", "_cell_r"]
+    return (dealt(left, "_cell_l", "_cell_r", "_p", "_q")
+            .join(dealt(right, "_cell_r", "_cell_l", "_q", "_p"), [*keys, *cell], how).drop(*cell))
+
+
 class KeyedEdges:
     """Edges laid out for repeated joins with vertex values on ``key``.
 

@@ -136,3 +136,71 @@ def test_wedges_of_a_hub_are_split(spark, split_hubs):
     e = [(x, 1000) for x in range(200)] + [(1000, 2000 + z) for z in range(200)] + [(x, 2000 + x) for x in range(0, 200, 3)]
     got = as_dict(make_graph(spark, e).triangle_count().select("id", "count"))
     assert got == brute.triangles(ids(e), e)
+
+
+def motif_brute(edges, listed, pattern):
+    """All matches by trying every edge for every term."""
+    from edgewise.operators.motif import parse
+    terms = parse(pattern)
+    names = list(dict.fromkeys(n for t in terms for n in (t.src, t.dst) if n))
+    found = [{}]
+    for t in terms:
+        if t.negated or t.vertex_only:
+            continue
+        found = [{**m, **{n: x for n, x in ((t.src, a), (t.dst, b)) if n}} for m in found for a, b in edges
+                 if all(m.get(n, x) == x for n, x in ((t.src, a), (t.dst, b)) if n)
+                 and (t.src is None or t.src != t.dst or a == b)]
+    have = set(edges)
+    found = [m for m in found if all(m[n] in listed for n in names)
+             and not any(t.negated and (m[t.src], m[t.dst]) in have for t in terms)]
+    return sorted(tuple(m[n] for n in names) for m in found)
+
+
+MOTIFS = ["(a)-[]->(b); (b)-[]->(c)", "(a)-[e]->(b); (c)-[f]->(b)", "(a)-[]->(b); (b)-[]->(c); (c)-[]->(a)",
+          "(a)-[]->(b); (b)-[]->(c); !(c)-[]->(a)", "(a)-[]->(b); (b)-[]->(b); !(b)-[]->(a)",
+          "(a)-[]->(b); (b)-[]->(c); (d)-[]->(c)", "(a)-[]->(); (a)-[]->(b); (a)", "(b)-[]->(c); (a)-[]->(b); (a)-[]->(c); !(c)-[]->(b)"]
+
+
+@pytest.mark.parametrize("pattern", MOTIFS)
+@pytest.mark.parametrize("attributes", [False, True])
+def test_motifs_with_a_hub(spark, split_hubs, pattern, attributes):
+    from edgewise.graph import Graph
+    rng = random.Random(3)
+    e = ([(0, v) if v % 2 else (v, 0) for v in range(1, 50)] + [(rng.randrange(50), rng.randrange(50)) for _ in range(25)]
+         + [(7, 7), (0, 0), (0, 1), (0, 1), (3, 99)])
+    listed = set(range(50))  # 99 is not, so no name is bound to it
+    v = spark.createDataFrame([(x, f"v{x}") for x in [*listed, 5]], "id bigint, name string")
+    g = Graph(v if attributes else v.select("id"), spark.createDataFrame(e, "src bigint, dst bigint"))
+    got = g.find(pattern)
+    names = [c for c in got.columns if dict(got.dtypes)[c].startswith("struct<id")]
+    assert sorted(tuple(r[n].id for n in names) for r in got.collect()) == motif_brute(e, listed, pattern)
+    if attributes:
+        assert got.where(" or ".join(f"{n}.name != concat('v', {n}.id)" for n in names)).count() == 0
+
+
+def test_cells_of_a_hub_hold_a_bounded_share(spark, split_hubs):
+    """A middle vertex of a third of all edges, in and out: no task makes a few times the median of the pairs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        e = [(x, 0) for x in range(1, 601)] + [(0, x) for x in range(1001, 1601)] + [(x, x + 1) for x in range(2000, 3200)]
+        m = make_graph(spark, e).find("(a)-[]->(b); (b)-[]->(c)")
+        sizes = sorted(r["count"] for r in m.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sum(sizes) == 600 * 600 + 1199
+    assert len(sizes) == 8 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_motif_order_by_cost():
+    """The closing term and the loop come before a term that multiplies the rows."""
+    from edgewise.operators.motif import parse, term_order
+    terms = parse("(a)-[]->(b); (b)-[]->(c); (b)-[]->(a); (a)-[]->(a)")
+    products = {("i", "i"): 1e6, ("o", "o"): 5e5, ("i", "o"): 1e5, ("o", "i"): 1e5}
+    order = [(t.src, t.dst) for t in term_order(terms, 1000, 10, products)]
+    assert order == [("a", "b"), ("a", "a"), ("b", "a"), ("b", "c")]
+    # from the start with fewer rows when no term closes: in-hubs come first in the pattern, last in the order
+    chain = parse("(a)-[]->(c); (b)-[]->(c); (b)-[]->(d)")
+    assert [(t.src, t.dst) for t in term_order(chain, 1000, 0, products)][-1] == ("a", "c")
