@@ -119,9 +119,10 @@ class Graph:
         from .operators.communities import label_propagation
         return label_propagation(self, max_iter, **kw)
 
-    def power_iteration_clustering(self, k: int, max_iter: int, weight_col=None) -> DataFrame:
+    def power_iteration_clustering(self, k: int, max_iter: int, weight_col=None,
+                                   init_mode: str = "random") -> DataFrame:
         from .operators.communities import power_iteration_clustering
-        return power_iteration_clustering(self, k, max_iter, weight_col)
+        return power_iteration_clustering(self, k, max_iter, weight_col, init_mode)
 
     def aggregate_messages(self, *aggs, send_to_src=None, send_to_dst=None) -> DataFrame:
         from .operators.messages import aggregate_messages

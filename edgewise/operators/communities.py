@@ -60,7 +60,8 @@ def power_iteration_clustering(g: Graph, k: int, max_iter: int = 20, weight_col:
 
     Edges are read as undirected similarities (non-negative weights; 1.0
     when ``weight_col`` is None); the weights of a pair, in either direction,
-    add up.  Ids must be integral.
+    add up.  Ids must be integral.  ``init_mode`` "degree" starts from the degrees
+    in place of random values, so that reruns agree.
     """
     from pyspark.ml.clustering import PowerIterationClustering
     if dict(g.edges.dtypes)[SRC] not in ("tinyint", "smallint", "int", "bigint"):

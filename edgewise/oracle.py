@@ -7,8 +7,9 @@ recursive CTE.  Column names match the Spark queries exactly.
 
 from __future__ import annotations
 
+from .plans.fixtures import LATTICE_REACH
 from .queries import LANDMARKS, LPA_ITER, PAGERANK_ITER, PAGERANK_TOL, PERSONAL_SOURCES, \
-    PREGEL_ITER, RESET
+    PIC_ITER, PREGEL_ITER, RESET
 
 # ---- graph views ------------------------------------------------------------------
 
@@ -189,6 +190,29 @@ def label_propagation_sql(edges_sql: str, iters: int) -> str:
 SQL["label_propagation"] = label_propagation_sql(PART_NEXT, LPA_ITER)
 
 
+def power_iteration_sql(edges_sql: str, k: int, iters: int) -> str:
+    """Unrolled power iteration of the row-normalised adjacency from the degrees; the values, in order,
+    are parted at their k - 1 widest gaps, and a part is named by its smallest id."""
+    parts = [f"e AS ({edges_sql})",
+             "s AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)",
+             "w AS (SELECT a AS id, CAST(count(*) AS DOUBLE) AS d FROM s GROUP BY a)",
+             "v0 AS (SELECT id, d / (SELECT sum(d) FROM w) AS v FROM w)"]
+    for i in range(1, iters + 1):
+        parts.append(f"v{i} AS (SELECT s.a AS id, avg(v.v) AS v FROM s JOIN v{i-1} v ON v.id = s.b GROUP BY s.a)")
+    parts += [f"o AS (SELECT id, v, v - lag(v) OVER (ORDER BY v, id) AS gap FROM v{iters})",
+              f"cut AS (SELECT gap FROM o WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT {k - 1})",
+              "c AS (SELECT id, sum(CASE WHEN gap >= (SELECT min(gap) FROM cut) THEN 1 ELSE 0 END) "
+              "OVER (ORDER BY v, id) AS part FROM o)"]
+    return "WITH " + ",\n".join(parts) + "\nSELECT id, min(id) OVER (PARTITION BY part) AS first_id FROM c"
+
+
+PART_LATTICES = ("SELECT p.p_partkey AS src, q.p_partkey AS dst FROM part p, range(1, "
+                 f"{max(LATTICE_REACH) + 1}) t(j), part q WHERE q.p_partkey = p.p_partkey + 3 * t.j AND t.j <= "
+                 "CASE p.p_partkey % 3 " + " ".join(f"WHEN {r} THEN {n}" for r, n in enumerate(LATTICE_REACH)) + " END")
+
+SQL["power_iteration_partition"] = power_iteration_sql(PART_LATTICES, len(LATTICE_REACH), PIC_ITER)
+
+
 # ---- step 4 ----------------------------------------------------------------------
 
 SQL["triplets"] = f"""

@@ -111,6 +111,23 @@ def ratings(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(e)
 
 
+# Part keys of one remainder modulo 3 are linked with this many next keys of the remainder.
+LATTICE_REACH = (2, 8, 24)
+
+
+def part_lattices(spark: SparkSession, sf_dir: str) -> Graph:
+    """Three parts without a link between them: a part and the next 2, 8 or 24 keys of its remainder modulo 3.
+
+    Their mean degrees differ fourfold, so a power iteration that starts from degrees tells them apart.
+    """
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    reach = F.array(*[F.lit(n) for n in LATTICE_REACH])[F.col("id") % 3]
+    e = (p.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), reach)).alias("j"))
+         .select("src", (F.col("src") + 3 * F.col("j")).alias("dst"))
+         .join(p.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    return Graph.from_edges(e.select("src", "dst"))
+
+
 def geo(spark: SparkSession, sf_dir: str) -> Graph:
     """Customer -> nation -> region and supplier -> nation, string ids."""
     c = table(spark, sf_dir, "customer")
@@ -132,7 +149,7 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 __all__ = ["table", "line_successors", "part_next_raw", "part_next",
-           "part_vertices", "part_graph", "user_handoff", "order_chain", "doc_copies", "ratings", "geo",
+           "part_vertices", "part_graph", "user_handoff", "order_chain", "part_lattices", "doc_copies", "ratings", "geo",
            "vertices_of"]
 
 

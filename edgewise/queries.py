@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .plans import fixtures as fx
+from .plans.iterate import materialize
 from .session import prepare
 
 PAGERANK_ITER = 10
@@ -24,6 +25,7 @@ PERSONAL_SOURCES = (1, 2, 3)
 LANDMARKS = (1, 2, 3)
 LPA_ITER = 5
 PREGEL_ITER = 5
+PIC_ITER = 10
 
 
 def _r(c, places: int = 6):
@@ -120,12 +122,22 @@ def power_iteration_clustering(spark, sf):
     return fx.part_next(spark, sf).power_iteration_clustering(k=4, max_iter=10)
 
 
+def power_iteration_partition(spark, sf):
+    """Clusters of a graph whose parts a power iteration tells apart; a cluster is named by its smallest id."""
+    found = fx.part_lattices(spark, sf).power_iteration_clustering(
+        k=len(fx.LATTICE_REACH), max_iter=PIC_ITER, init_mode="degree")
+    found, _ = materialize(found)
+    first = found.groupBy("cluster").agg(F.min("id").alias("first_id"))
+    return found.join(F.broadcast(first), "cluster").select("id", "first_id")  # k rows
+
+
 QUERIES.update({
     "connected_components": connected_components,
     "doc_copy_components": doc_copy_components,
     "strongly_connected_components": strongly_connected_components,
     "label_propagation": label_propagation,
     "power_iteration_clustering": power_iteration_clustering,
+    "power_iteration_partition": power_iteration_partition,
 })
 
 
