@@ -10,7 +10,8 @@ that fill the gap, so a source ends within half a small row of its target.
 The taken blocks are dealt to the output shards by a binary tree: each node
 splits its vector of per-source block counts in two by a multivariate
 hypergeometric draw (a chain of conditional hypergeometric draws by inverse
-distribution), so the quotas of all shards add up exactly. A shard then draws
+distribution), so the quotas of all shards add up exactly. More than ``SOURCES``
+sources are dealt run by run, then within each run, so no row or task holds them all. A shard then draws
 its quota as the next blocks of each source's permuted order, which are
 disjoint, and shuffles its rows by hash.
 
@@ -30,6 +31,8 @@ from .common import staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK_WORDS, SHARDS, SEED, MOST = 1 << 20, 16, 2024, 3
+#: counts that one row of the tree holds
+SOURCES = 1024
 
 
 def n_words(text: Column) -> Column:
@@ -46,21 +49,32 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     the weights left, would fill its cap.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.array(*map(F.lit, weights))[(F.row_number().over(by_name) - 1) % len(weights)]
-    per = per.withColumn("rank", F.row_number().over(by_name)).withColumn("w", w)
+    per = _before(per, [F.col("source").asc_nulls_last()], {"above": F.lit(1).cast("long")})
+    per = per.withColumn("rank", (F.col("above") + 1).cast("int"))
+    per = per.withColumn("w", F.array(*map(F.lit, weights))[((F.col("rank") - 1) % len(weights)).cast("int")])
     per = per.withColumn("cap", (F.col("source_size") * most).cast("double"))
-    by_fill = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    left = by_fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = by_fill.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(every)
-    per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(left))
-    per = per.withColumn("capped", F.col("cap") <= F.col("level") * F.col("w"))
+    per = per.withColumn("fill", F.col("cap") / F.col("w"))
+    per = _before(per, [F.col("fill"), F.col("rank")], {"cap_before": F.col("cap"), "w_before": F.col("w")})
+    total, all_w = per.agg(F.sum("source_size"), F.sum("w")).first()
+    per = per.withColumn("level", (F.lit(total).cast("double") - F.col("cap_before")) / (F.lit(all_w).cast("double") - F.col("w_before")))
+    per = staged(per.withColumn("capped", F.col("cap") <= F.col("level") * F.col("w")), "mix-levels")
     # the level of the first source that is not capped holds for all after it
-    level = F.first(F.when(~F.col("capped"), F.col("level")), ignorenulls=True).over(every)
+    level = per.where(~F.col("capped")).agg(F.min_by("level", F.struct("fill", "rank"))).first()[0]
     return per.select("source", "rank", "source_size",
-                      F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
+                      F.when(F.col("capped"), F.col("cap")).otherwise(F.lit(level).cast("double") * F.col("w")).alias("target"))
+
+
+def _before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums over all rows before each, in ``order``: ranges of rows are summed apart,
+    and the sums of the ranges, a row for each partition, give each its start."""
+    parted = staged(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy("range").agg(*[F.sum(c).alias(f"{n}_range") for n, c in sums.items()])
+    starts = starts.select("range", *[F.coalesce(F.sum(f"{n}_range").over(ahead), F.lit(0)).alias(f"{n}_start") for n in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (parted.join(F.broadcast(starts), "range")
+            .select(*rows.columns, *[(F.col(f"{n}_start") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(n)
+                                     for n, c in sums.items()]))
 
 
 def _hash(*cols: Column | str) -> Column:
@@ -135,28 +149,64 @@ def _split(counts: Column, draws: Column, node: Column, seed: int) -> Column:
     return F.aggregate(counts, start, step, lambda a: a["out"])
 
 
-def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """(rank, quota) to (rank, shard, first, last): ranks of the permuted blocks of a shard."""
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", "quota"))).alias("c"))
-    node = node.select(F.lit(1).cast("long").alias("node"), F.lit(0).alias("shard"), F.lit(shards).alias("n"),
-                       F.transform("c", lambda x: x["rank"]).alias("ranks"),
-                       F.transform("c", lambda x: x["quota"]).alias("counts"))
+def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, width: int = SOURCES) -> DataFrame:
+    """(rank, quota) to (rank, shard, first, last): ranks of the permuted blocks of a shard.
+
+    A row holds at most ``width`` counts: with more sources, runs of ``width`` of them (runs of runs,
+    and so on) are dealt first, then each run's share of every shard among its members, which gives
+    the same distribution.
+    """
+    most = quotas.agg(F.max("rank")).first()[0] or 0
+    levels = 1
+    while width ** levels <= most:
+        levels += 1
+    shares: DataFrame | None = None  # (key, shard, count) of the level above
+    for level in reversed(range(levels)):
+        key = F.floor(F.col("rank") / F.lit(width ** level)).cast("long")
+        members = (quotas.groupBy(key.alias("key")).agg(F.sum("quota").alias("count"))
+                   .groupBy(F.floor(F.col("key") / F.lit(width)).cast("long").alias("parent"))
+                   .agg(F.array_sort(F.collect_list(F.struct("key", "count"))).alias("c")))
+        if shares is not None:
+            by_shard = shares.groupBy(F.col("key").alias("parent")).agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("shard", "count"))), lambda x: x["count"]).alias("by_shard"))
+            members = members.join(by_shard, "parent")
+        shares = _deal(members, shards, seed, level, given=shares is not None)
+        if level:
+            shares = staged(shares, "mix-shares")
+    flat = shares.withColumnRenamed("key", "rank")
+    upto = Window.partitionBy("rank").orderBy("shard")
+    return flat.withColumn("last", F.sum("count").over(upto)).select(
+        "rank", "shard", (F.col("last") - F.col("count")).alias("first"), "last")
+
+
+def _deal(members: DataFrame, shards: int, seed: int, level: int, given: bool) -> DataFrame:
+    """(parent, c: keys and counts) to (key, shard, count) by the splitting tree over the shards.
+
+    ``given``: a shard's total of a parent is in ``by_shard``; else it is an even share.
+    """
+    kept = ["parent", *(["by_shard"] if given else []), "keys"]
+    node = members.select(*kept[:-1], F.lit(1).cast("long").alias("node"), F.lit(0).alias("shard"), F.lit(shards).alias("n"),
+                          F.transform("c", lambda x: x["key"]).alias("keys"),
+                          F.transform("c", lambda x: x["count"]).alias("counts"))
+    lot = _hash("node", "parent", F.lit(level)) if given else F.col("node")
+
+    def total(counts):
+        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
     for _ in range(math.ceil(math.log2(max(1, shards)))):
         half = F.floor(F.col("n") / 2).cast("int")
-        total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-        node = node.withColumn("draws", F.floor(total * half / F.col("n")).cast("long"))
-        node = node.withColumn("left", _split(F.col("counts"), F.col("draws"), F.col("node"), seed))
+        draws = total(F.slice("by_shard", F.col("shard") + 1, half)) if given else \
+            F.floor(total("counts") * half / F.col("n")).cast("long")
+        node = node.withColumn("draws", draws)
+        node = node.withColumn("left", _split(F.col("counts"), F.col("draws"), lot, seed))
         rest = F.zip_with("counts", "left", lambda c, x: c - x)
         sides = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("shard"), half.alias("n"),
                                  F.col("left").alias("counts")),
                         F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("shard") + half).alias("shard"),
                                  (F.col("n") - half).alias("n"), rest.alias("counts")))
-        node = node.select("ranks", F.explode(sides).alias("x")).select("ranks", "x.*").where("n > 0")
-    flat = node.select("shard", F.explode(F.arrays_zip("ranks", "counts")).alias("x")) \
-        .select("shard", F.col("x.ranks").alias("rank"), F.col("x.counts").alias("count"))
-    upto = Window.partitionBy("rank").orderBy("shard")
-    return flat.withColumn("last", F.sum("count").over(upto)).select(
-        "rank", "shard", (F.col("last") - F.col("count")).alias("first"), "last")
+        node = node.select(*kept, F.explode(sides).alias("x")).select(*kept, "x.*").where("n > 0")
+    return (node.select("shard", F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+            .select("shard", F.col("x.keys").alias("key"), F.col("x.counts").alias("count")))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -125,6 +125,32 @@ def test_mix_empty(spark):
     assert mixing.mix(d).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Ranks and levels summed range by range equal the plain ones."""
+    sizes = {(f"s{i * 7919 % 1000:03d}" if i % 50 else None): 1 + i * i % 977 for i in range(600)}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(7)
+    got = {r.source: r for r in mixing.source_targets(sized).collect()}
+    want = brute_targets(sizes)
+    assert [got[s].rank for s in sorted((s for s in sizes if s), key=str.encode)] == list(range(1, len(sizes)))
+    assert got[None].rank == len(sizes) and got.keys() == want.keys()
+    assert all(math.isclose(got[s].target, t, rel_tol=1e-9) for s, t in want.items())
+    assert any(t == 3.0 * sizes[s] for s, t in want.items())
+
+
+def test_shard_quotas_of_runs_of_sources(spark):
+    """Three levels of runs: every quota and every shard's total is exact, and shares are near even."""
+    quotas = {r: 1000 + r % 7 if r % 5 else r for r in range(1, 31)}
+    got = mixing.shard_quotas(spark.createDataFrame(list(quotas.items()), "rank int, quota long"), shards=4, width=4).collect()
+    assert len(got) == 4 * len(quotas)
+    for rank, quota in quotas.items():
+        parts = sorted((r["first"], r["last"]) for r in got if r["rank"] == rank)
+        assert parts[0][0] == 0 and parts[-1][1] == quota
+        assert all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+        assert all(abs(b - a - quota / 4) <= 6 * math.sqrt(quota) / 2 for a, b in parts)
+    totals = [sum(r["last"] - r["first"] for r in got if r["shard"] == s) for s in range(4)]
+    assert sum(totals) == sum(quotas.values()) and max(totals) - min(totals) <= 2
+
+
 def test_shard_quotas_are_exact(spark):
     quotas = spark.createDataFrame([(1, 1000), (2, 7), (3, 0), (4, 60)], "rank int, quota long")
     got = mixing.shard_quotas(quotas, shards=6).collect()
