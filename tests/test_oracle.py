@@ -7,7 +7,7 @@ from oracle_compare import compare, duck
 from edgewise import queries
 
 _CON = {}
-# a clustering of rounded eigenvector values is not for SQL: test_graph_ops holds it against separable blocks
+# a clustering of rounded eigenvector values is not for SQL: power_iteration_partition holds the operator against SQL
 NO_SQL = {"power_iteration_clustering"}
 
 
