@@ -13,8 +13,9 @@ that join scales:
   ``max_hot`` of them, so that list is broadcast safely.  Edges of a hot key
   are spread over ``salt_buckets`` sub-keys by a hash of the other endpoint,
   and the hot key's value row is replicated once per sub-key.  The edge
-  table is laid out once by ``(key, salt)`` and persisted, so each step
-  shuffles only the value side.
+  table is laid out and sorted once by ``(key, salt)`` and persisted, so each
+  step shuffles and sorts only the value side; without hot keys, by the key
+  alone.  The hot keys are found once and written.
 """
 
 from __future__ import annotations
@@ -177,12 +178,18 @@ class KeyedEdges:
         parts = F.greatest(F.lit(self.salt_buckets), F.ceil(F.col("count") / F.lit(max(threshold, 1))))
         hot = (edges.groupBy(key).count().where(F.col("count") > threshold)
                .select(F.col(key).alias("_hot_key"), parts.cast("int").alias(HOT)))
-        if cutter is not None:  # computed once, not once per superstep
-            hot, _ = cutter.cut(hot)
-        self.hot = F.broadcast(hot)
-        self.edges = self._salted(edges).repartition(self.partitions, F.col(key), F.col(SALT))
+        if cutter is not None:  # written, as a step that is only persisted is released with the next written one
+            hot, told = cutter.cut(hot, {"n": F.count(F.lit(1))}, reliable=True)
+            if not told["n"]:
+                hot = None
+        self.hot = None if hot is None else F.broadcast(hot)
+        keys = [key] if hot is None else [key, SALT]
+        # sorted once, so that no superstep sorts the edges again for its merge join
+        self.edges = self._salted(edges).repartition(self.partitions, *keys).sortWithinPartitions(*keys)
 
     def _salted(self, edges: DataFrame) -> DataFrame:
+        if self.hot is None:
+            return edges
         return (edges.join(self.hot, edges[self.key] == F.col("_hot_key"), "left")
                 # the running number parts parallel edges of one pair, too
                 .withColumn(SALT, F.when(F.col(HOT).isNotNull(), F.pmod(
@@ -193,7 +200,7 @@ class KeyedEdges:
     def with_rows(self, edges: DataFrame) -> "KeyedEdges":
         """The same edges with more columns, to be joined once: hot keys are split as here, nothing is kept."""
         out = copy.copy(self)
-        out.edges = edges if self.broadcast_values else self._salted(edges)
+        out.edges = self._salted(edges)
         return out
 
     def persist(self, cutter) -> "KeyedEdges":
@@ -215,6 +222,8 @@ class KeyedEdges:
             joined = self.edges.join(F.broadcast(values),
                                      self.edges[self.key] == values[id_col], how)
             return joined.drop(values[id_col])
+        if self.hot is None:
+            return self.edges.join(values, self.edges[self.key] == values[id_col], how).drop(values[id_col])
         vals = self._salted_values(values, id_col)
         vals = vals.withColumnRenamed(SALT, "_vsalt")
         joined = self.edges.join(
