@@ -4,10 +4,10 @@ Direction, duplicate edges and self-loops are ignored.  Each undirected edge
 is oriented from the endpoint of lower (degree, id) to the higher one, so
 every vertex has out-degree O(sqrt(E)) in the oriented graph; a hub is
 pointed *to*, never enumerates its own neighbourhood.  Triangles are then
-wedges ``u->v->w`` (one equi-join on ``v``) closed by an equi-join with the
-edge ``u->w``: O(E^1.5) work in the worst case, the bound of any triangle
-lister, and no per-vertex neighbour lists are collected. The wedges of a hub
-in the middle are split over sub-keys.
+wedges ``v<-u->w`` (one equi-join on ``u``) closed by an equi-join with the
+edge between ``v`` and ``w``: O(E^1.5) work in the worst case, the bound of any triangle
+lister, and no per-vertex neighbour lists are collected. A wedge is formed at
+its first vertex only, where the two edges out of it can come in one order.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import undirected
 from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
-from ..plans.skew import join_pairs_hub_safe
 
 
 def oriented_edges(pairs: DataFrame) -> DataFrame:
@@ -36,16 +35,15 @@ def oriented_edges(pairs: DataFrame) -> DataFrame:
                     F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("w"))
 
 
-def triangles_of(o: DataFrame, n: int) -> DataFrame:
-    """Each triangle once, as ``(x, y, z)`` in orientation order, from ``n`` oriented edges.
+def triangles_of(o: DataFrame) -> DataFrame:
+    """Each triangle once, as ``(x, y, z)``: ``x`` is first in the orientation, ``y < z``.
 
-    A middle vertex has few edges out of it (O(sqrt n)) but may have very many into it: those
-    are dealt over sub-keys, and its few edges out are repeated for each.
+    A vertex has few edges out of it (O(sqrt n)), so no vertex makes a long task of its wedges.
     """
     e1 = o.select(F.col("u").alias("x"), F.col("w").alias("y"))
-    e2 = o.select(F.col("u").alias("y"), F.col("w").alias("z"))
-    e3 = o.select(F.col("u").alias("x"), F.col("w").alias("z"))
-    return join_pairs_hub_safe(e1, "y", "x", e2, n).join(e3, ["x", "z"], "left_semi").select("x", "y", "z")
+    e2 = o.select(F.col("u").alias("x"), F.col("w").alias("z"))
+    e3 = o.select(F.least("u", "w").alias("y"), F.greatest("u", "w").alias("z"))
+    return e1.join(e2, "x").where(F.col("y") < F.col("z")).join(e3, ["y", "z"], "left_semi").select("x", "y", "z")
 
 
 def triangle_count(g: Graph) -> DataFrame:
@@ -56,9 +54,9 @@ def triangle_count(g: Graph) -> DataFrame:
     """
     cutter = StepCutter()
     vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-    o, n = cutter.inputs(oriented_edges(pairs))
+    o, _ = cutter.inputs(oriented_edges(pairs))
     cutter.close()
-    per = (triangles_of(o, n).select(F.explode(F.array("x", "y", "z")).alias(ID))
+    per = (triangles_of(o).select(F.explode(F.array("x", "y", "z")).alias(ID))
            .groupBy(ID).agg(F.count(F.lit(1)).alias("count")))
     return (result_base(g, vids).join(per, ID, "left")
             .withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint")))
