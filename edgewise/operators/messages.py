@@ -181,7 +181,7 @@ class _Sender:
         if not any(reads(expr, "edge", g.edges.columns) for expr, _ in self.parts):
             e = e.drop("edge")
         # as with triplets, both ends are vertices: tested once, not in every step
-        total = e.count()
+        e, total = cutter.inputs(e)
         e = join_hub_safe(join_hub_safe(e, "_es", ids, total), "_ed", ids.withColumnRenamed("_es", "_ed"), total)
         self.edges, total = cutter.inputs(e)
         self.layouts = {end: KeyedEdges(self.edges, key, other, cutter=cutter, total_edges=total, vertex_count=n).persist(cutter)

@@ -200,7 +200,8 @@ def pagerank_parallel_personalized(spark, sf):
 
 def pregel_pagerank(spark, sf):
     from .operators.messages import Pregel
-    g = fx.part_next(spark, sf)
+    edges, _ = materialize(fx.part_next(spark, sf).edges)  # read by several jobs
+    g = Graph.from_edges(edges)
     n = g.vertices.count()
     v = g.vertices.join(g.out_degrees, "id", "left").fillna(0, ["outDegree"])
     ranks = (Graph(v, g.edges).pregel.set_max_iter(PREGEL_ITER)

@@ -1,4 +1,4 @@
-"""Matrix times vector in cells, and the power iteration built on it."""
+"""Matrix times vector in cells and the power iteration built on it; wedges of triangles; edges of Pregel loops."""
 
 import random
 
@@ -77,3 +77,31 @@ def test_bad_similarities_raise(spark):
     g = Graph.from_edges(spark.createDataFrame([(1, 2, -1.0), (2, 3, 1.0)], "src long, dst long, s double"))
     with pytest.raises(ValueError):
         g.power_iteration_clustering(2, 3, "s")
+
+
+def test_triangles_form_wedges_at_the_first_vertex_only(spark):
+    from edgewise.operators.triangles import oriented_edges, triangles_of
+    rng = random.Random(5)
+    es = {(rng.randrange(14), rng.randrange(14)) for _ in range(60)}
+    o = oriented_edges(spark.createDataFrame(sorted(es), "src long, dst long"))
+    und = {frozenset(e) for e in es if e[0] != e[1]}
+    found = [frozenset(r) for r in triangles_of(o).collect()]
+    want = {frozenset((a, b, c)) for a in range(14) for b in range(a) for c in range(b)
+            if {frozenset((a, b)), frozenset((b, c)), frozenset((a, c))} <= und}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_pregel_runs_the_plan_of_its_edges_once(spark):
+    from edgewise.operators.messages import Pregel
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(x):
+        seen.add(1)
+        return True
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long").where(F.udf(tell, "boolean").asNondeterministic()("src"))
+    g = Graph(spark.range(10), e)
+    out = (g.pregel.set_max_iter(2).with_vertex_column("x", F.lit(1), F.coalesce(Pregel.msg(), F.lit(0)).cast("int"))
+           .send_msg_to_dst(Pregel.src("x")).agg_msgs(F.sum(Pregel.msg())).run())
+    assert {r.id: r.x for r in out.collect()} == {i: int(i > 1) for i in range(10)}
+    assert seen.value == 9
