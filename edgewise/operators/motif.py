@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ..graph import DST, ID, SRC, Graph
 from ..plans.iterate import StepCutter
-from ..plans.skew import PAIRS_PER_ROW, hot_cells, hub_limits, join_in_cells
+from ..plans.skew import PAIRS_PER_ROW, fits_broadcast, hot_cells, hub_limits, join_in_cells, shuffle_partitions
+
+HASHED_ROWS = 1 << 21  # most edges that a task holds as a hash table
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*"
 _EDGE_TERM = re.compile(
@@ -208,9 +210,17 @@ class _Matcher:
         right = e.select(*[F.col(end).alias(_at(name)) for name, end in ends.items()]).distinct()
         return self._one_each(rows, done, right, [_at(name) for name in ends], "left_anti")[0]
 
+    def _hashed(self) -> bool:
+        """Whether a task's share of the edges is held as a table, so that the matches, which are many more,
+        are not sorted (and spilled) to meet them. Edges that may be broadcast are left to Spark."""
+        return (not fits_broadcast(self.spark, self.m, 16)
+                and self.m <= HASHED_ROWS * shuffle_partitions(self.spark))
+
     def _one_each(self, rows, done, right, keys, how):
         """Join with at most one row of ``right`` for a key; also ``rows`` as they were read."""
         if self.most ** len(done) <= self.least:
+            if how == "left_anti" and self._hashed():
+                right = right.hint("shuffle_hash")
             return rows.join(right, keys, how), rows
         rows, _ = self.cutter.cut(rows, reliable=True)
         hot = self._hot(keys, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("nl")),
