@@ -11,9 +11,9 @@ and are finally scaled to sum to 1.  Parallel edges count separately.
 
 Plan per superstep (two shuffles, both vertex- or combiner-sized):
 
-1. the vertex state ``(id, rank * 1/outdeg)`` is joined to the edge table,
-   which was laid out once by ``src`` (hub sources salted, see
-   ``plans.skew``) and persisted, so only the vertex side moves;
+1. the shares ``(id, rank * 1/outdeg)`` of the vertices with out-edges (personalised:
+   with a rank above 0) are joined to the edge table, which was laid out once by ``src``
+   (hub sources salted, see ``plans.skew``) and persisted, so only the vertex side moves;
 2. contributions are summed by ``dst`` with map-side partial aggregation and
    left-joined back to the state, which is already partitioned by ``id``.
 
@@ -47,6 +47,18 @@ def _out_weights(edges: DataFrame) -> DataFrame:
         (F.lit(1.0) / F.count(F.lit(1))).alias("_inv"))
 
 
+def _layout(cutter: StepCutter, pairs: DataFrame, m: int, rows: int) -> tuple[KeyedEdges, DataFrame]:
+    """``m`` edges laid out by source for steps that join ``rows`` values, and ``id, _inv``: 1 / outdegree.
+
+    The shares of a vertex are worked out before they meet its edges, so the edges are dealt once and
+    carry no weight; the degrees are counted on the layout, where the edges of a vertex already lie together.
+    """
+    layout = KeyedEdges(pairs.where(F.col(SRC).isNotNull()), SRC, DST, cutter=cutter, total_edges=m,
+                        vertex_count=rows).persist(cutter)
+    inv, _ = cutter.cut(_out_weights(layout.edges), reliable=True)
+    return layout, inv
+
+
 def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None = None,
               tol: float | None = None, source_id=None, checkpoint_interval: int = 2) -> Graph:
     """PageRank; returns a graph with ``pagerank`` on vertices and ``weight`` on edges.
@@ -56,21 +68,16 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
 
     The loop state holds ranks only for vertices with in-edges: any other
     vertex keeps the constant rank ``reset`` after the first step, which the
-    message expression supplies with a ``coalesce``.  A step is therefore one
-    join of the (weighted, laid-out) edges with the state and one partial sum
+    share of a vertex supplies with a ``coalesce``.  A step is therefore one
+    join of the laid-out edges with the shares and one partial sum
     by ``dst``; the vertex table is joined once, at the end.
     """
     _check_args(max_iter, tol)
     a = float(reset_probability)
-    spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-        inv = _out_weights(pairs)
-        weighted, m = cutter.inputs(pairs.join(inv.withColumnRenamed(ID, SRC), SRC)
-                                    .withColumnRenamed("_inv", "_w"))
-        layout = KeyedEdges(weighted, SRC, DST, cutter=cutter, total_edges=m,
-                            vertex_count=n).persist(cutter)
+        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        layout, inv = _layout(cutter, pairs, m, n)
 
         if source_id is None:
             def reset_of(c):
@@ -85,15 +92,17 @@ def page_rank(g: Graph, reset_probability: float = 0.15, max_iter: int | None =
             def init_of(c):
                 return F.when(c == F.lit(source_id), F.lit(1.0)).otherwise(F.lit(0.0))
 
-        id_type = g.vertices.schema[ID].dataType.simpleString()
-        state = spark.createDataFrame([], f"{ID} {id_type}, pagerank double")
+        # no rows, and known to have none, so that the first step runs no job for them
+        state = vids.select(ID, F.lit(0.0).alias("pagerank")).where(F.lit(False))
         default = init_of           # rank of a vertex missing from the state
         if source_id is not None and not vids.where(F.col(ID) == F.lit(source_id)).take(1):
             raise ValueError(f"source {source_id!r} is not a vertex")
         for i in range(max_iter) if max_iter is not None else count():
-            msgs = layout.attach(state, ID, how="left")
-            contrib = F.coalesce(F.col("pagerank"), default(F.col(SRC))) * F.col("_w")
-            sums = msgs.groupBy(F.col(DST).alias(ID)).agg(F.sum(contrib).alias("_s"))
+            rank = F.coalesce(F.col("pagerank"), default(F.col(ID)))
+            shares = inv.join(state, ID, "left").select(ID, (rank * F.col("_inv")).alias("_weighted"))
+            if source_id is not None:  # only the vertices reached so far have anything to send
+                shares = shares.where(F.col("_weighted") != 0.0)
+            sums = layout.attach(shares, ID).groupBy(F.col(DST).alias(ID)).agg(F.sum("_weighted").alias("_s"))
             new = sums.select(ID, (reset_of(F.col(ID)) + F.lit(1.0 - a) * F.col("_s"))
                               .alias("pagerank"))
             if tol is None:
@@ -141,14 +150,10 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
     spark = g.vertices.sparkSession
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
+        vids, n, pairs, m = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
         srcs = spark.createDataFrame([(s,) for s in source_ids],
                                      f"source {g.vertices.schema[ID].dataType.simpleString()}")
-        inv = _out_weights(pairs)
-        weighted, m = cutter.inputs(pairs.join(inv.withColumnRenamed(ID, SRC), SRC)
-                                    .withColumnRenamed("_inv", "_w"))
-        layout = KeyedEdges(weighted, SRC, DST, cutter=cutter, total_edges=m,
-                            vertex_count=n * max(len(source_ids), 1)).persist(cutter)
+        layout, inv = _layout(cutter, pairs, m, n * max(len(source_ids), 1))
         # sources must be vertices; the list comes from the caller, so it is
         # bounded by driver memory and safe to broadcast
         seeds = (srcs.join(vids, F.col("source") == F.col(ID), "left_semi")
@@ -157,9 +162,9 @@ def parallel_personalized_page_rank(g: Graph, source_ids, reset_probability: flo
         resets = F.broadcast(seeds.withColumn("_r", F.lit(a)))
         state, _ = cutter.cut(seeds.withColumn("pagerank", F.lit(1.0)))
         for _ in range(max_iter):
-            sums = (layout.attach(state, ID)
-                    .groupBy(F.col(DST).alias(ID), "source")
-                    .agg(F.sum(F.col("pagerank") * F.col("_w")).alias("_s")))
+            shares = state.join(inv, ID).select(ID, "source", (F.col("pagerank") * F.col("_inv")).alias("_weighted"))
+            sums = (layout.attach(shares, ID)
+                    .groupBy(F.col(DST).alias(ID), "source").agg(F.sum("_weighted").alias("_s")))
             new = (sums.join(resets, [ID, "source"], "full")
                    .select(ID, "source",
                            (F.coalesce("_r", F.lit(0.0))
