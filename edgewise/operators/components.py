@@ -143,7 +143,9 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
     found: list[DataFrame] = []
     try:
         vids, _, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-        e, m = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST)).distinct())
+        # not made distinct: a repeated edge changes no label
+        e = pairs.where(F.col(SRC) != F.col(DST))
+        m = e.count()
         for step in count():
             if not m:
                 break
@@ -156,10 +158,15 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
                                   {"n": F.count(F.lit(1))}, reliable=True)
             layout = KeyedEdges(arcs, "_a", "_z", cutter=cutter, total_edges=2 * m, vertex_count=s["n"]).persist(cutter)
             while True:
-                new = state
-                for _ in range(HOPS):
+                new, between = state, []
+                for hop in range(HOPS):
                     new = _spread(layout, new)
+                    if hop < HOPS - 1:  # read twice by the next hop, made once
+                        new = cutter.keep(new)
+                        between.append(new)
                 state, seen = cutter.cut(new, {"fell": F.count_if("_fell")}, reliable=True)
+                for kept in between:
+                    cutter.release(kept)
                 if not seen["fell"]:
                     break
             cutter.release(layout.edges)
