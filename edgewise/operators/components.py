@@ -91,25 +91,48 @@ def connected_components(g: Graph, checkpoint_interval: int = 2,
             .withColumn("component", F.coalesce(F.col("component"), F.col(ID))))
 
 
+def _first_hop(vids: DataFrame, sym: DataFrame, cutter: StepCutter) -> tuple[DataFrame, dict]:
+    """Labels after one hop, each the smallest id beside a vertex, in the pass that counts the edges of each vertex.
+
+    ``unknown`` counts the ends of edges that are no vertices, ``most`` is the largest number of edges of an end.
+    """
+    near = sym.groupBy(F.col("a").alias(ID)).agg(F.min("b").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    both = vids.select(ID, F.lit(True).alias("_known")).join(near, ID, "full")
+    fell = F.coalesce(F.col("_m") < F.col(ID), F.lit(False))
+    return cutter.cut(both.select(ID, F.when(fell, F.col("_m")).otherwise(F.col(ID)).alias("component"),
+                                  fell.alias("_changed"), "_known", "_n"),
+                      {"unknown": F.count_if(F.col("_known").isNull()), "most": F.max("_n"), "edges": F.sum("_n"),
+                       "changed": F.count_if("_changed")}, reliable=True)
+
+
 def _min_label_components(g: Graph, checkpoint_interval: int) -> DataFrame:
     cutter = StepCutter(checkpoint_interval)
     try:
-        vids, n, pairs, _ = cutter.graph_inputs(g.vertices, g.edges, [ID], [SRC, DST])
-        sym, m = cutter.inputs(pairs.where(F.col(SRC) != F.col(DST))
-                               .select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
-                               .union(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b")))
-                               .distinct())
-        layout = KeyedEdges(sym, "a", "b", cutter=cutter, total_edges=m, vertex_count=n).persist(cutter)
-        label, _ = cutter.cut(vids.select(ID, F.col(ID).alias("component"), F.lit(True).alias("_changed")))
-        while True:
+        # read by the vertices, the first hop and the layout
+        edges = g.edges if g.edges.is_cached else cutter.keep(g.edges)
+        vids, n = cutter.inputs(g.vertices.select(ID).where(F.col(ID).isNotNull()).dropDuplicates([ID]))
+        pairs = edges.select(SRC, DST).where(F.col(SRC) != F.col(DST))
+        sym = (pairs.select(F.col(SRC).alias("a"), F.col(DST).alias("b"))
+               .union(pairs.select(F.col(DST).alias("a"), F.col(SRC).alias("b"))))
+        label, seen = _first_hop(vids, sym, cutter)
+        if seen["unknown"]:
+            # an end that is no vertex has no label to send
+            for end in ("a", "b"):
+                sym = sym.join(vids.select(F.col(ID).alias(end)), end, "left_semi")
+            label, seen = _first_hop(vids, sym.select("a", "b"), cutter)
+        label = label.select(ID, "component", "_changed")
+        if seen["changed"]:
+            layout = KeyedEdges(sym, "a", "b", cutter=cutter, total_edges=seen["edges"], vertex_count=n,
+                                most=seen["most"], unique=True).persist(cutter)
+            if edges is not g.edges:
+                cutter.release(edges)
+        while seen["changed"]:
             senders = label.where(F.col("_changed")).select(ID, "component")
             msg = layout.attach(senders, ID).groupBy(F.col("b").alias(ID)).agg(F.min("component").alias("_m"))
             new = (label.join(msg, ID, "left")
                    .select(ID, F.least("component", F.coalesce("_m", F.col("component"))).alias("component"),
                            F.coalesce(F.col("_m") < F.col("component"), F.lit(False)).alias("_changed")))
-            label, seen = cutter.cut(new, {"changed": F.sum(F.col("_changed").cast("int"))}, reliable=True)
-            if not seen["changed"]:
-                break
+            label, seen = cutter.cut(new, {"changed": F.count_if("_changed")}, reliable=True)
     finally:
         cutter.close()
     label = label.drop("_changed")

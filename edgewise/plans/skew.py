@@ -148,12 +148,16 @@ class KeyedEdges:
 
     ``edges`` must contain ``key`` and ``spread``.  ``attach(values, id_col)``
     returns edges joined with the value rows whose ``id_col`` equals ``key``.
+    ``most`` is the largest number of edges of a key, if it is known: where it
+    rules out hot keys, none are searched. ``unique`` drops repeated edges, where
+    no key is hot in the layout's own shuffle.
     """
 
     def __init__(self, edges: DataFrame, key: str, spread: str, *, cutter=None,
                  total_edges: int | None = None, vertex_count: int | None = None,
                  max_hot: int | None = None, min_hot_degree: int | None = None,
-                 salt_buckets: int | None = None, value_row_bytes: int = 48):
+                 salt_buckets: int | None = None, value_row_bytes: int = 48,
+                 most: int | None = None, unique: bool = False):
         spark = edges.sparkSession
         conf = spark.conf
         most, least = hub_limits(spark)
@@ -169,10 +173,17 @@ class KeyedEdges:
         if self.broadcast_values:
             # the value side is small and counted: no salt, no re-layout
             self.hot = None
-            self.edges = edges
+            self.edges = self._written(edges.distinct(), cutter) if unique else edges
             return
         n_edges = total_edges if total_edges is not None else edges.count()
         threshold = max(n_edges // max(max_hot, 1), int(min_hot_degree))
+        if most is not None and most <= threshold:
+            self.hot = None
+            dealt = edges.repartition(self.partitions, key)
+            self.edges = (dealt.distinct() if unique else dealt).sortWithinPartitions(key)
+            return
+        if unique:  # before they are dealt: a pair may hold any share of the edges
+            edges = self._written(edges.distinct(), cutter)
         # at most max_hot keys can exceed total/max_hot: a proven bound
         # a hot key gets as many sub-keys as keep each below the threshold
         parts = F.greatest(F.lit(self.salt_buckets), F.ceil(F.col("count") / F.lit(max(threshold, 1))))
@@ -187,6 +198,10 @@ class KeyedEdges:
         # sorted once, so that no superstep sorts the edges again for its merge join
         self.edges = self._salted(edges).repartition(self.partitions, *keys).sortWithinPartitions(*keys)
 
+    @staticmethod
+    def _written(edges: DataFrame, cutter) -> DataFrame:
+        return edges if cutter is None else cutter.cut(edges, reliable=True)[0]
+
     def _salted(self, edges: DataFrame) -> DataFrame:
         if self.hot is None:
             return edges
