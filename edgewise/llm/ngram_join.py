@@ -18,7 +18,9 @@ into components, and what a bucket still holds of several components is
 compared (the nearest pair of each two components first, then) member by member, so every link
 between different components is found while linked groups need no pairs.
 Verification is exact: a pair that reaches the similarity by its 64-bit shingle hashes
-is compared again by its shingles' words before it links. Sets count as equal by a
+is compared again by its shingles' words before it links. Texts are sent only for pairs
+that a parity sketch as wide as their sets lets pass: long texts share signatures by
+chance, and the pairs of those grow faster than the table. Sets count as equal by a
 96-bit key of their hashes.
 
 Defined cases: null text is empty; a text without words is linked with nothing
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, field, map_batches, prepare_batches, staged
+from .common import column, discard, field, map_batches, prepare_batches, staged
 from .exact_dedup import normalise
 from .shingles import mix, shingle_hashes, word_hashes
 
@@ -48,7 +50,7 @@ SIMILARITY, WORDS = 85, 4
 SAMPLE_DOCS, HOT_SHARE, CENTRE_ROWS = 2048, 0.002, 1024
 #: rounds of one centre a bucket before members of different components meet
 CENTRE_ROUNDS = 1
-#: bits of the parity sketch: they differ in no more places than the sets do
+#: bits of the parity sketch that bucket rows carry: they differ in no more places than the sets do
 SKETCH_BITS = 512
 SKETCH = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 _BAND_GROWTH = 1.5
@@ -170,10 +172,26 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return (a ^ (1 << 63)) - (1 << 63), (b << 32) | len(tokens)
 
 
-def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """For each of ``SKETCH_BITS`` hash classes whether it holds an odd number of shingles."""
-    at = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=SKETCH_BITS) & 1).view(np.int64)
+def parity_sketch(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """For each of ``bits`` hash classes whether it holds an odd number of shingles."""
+    at = (mix(tokens ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1).view(np.int64)
+
+
+def wide_bits(size: int, similarity: int) -> int:
+    """Bits of a set's wide sketch: four times the most shingles in which a set of its size that links with it differs.
+
+    Unlinked sets differ in about half of the bits. A power of two, so that a sketch folds to a narrower one.
+    """
+    return max(SKETCH_BITS, 1 << max(0, 4 * Bands(similarity).difference(2 * size) - 1).bit_length())
+
+
+def sketches_near(a: np.ndarray, n: int, b: np.ndarray, m: int, similarity: int) -> bool:
+    """The wide sketches of two sets of ``n`` and ``m`` shingles allow them to link (whoever links passes)."""
+    words = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in (a, b))
+    apart = int(np.bitwise_count((a ^ b).view(np.uint64)).sum(dtype=np.int64))
+    return apart * (100 + similarity) <= (n + m) * (100 - similarity)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -200,18 +218,21 @@ def _size():
     return F.expr("k2 & 4294967295")
 
 
-def keyed(docs: DataFrame, words: int, keep: list[str], sketch: bool = False) -> DataFrame:
-    """``keep`` columns with the set key (k1, k2), and the sketch if asked for."""
-    more = ["k1", "k2", *(SKETCH if sketch else [])]
-    schema = T.StructType([*(field(docs, c) for c in keep), *(T.StructField(n, T.LongType()) for n in more)])
+def keyed(docs: DataFrame, words: int, keep: list[str], similarity: int | None = None) -> DataFrame:
+    """``keep`` columns with the set key (k1, k2), and with a ``similarity`` the sketch and the wide one for it."""
+    more = ["k1", "k2", *(SKETCH if similarity else [])]
+    schema = T.StructType([*(field(docs, c) for c in keep), *(T.StructField(n, T.LongType()) for n in more),
+                           *([T.StructField("wide", T.BinaryType())] if similarity else [])])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = list(shingle_sets(column(batch, "text").to_pylist(), words))
-        keys = np.array([set_key(s) for s in sets], np.int64)
-        if sketch:
-            keys = np.hstack([keys, np.array([parity_sketch(s) for s in sets])])
+        keys, wide = np.array([set_key(s) for s in sets], np.int64), []
+        if similarity:
+            each = [parity_sketch(s, wide_bits(len(s), similarity)) for s in sets]
+            narrow = [np.bitwise_xor.reduce(x.reshape(-1, len(SKETCH)), axis=0) for x in each]
+            keys, wide = np.hstack([keys, np.array(narrow)]), [pa.array([x.tobytes() for x in each], pa.binary())]
         return pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep),
-                                           *(pa.array(np.ascontiguousarray(k)) for k in keys.T)], names=schema.names)
+                                           *(pa.array(np.ascontiguousarray(k)) for k in keys.T), *wide], names=schema.names)
 
     return map_batches(docs.select(*dict.fromkeys([*keep, "text"])), run, schema)
 
@@ -258,9 +279,13 @@ def _costs(docs: DataFrame, n_docs: int, similarity: int, words: int, sample_doc
 
 
 def bucket_rows(docs: DataFrame, plans: dict, hot: np.ndarray, similarity: int, words: int) -> DataFrame:
-    """(sig, k1, k2) of buckets with two different sets at least."""
+    """(sig, k1) of buckets with two different sets at least, once for each set.
+
+    The first part of the key tells sets apart; where it does not, each set gets what the other sent.
+    The lowest bit of a signature says whether it is hot.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((plans, hot))  # bounded by the sample
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "k1", "k2", "hot")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("sig", "k1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans, hot = shared.value
@@ -276,58 +301,88 @@ def bucket_rows(docs: DataFrame, plans: dict, hot: np.ndarray, similarity: int,
                 found = [signatures(s, b, bands, plans.get(b) or default_plan(bands.segments(b)))
                          for b in bands.of(len(s))]
                 sigs.append(np.concatenate(found))
-                keys.append((*key, len(sigs[-1])))
+                keys.append((key[0], len(sigs[-1])))
             if not sigs:
                 continue
             sig = np.concatenate(sigs).view(np.int64)
-            n = [k[2] for k in keys]
-            cols = [sig, np.repeat(np.array([k[0] for k in keys], np.int64), n),
-                    np.repeat(np.array([k[1] for k in keys], np.int64), n), np.isin(sig, hot).astype(np.int64)]
+            cols = [(sig & ~np.int64(1)) | np.isin(sig & ~np.int64(1), hot & ~np.int64(1)),
+                    np.repeat(np.array([k[0] for k in keys], np.int64), [k[1] for k in keys])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
 
     prepare_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, schema)
-    # the key's second part holds a size: the first tells sets apart; hot buckets need no test
-    of = Window.partitionBy("sig", F.when(F.col("hot") == 1, F.xxhash64("k1", "k2")))
-    several = (F.col("hot") == 1) | (F.min("k1").over(of) != F.max("k1").over(of))
-    return rows.withColumn("several", several).where("several").select("sig", "k1", "k2")
+    # hot buckets need no test
+    is_hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
+    of = Window.partitionBy("sig", F.when(is_hot, F.xxhash64("k1"))).orderBy("k1")
+    last = F.last("k1").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.lag("k1").over(of)
+    first = F.first("k1").over(of)
+    return (rows.select("sig", "k1", (is_hot | (first != last)).alias("several"), (~before.eqNullSafe(F.col("k1"))).alias("new"))
+            .where("several and new").select("sig", "k1"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, similarity: int, words: int) -> DataFrame:
-    """Of (centre, node) pairs the verified ones. A centre's members are dealt out in parts."""
+def _meet(pairs: DataFrame, values: DataFrame, read, matches) -> DataFrame:
+    """Of (centre, node) pairs those whose ``values`` match. A centre's members are dealt out in parts.
+
+    ``read`` makes a list of a batch's values, one a row; ``matches(centre's, member's)`` decides.
+    """
     per = staged(pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n")), "join-centres")
     parts = F.ceil(F.col("n") / CENTRE_ROWS)
     members = pairs.join(per, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), parts).alias("part"),
                                                F.lit(1).alias("member"))
     heads = per.select("centre", F.col("centre").alias("node"),
                        F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("member"))
-    rows = members.unionByName(heads).join(texts, "node")
+    rows = members.unionByName(heads).join(values, "node")
     rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, first, real = None, None, None, None
+        now, head = None, None
         for batch in batches:
             centres, nodes = column(batch, "centre").to_pylist(), column(batch, "node").to_pylist()
             parts, members = column(batch, "part").to_pylist(), column(batch, "member").to_pylist()
             out: list[tuple[int, int]] = []
-            texts = column(batch, "text").to_pylist()
-            for c, v, p, member, text, s in zip(centres, nodes, parts, members, texts, shingle_sets(texts, words), strict=True):
+            for c, v, p, member, value in zip(centres, nodes, parts, members, read(batch), strict=True):
                 if not member:
-                    now, head, first, real = (c, p), s, text, None
+                    now, head = (c, p), value
                     continue
                 if now != (c, p):
                     raise RuntimeError("a centre's members came without it")
-                both = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * both >= similarity * (len(head) + len(s) - both):
-                    real = word_shingles(first, words) if real is None else real
-                    if alike(real, word_shingles(text, words), similarity):
-                        out.append((c, v))
+                if matches(head, value):
+                    out.append((c, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
                                               pa.array([x[1] for x in out], pa.int64())], names=["centre", "node"])
 
     return rows.mapInArrow(run, "centre long, node long")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Of (centre, node) pairs those that their wide sketches let pass."""
+    def read(batch: pa.RecordBatch) -> list[tuple[np.ndarray, int]]:
+        return [(np.frombuffer(w, np.int64), n) for w, n in zip(
+            column(batch, "wide").to_pylist(), column(batch, "n").to_pylist(), strict=True)]
+
+    return _meet(pairs, nodes.select("node", "wide", _size().alias("n")), read,
+                 lambda a, b: sketches_near(*a, *b, similarity))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, similarity: int, words: int) -> DataFrame:
+    """Of (centre, node) pairs the verified ones."""
+    def read(batch: pa.RecordBatch) -> Iterator[list]:
+        found = column(batch, "text").to_pylist()
+        # text, hashes of its shingles, the shingles once they are asked for
+        return ([text, s, None] for text, s in zip(found, shingle_sets(found, words), strict=True))
+
+    def matches(head: list, other: list) -> bool:
+        a, b = head[1], other[1]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both < similarity * (len(a) + len(b) - both):
+            return False
+        head[2] = word_shingles(head[0], words) if head[2] is None else head[2]
+        return alike(head[2], word_shingles(other[0], words), similarity)
+
+    return _meet(pairs, texts, read, matches)
+
+
 def component_labels(links: DataFrame) -> DataFrame:
     """(node, label) of linked nodes, label the smallest node of the component.
 
@@ -359,13 +414,12 @@ def _not_stars(edges: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, similarity: int, words: int, sample_docs: int,
              centre_rounds: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their set key, one row per set: component_id, first_id and whether it stands for its component)."""
-    rows = staged(keyed(docs, words, ["doc_id"], sketch=True), "join-rows")
-    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in SKETCH))
+    rows = staged(keyed(docs, words, ["doc_id"], similarity), "join-rows")
+    nodes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in [*SKETCH, "wide"]))
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     plans, hot = _costs(docs, rows.count(), similarity, words, sample_docs)
-    buckets = bucket_rows(docs, plans, hot, similarity, words).join(nodes.drop("first_id"), ["k1", "k2"])
-    buckets = staged(buckets.select("sig", "node", _size().alias("n"), *SKETCH).dropDuplicates(["sig", "node"]),
-                     "join-buckets")
+    buckets = bucket_rows(docs, plans, hot, similarity, words).join(nodes.drop("first_id", "wide"), "k1")
+    buckets = staged(buckets.select("sig", "node", _size().alias("n"), *SKETCH), "join-buckets")
     labels = _label_rounds(docs, nodes, buckets, similarity, words, centre_rounds)
     sets = nodes.select("node", "k1", "k2", "first_id").join(labels, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
@@ -408,15 +462,6 @@ def drop_near_copies(docs: DataFrame, similarity: int = SIMILARITY, words: int =
 def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similarity: int, words: int,
                   centre_rounds: int) -> DataFrame:
     """Labels of linked nodes: rounds of candidate pairs, verification and merging."""
-    involved = staged(buckets.select("node").distinct().join(nodes, "node").select("node", "k1", "k2", "first_id"),
-                      "join-involved")
-    # the text of one row of each node: the one with its first id and its key
-    wanted = involved.select(F.col("first_id").alias("want"), F.col("k1").alias("w1"), F.col("k2").alias("w2"), "node")
-    near = docs.join(wanted.select("want").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("want")),
-                     "left_semi")
-    texts = keyed(near, words, ["doc_id", "text"]).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-    texts = staged(texts.groupBy("node").agg(F.first("text").alias("text")), "join-texts")
     labels = nodes.where(F.lit(False)).select("node", F.col("node").alias("label"))
     checked, mixed = None, buckets.withColumn("label", F.col("node"))
     for turn in range(centre_rounds + 2):
@@ -433,7 +478,10 @@ def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similar
         pairs = staged(pairs, "join-candidates")
         if not pairs.take(1):
             continue
-        found = staged(_links(pairs, texts, similarity, words), "join-links")
+        close = staged(_close(pairs, nodes, similarity), "join-close")
+        texts = _texts(docs, nodes, close, words)
+        found = staged(_links(close, texts, similarity, words), "join-links")
+        discard(texts)
         turned = pairs.unionByName(pairs.select(F.col("node").alias("centre"), F.col("centre").alias("node")))
         checked = turned if checked is None else checked.unionByName(turned)
         new = found.select(F.col("centre").alias("u"), F.col("node").alias("v"))
@@ -443,6 +491,17 @@ def _label_rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, similar
     return labels
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, text) of the nodes of ``pairs``: of one row of each, the one with its first id and its key."""
+    both = pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))).distinct()
+    wanted = staged(nodes.join(both, "node").select(F.col("first_id").alias("want"), F.col("k1").alias("w1"),
+                                                    F.col("k2").alias("w2"), "node"), "join-wanted")
+    near = docs.join(wanted.select("want").distinct(), F.col("doc_id").eqNullSafe(F.col("want")), "left_semi")
+    texts = keyed(near, words, ["doc_id", "text"]).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("want")) & (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
+    return staged(texts.groupBy("node").agg(F.first("text").alias("text")), "join-texts")
+
+
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold several components, with their label and the bucket's blocks."""
     names = labels.withColumnRenamed("label", "l")
