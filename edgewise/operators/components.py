@@ -15,9 +15,12 @@ that reaches a vertex and the smallest id it reaches.  Where both are equal,
 that id reaches the vertex and is reached by it: it names their component.
 Members of one component have the same pair of labels, so edges between
 different pairs are dropped, which cuts the rest of the graph into many small
-parts, and the labels start anew on what is left.  A vertex without edges left
-is its own component, so chains and trees end in one round, without a separate
-trimming loop.  Every round settles the smallest id of each remaining part.
+parts.  A vertex without edges left is its own component, so chains and trees end
+in one round, without a separate trimming loop.  Parts of few edges
+(``plans.strong``) are solved whole, each in one task, in one pass over them all;
+in larger ones the labels start anew, and every round settles the smallest id of
+each.  So the driver plans a few rounds for the large parts, not one after another
+for the deepest of very many small ones.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import edge_set_fingerprint
 from ..graph import DST, ID, SRC, Graph, result_base
 from ..plans.iterate import StepCutter
+from ..plans import strong
 from ..plans.skew import KeyedEdges, join_hub_safe
 
 
@@ -198,7 +202,19 @@ def strongly_connected_components(g: Graph, checkpoint_interval: int = 2,
             open_ = state.where(F.col("_in") != F.col("_out"))
             left = join_hub_safe(e, SRC, open_.select(F.col(ID).alias(SRC), F.col("_in").alias("_i"), F.col("_out").alias("_o")), m)
             left = join_hub_safe(left, DST, open_.select(F.col(ID).alias(DST), "_in", "_out"), m)
-            e, m = cutter.inputs(left.where((F.col("_i") == F.col("_in")) & (F.col("_o") == F.col("_out"))).select(SRC, DST))
+            left, m = cutter.inputs(left.where((F.col("_i") == F.col("_in")) & (F.col("_o") == F.col("_out")))
+                                    .select(SRC, DST, "_in", "_out"))
+            if not m or max_iter is not None and step + 1 >= max_iter:
+                continue
+            part = ["_in", "_out"]
+            large, k = cutter.inputs(left.groupBy(*part).count().where(F.col("count") > strong.PART).select(*part))
+            small, m = left, 0
+            if k:
+                large = F.broadcast(large)  # at most one row for PART edges
+                e, m = cutter.inputs(left.join(large, part, "left_semi").select(SRC, DST))
+                small = left.join(large, part, "left_anti")
+            solved = strong.in_parts(small, SRC, DST, part, ID, "component")
+            found.append(cutter.cut(solved, reliable=True)[0])
     finally:
         cutter.close()
     base = result_base(g, vids)
